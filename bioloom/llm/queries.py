@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bioloom.llm import bpe, mixing, wordpiece
+from bioloom.llm import bpe, digest, langid, mixing, urls, wordpiece
 from bioloom.session import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -17,17 +17,32 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.piece_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_urls": op2_urls,
+    "op3_digest": op3_digest,
     "op4_mixing": op4_mixing,
+    "op6_langid": op6_langid,
     "op9_token_counts": op9_token_counts,
 }
 
