@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bioloom.llm import bpe, digest, langid, mixing, urls, wordpiece
+from bioloom.llm import bpe, digest, langid, mixing, simhash, urls, wordpiece
 from bioloom.session import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -33,6 +33,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.piece_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_digest": op3_digest,
     "op4_mixing": op4_mixing,
     "op6_langid": op6_langid,
+    "op7_simhash": op7_simhash,
     "op9_token_counts": op9_token_counts,
 }
 
