@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bioloom.llm import bpe, digest, langid, mixing, simhash, urls, wordpiece
+from bioloom.llm import bpe, ctw, digest, langid, mixing, simhash, urls, wordpiece
 from bioloom.session import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -37,6 +37,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.piece_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
+    "op8_ctw": op8_ctw,
     "op9_token_counts": op9_token_counts,
 }
 
