@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bioloom.llm.blocks import SPACES
+from bioloom.llm.blocks import SPACES, SubstringHashes, lower_ascii, mix64, text_blocks, word_spans
 from bioloom.operators.graph import components
 from bioloom.session import stored
 
@@ -71,13 +71,18 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> Da
     return rest.mapInArrow(run, f"{kinds}, fp long" if kinds else "fp long")
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
-    return np.random.default_rng(20070508).integers(0, 2**64, n, dtype=np.uint64)
+def pivots(lanes: int = 1, n: int = PIVOTS) -> np.ndarray:
+    return np.random.default_rng(20070508).integers(0, 2**64, (n, lanes), dtype=np.uint64)
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which rows of 64-bit lanes differ."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
 
 
 def distance_table(fps: np.ndarray, references: np.ndarray) -> np.ndarray:
     """Hamming distances to all references, one row each."""
-    return np.stack([np.bitwise_count(fps ^ p) for p in references]).astype(np.int8)
+    return np.stack([hamming(fps, p) for p in references])
 
 
 class Forest:
@@ -108,102 +113,105 @@ def close_pairs(fps: np.ndarray, left: np.ndarray, right: np.ndarray, table: np.
         alive = alive[np.abs(row[left[alive]] - row[right[alive]]) <= radius]
         if not len(alive):
             return alive
-    return alive[np.bitwise_count(fps[left[alive]] ^ fps[right[alive]]) <= radius]
+    return alive[hamming(fps[left[alive]], fps[right[alive]]) <= radius]
+
 
+def _runs(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each place with the ``counts`` places after it."""
+    left = np.repeat(first, counts)
+    return left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts)
 
-def tile_links(rows: np.ndarray, cols: np.ndarray, radius: int, references: np.ndarray) -> np.ndarray:
-    """A spanning forest (pairs of fingerprints) of the links within ``rows`` and from ``rows`` to ``cols``.
 
-    The first coordinate is sorted, so each row meets only a run of the others.
+def tile_links(fps: np.ndarray, radius: int, references: np.ndarray) -> np.ndarray:
+    """A spanning forest, as pairs of places, of the links among the rows of ``fps``.
+
+    Rows are sorted by their first coordinate, so each meets only a run of the others.
     """
-    fps = np.unique(np.concatenate([rows, cols]))
     table = distance_table(fps, references)
     order = np.argsort(table[0], kind="stable")
-    fps, table = fps[order], table[:, order]
+    sorted_fps, table = fps[order], table[:, order]
     upto = np.searchsorted(table[0], table[0] + radius, "right")
-    forest, found = Forest(len(fps)), []
-    # Far from all pairs at once: a few rows' runs at a time.
-    at = 0
+    forest, found, at = Forest(len(fps)), [], 0
     while at < len(fps):
         end, total = at, 0
-        while end < len(fps) and (end == at or total + upto[end] - end - 1 <= 1 << 20):
+        while end < len(fps) and (end == at or total + upto[end] - end - 1 <= 1 << 19):
             total += upto[end] - end - 1
             end += 1
-        counts = upto[at:end] - np.arange(at, end) - 1
-        left = np.repeat(np.arange(at, end), counts)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts)
-        close = close_pairs(fps, left, right, table, radius)
+        left, right = _runs(np.arange(at, end), upto[at:end] - np.arange(at, end) - 1)
+        close = close_pairs(sorted_fps, left, right, table, radius)
         found += [(i, j) for i, j in zip(left[close].tolist(), right[close].tolist(), strict=True) if forest.join(i, j)]
         at = end
-    return np.array([(fps[i], fps[j]) for i, j in found], np.uint64).reshape(-1, 2)
-
+    return order[np.array(found, np.int64).reshape(-1, 2)]
 
-def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Edges ``a, b`` whose components are those of all pairs of distinct ``fp`` within ``radius`` bits.
 
-    A bucket of up to ``tile`` fingerprints is one tile. A larger one is dealt into groups by a hash; every two
-    of its groups meet in one tile, so no pair is lost and no task holds a whole hot bucket.
+def bucket_links(fps: np.ndarray, buckets: np.ndarray, radius: int, references: np.ndarray) -> np.ndarray:
+    """Links, as pairs of places, of rows sorted by bucket: small buckets all at once, larger ones one by one."""
+    out = [np.zeros((0, 2), np.int64)]
+    first = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(buckets)))
+    small = sizes <= 64
+    for s, n in zip(first[~small].tolist(), sizes[~small].tolist(), strict=True):
+        out.append(s + tile_links(fps[s : s + n], radius, references))
+    members = np.flatnonzero(np.repeat(small & (sizes > 1), sizes))
+    rest = np.repeat(first + sizes, sizes)[members] - members - 1
+    for lo in range(0, len(members), 1 << 14):
+        left, right = _runs(members[lo : lo + (1 << 14)], rest[lo : lo + (1 << 14)])
+        if len(left):
+            used = np.unique(np.concatenate([left, right]))
+            close = close_pairs(fps[used], np.searchsorted(used, left), np.searchsorted(used, right), distance_table(fps[used], references), radius)
+            out.append(np.stack([left[close], right[close]], axis=1))
+    return np.concatenate(out)
+
+
+def bucketed_links(keyed: DataFrame, lanes: list[str], radius: int, tile: int = TILE) -> DataFrame:
+    """Edges ``a, b`` between the ``node`` of rows that share ``block`` and ``value`` and differ in at most ``radius`` bits.
+
+    They span the same components as all such pairs. A bucket of up to ``tile`` rows is one tile. A larger one
+    is dealt into groups by a hash; every two of its groups meet in one tile, so no pair is lost and no task
+    holds a whole hot bucket. A node is in a bucket once.
     """
-    blocks = radius + 1
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-
-    def block(i: int) -> Column:
-        width = cuts[i + 1] - cuts[i]
-        value = F.shiftrightunsigned("fp", cuts[i])
-        return value if width == 64 else value.bitwiseAND(F.lit((1 << width) - 1))
-
-    keyed = nodes.select("fp", F.posexplode(F.array(*[block(i).cast("long") for i in range(blocks)])).alias("block", "value"))
-    sizes = keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = stored(keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     sizes = sizes.select(F.col("block").alias("in_block"), F.col("value").alias("in_value"), F.ceil(F.col("n") / F.lit(tile // 2)).cast("int").alias("groups"))
     dealt = keyed.join(sizes, (F.col("block") == F.col("in_block")) & (F.col("value") == F.col("in_value")))
-    own = F.pmod(F.xxhash64("fp"), F.col("groups")).cast("int")
-    # Group g of k meets all k: tile (min, max). One or two groups are a single tile.
+    own = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
+    # Group g of k meets all others: tile (less, greater). Up to two groups are a single tile.
     meets = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.least(g, own) * F.col("groups") + F.greatest(g, own))
-    tiles = F.when(F.col("groups") <= 2, F.array(F.lit(0))).otherwise(meets)
-    # A tile of one group is inside those it shares with others.
-    placed = dealt.select("fp", "block", "value", "groups", F.explode(tiles).alias("tile")).where((F.col("groups") <= 2) | (F.col("tile") % F.col("groups") != F.floor(F.col("tile") / F.col("groups"))))
-    dealt_out = placed.select("fp", F.xxhash64("block", "value", "tile").alias("bucket")).repartition("bucket").sortWithinPartitions("bucket")
-    references = pivots()
+    tiles = F.when(F.col("groups") <= 2, F.array(F.lit(0))).otherwise(F.filter(meets, lambda t: t % F.col("groups") != F.floor(t / F.col("groups"))))
+    placed = dealt.select("node", *lanes, "block", "value", F.explode(tiles).alias("tile"))
+    dealt_out = placed.select("node", *lanes, F.xxhash64("block", "value", "tile").alias("bucket")).repartition("bucket").sortWithinPartitions("bucket")
+    references = pivots(len(lanes))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(fps: np.ndarray, buckets: np.ndarray) -> pa.RecordBatch:
-            pairs = bucket_links(fps, buckets, radius, references)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], ["a", "b"])
+        held = np.zeros((len(lanes) + 2, 0), np.int64)
+
+        def emit(rows: np.ndarray) -> pa.RecordBatch:
+            pairs = rows[0][bucket_links(np.ascontiguousarray(rows[1:-1].T).view(np.uint64), rows[-1], radius, references)]
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-        held_fp, held_bucket = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            fps = np.concatenate([held_fp, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
-            buckets = np.concatenate([held_bucket, batch.column(1).to_numpy(zero_copy_only=False)])
-            last = int(np.searchsorted(buckets, buckets[-1]))
-            yield emit(fps[:last], buckets[:last])
-            held_fp, held_bucket = fps[last:], buckets[last:]
-        if len(held_fp):
-            yield emit(held_fp, held_bucket)
+            if batch.num_rows:
+                held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
+                last = int(np.searchsorted(held[-1], held[-1][-1]))
+                yield emit(held[:, :last])
+                held = held[:, last:]
+        if held.shape[1]:
+            yield emit(held)
 
     return dealt_out.mapInArrow(search, "a long, b long")
 
 
-def bucket_links(fps: np.ndarray, buckets: np.ndarray, radius: int, references: np.ndarray) -> np.ndarray:
-    """Links of rows sorted by bucket: small buckets all at once, larger ones one by one."""
-    if not len(fps):
-        return np.zeros((0, 2), np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
-    sizes = np.diff(np.append(first, len(fps)))
-    small = sizes <= 64
-    out = [tile_links(fps[s : s + n], fps[:0], radius, references) for s, n in zip(first[~small].tolist(), sizes[~small].tolist(), strict=True)]
-    members = np.flatnonzero(np.repeat(small, sizes))
-    if len(members):
-        rest = np.repeat(first + sizes, sizes)[members] - members - 1
-        for lo in range(0, len(members), 1 << 15):
-            part, counts = members[lo : lo + (1 << 15)], rest[lo : lo + (1 << 15)]
-            left = np.repeat(part, counts)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts)
-            if len(left):
-                used = np.unique(np.concatenate([left, right]))
-                table = distance_table(fps[used], references)
-                close = close_pairs(fps[used], np.searchsorted(used, left), np.searchsorted(used, right), table, radius)
-                out.append(np.stack([fps[left[close]], fps[right[close]]], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
+def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Edges ``a, b`` whose components are those of all pairs of distinct ``fp`` within ``radius`` bits."""
+    blocks = radius + 1
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+
+    def block(i: int) -> Column:
+        width = cuts[i + 1] - cuts[i]
+        value = F.shiftrightunsigned("fp", cuts[i])
+        return value if width == 64 else value.bitwiseAND(F.lit((1 << width) - 1))
+
+    keyed = nodes.select(F.col("fp").alias("node"), "fp", F.posexplode(F.array(*[block(i).cast("long") for i in range(blocks)])).alias("block", "value"))
+    return bucketed_links(keyed, ["fp"], radius, tile)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -225,3 +233,74 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 def group_documents(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- near copies for a corpus: wide fingerprints, larger radius -------------------------------------------------
+
+#: Words in a shingle, lanes of 64 bits, and how many of the bits may differ: a similarity of 0.8 or more.
+WIDE_SHINGLE, LANES = 5, 4
+WIDE_RADIUS = 64 * LANES - -(-64 * LANES * 8 // 10)
+#: Two texts meet where all ``BAND`` least hashes of one of ``BANDS`` bands are equal.
+BANDS, BAND = 12, 4
+WIDE = [f"fp{i}" for i in range(LANES)]
+
+
+def shingle_hashes(buf: np.ndarray, bounds: np.ndarray, size: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all word shingles of a block and the documents they are of; a shorter text is one shingle."""
+    buf = lower_ascii()[buf]
+    starts, ends, doc = word_spans(buf, bounds)
+    words, docs = SubstringHashes(buf).of(starts, ends), len(bounds) - 1
+    counts = np.bincount(doc, minlength=docs)
+    n = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+    first = np.repeat(np.cumsum(counts) - counts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    owner = np.repeat(np.arange(docs), n)
+    length = np.minimum(size, counts[owner])
+    made = np.zeros(len(first), np.uint64)
+    for i in range(size):
+        inside = np.flatnonzero(length > i)
+        made[inside] = mix64(made[inside] * np.uint64(0x9E3779B97F4A7C15) + words[first[inside] + i])
+    return made, owner
+
+
+def wide_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, words, fp0 .. fp3, bands``: a fingerprint of four lanes over five-word shingles, and band keys. No words: all zero."""
+    kind = docs.schema[key].dataType.simpleString()
+    salts = np.random.default_rng(19).integers(0, 2**64, LANES + BANDS * BAND, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in text_blocks(batch.column(1), 1 << 19):
+                size = block.last - block.first
+                hashes, owner = shingle_hashes(block.buf, block.bounds)
+                counts = np.bincount(owner, minlength=size)
+                some = np.flatnonzero(counts)
+                first = (np.cumsum(counts) - counts)[some]
+                lanes, bands = np.zeros((LANES, size), np.uint64), np.zeros((BANDS, size), np.uint64)
+                if len(some):
+                    for i in range(LANES):
+                        bits = np.unpackbits(mix64(hashes ^ salts[i]).view(np.uint8).reshape(-1, 8), axis=1)
+                        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+                        lanes[i, some] = np.packbits(2 * ones > counts[some, None], axis=1).view(np.uint64)[:, 0]
+                    for i in range(BANDS * BAND):
+                        least = np.minimum.reduceat(mix64(hashes ^ salts[LANES + i]), first)
+                        bands[i // BAND, some] = mix64(bands[i // BAND, some] + least)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(bands.T).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, size), *(pa.array(x.view(np.int64)) for x in lanes), lists], [key, *WIDE, "bands"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{c} long' for c in WIDE)}, bands array<long>")
+
+
+def keepers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The least ``key`` of each group of near copies.
+
+    Texts link if their wide fingerprints agree in at least 0.8 of the bits and they share a band of least
+    hashes of five-word shingles, which a pair of Jaccard similarity 0.8 misses twice in a thousand times.
+    Texts of equal fingerprints and bands are one node, so exact copies always link. A null key is the least
+    only where there is no other.
+    """
+    made = wide_fingerprints(docs, key, text).withColumn("node", F.xxhash64(*WIDE, "bands"))
+    nodes = stored(made.groupBy("node").agg(F.min(key).alias("least"), *[F.first(c).alias(c) for c in (*WIDE, "bands")]), "nodes")
+    keyed = nodes.select("node", *WIDE, F.posexplode("bands").alias("block", "value"))
+    member = components(bucketed_links(keyed, WIDE, WIDE_RADIUS))
+    joined = nodes.select("node", "least").join(member.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    return joined.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("least").alias(key)).select(key)

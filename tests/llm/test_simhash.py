@@ -75,7 +75,25 @@ def test_links_of_hot_buckets(spark, tile):
 
 def test_pivot_table_discards_nothing_close():
     rng = np.random.default_rng(1)
-    fps = rng.integers(0, 2**64, 400, dtype=np.uint64)
-    fps[200:] = fps[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
-    found = simhash.tile_links(fps, fps[:0], 3, simhash.pivots())
-    assert {tuple(sorted(map(int, p))) for p in found} >= {tuple(sorted((int(a), int(b)))) for a, b in zip(fps[:200], fps[200:], strict=True)}
+    fps = rng.integers(0, 2**64, (400, 1), dtype=np.uint64)
+    fps[200:, 0] = fps[:200, 0] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
+    found = simhash.tile_links(fps, 3, simhash.pivots())
+    assert {tuple(sorted(p)) for p in found.tolist()} >= {(i, i + 200) for i in range(200)}
+
+
+def test_keepers(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(900)]
+    rows, near = [], []
+    for i in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(200, 400))]
+        rows.append((2 * i, " ".join(words)))
+        if i % 3 == 0:
+            copy = list(words)
+            copy[rng.randrange(len(copy))] = "other"
+            near.append(2 * i + 1)
+            rows.append((2 * i + 1, " ".join(copy)))
+    rows += [(500, rows[0][1]), (501, rows[0][1].upper()), (502, None), (503, ""), (504, "few words"), (504, "few words"), (None, "few words")]
+    found = sorted(r["doc_id"] for r in simhash.keepers(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == sorted({i for i, _ in rows if i is not None} - {*near, 500, 501, 503})
+    assert simhash.keepers(spark.createDataFrame([], "doc_id long, text string")).collect() == []
