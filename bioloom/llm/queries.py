@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bioloom.llm import bpe, ctw, digest, langid, mixing, simhash, suffix, urls, wordpiece
+from bioloom.llm import bpe, chroma, ctw, digest, langid, mixing, simhash, suffix, urls, wordpiece
 from bioloom.session import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -49,6 +49,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.piece_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.align_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_ctw": op8_ctw,
     "op9_token_counts": op9_token_counts,
+    "op10_chroma": op10_chroma,
 }
 
 ORACLES: dict[str, str] = {"op4_mixing": mixing.MIX_SQL}
