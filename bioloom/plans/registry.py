@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bioloom.plans import features
+
 FLAGSHIP = "cleaning_summary"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict = {**features.QUERIES}
+ORACLES: dict = {**features.ORACLES}
