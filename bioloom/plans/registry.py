@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from bioloom.plans import features
+from bioloom.plans import curation, features
 
 FLAGSHIP = "cleaning_summary"
-QUERIES: dict = {**features.QUERIES}
-ORACLES: dict = {**features.ORACLES}
+QUERIES: dict = {**features.QUERIES, **curation.QUERIES}
+ORACLES: dict = {**features.ORACLES, **curation.ORACLES}
