@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from bioloom.plans import curation, features
+from bioloom.plans import analysis, curation, features
 
 FLAGSHIP = "cleaning_summary"
-QUERIES: dict = {**features.QUERIES, **curation.QUERIES}
-ORACLES: dict = {**features.ORACLES, **curation.ORACLES}
+QUERIES: dict = {**features.QUERIES, **curation.QUERIES, **analysis.QUERIES}
+ORACLES: dict = {**features.ORACLES, **curation.ORACLES, **analysis.ORACLES}
