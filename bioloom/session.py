@@ -36,8 +36,23 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Python tasks get at most ``ARROW_ROWS`` rows at a time, as rows here hold whole texts.
+
+    Spark's default of 10,000 rows means tens of megabytes of text in the JVM's buffers, in Python's and in
+    what is made of them, all at once.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
