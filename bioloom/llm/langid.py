@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bioloom.llm.blocks import mix64, text_blocks
+from bioloom.session import stored
 
 GRAM = 4
 SAMPLE = 3000
@@ -27,6 +28,8 @@ SHARE = 0.25
 MIN_COUNT = 3
 HASHES = 3
 SLOTS_PER_GRAM = 16
+#: Up to so many languages, their sizes go to every task; with more, texts are shuffled to them.
+BROADCAST_LANGUAGES = 10_000
 UNDECIDED = "und"
 LETTER = regex.compile(r"\p{L}")
 
@@ -119,7 +122,10 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("draw")
     )
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("lang", "of")
+    sizes = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("lang", "of"), "languages")
+    if sizes.count() <= BROADCAST_LANGUAGES:
+        # Else the texts of a language would meet in one partition.
+        sizes = F.broadcast(sizes)
     span = F.lit(2.0**64)
     drawn = rows.join(sizes, F.col("lang") == F.col("of")).where(
         (F.col("draw") / span + 0.5) * F.col("rows") < sample
