@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bioloom.functions import residues as R
 
-S = F.col("seq")
 
 
 def similarity(a: str, b: str) -> float:
@@ -36,21 +35,21 @@ def conservation(rows: DataFrame, reference: DataFrame) -> DataFrame:
     The reference is one row of short strings, as many as its shortest sequence has residues.
     """
     width = F.size("sets")
-    head = F.slice(R.letters(S), 1, F.greatest(width, F.lit(1)))
+    head = F.slice(R.letters(F.col("seq")), 1, F.greatest(width, F.lit(1)))
     hits = F.aggregate(F.zip_with(head, "sets", lambda a, s: F.coalesce(F.instr(s, a) > 0, F.lit(False)).cast("int")), F.lit(0), lambda n, x: n + x)
     last = F.element_at("sets", -1)
     tail = F.expr("substring(seq, size(sets) + 1, length(seq))")
     kin = [R.count_of(tail, a) * F.greatest(*[F.when(F.instr(last, b) > 0, similarity(a, b)).otherwise(0.0) for b in R.AMINO]) for a in R.AMINO]
     beyond = R.total(kin)
-    score = F.when(S == "", 0.5).when(F.length(S) <= width, hits / F.length(S)).otherwise((hits + 0.5 * beyond) / F.length(S))
+    score = F.when(F.col("seq") == "", 0.5).when(F.length(F.col("seq")) <= width, hits / F.length(F.col("seq"))).otherwise((hits + 0.5 * beyond) / F.length(F.col("seq")))
     return rows.crossJoin(F.broadcast(column_sets(reference))).withColumn("conserv", score).drop("sets")
 
 
 def score(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """All partial scores and the weighted ``overall``; an empty sequence scores one half throughout."""
-    made = conservation(rows, reference).withColumns({"fold": R.fold_score(S), "assembly": R.assembly_score(S), "novelty": R.novelty_score(S), "toxic": R.safety_score(S)})
+    made = conservation(rows, reference).withColumns({"fold": R.fold_score(F.col("seq")), "assembly": R.assembly_score(F.col("seq")), "novelty": R.novelty_score(F.col("seq")), "toxic": R.safety_score(F.col("seq"))})
     names = list(R.OVERALL_WEIGHTS)
-    made = made.withColumns({n: F.when(S == "", F.lit(0.5)).otherwise(F.col(n)) for n in names})
+    made = made.withColumns({n: F.when(F.col("seq") == "", F.lit(0.5)).otherwise(F.col(n)) for n in names})
     return made.withColumn("overall", F.round(R.overall_score({n: F.col(n) for n in names}), 10))
 
 
@@ -60,16 +59,16 @@ def _named(rules: list[tuple[str, Column]]) -> Column:
 
 def explain(scored: DataFrame) -> DataFrame:
     """Adds strengths, risks and recommendations by threshold rules, joined by a bar, and the conservation class."""
-    h, structure, local = R.ratio(S, R.HYDROPHOBIC), R.structure_propensity(S), R.localization(S)
+    h, structure, local = R.ratio(F.col("seq"), R.HYDROPHOBIC), R.structure_propensity(F.col("seq")), R.localization(F.col("seq"))
     strengths = _named([
         ("stable_fold", F.col("fold") > 0.9), ("safe", F.col("toxic") > 0.85), ("novel", F.col("novelty") > 0.7), ("ideal_hydrophobicity", (h > 0.35) & (h < 0.55)),
         ("helical", structure["helix"] > 0.5), ("soluble", local["solubility"] > 0.7),
     ])
     risks = _named([
-        ("weak_fold", F.col("fold") < 0.7), ("unsafe", F.col("toxic") < 0.6), ("no_net_charge", R.charge(S).cast("int") == 0),
-        ("disordered", structure["disorder"] > 0.5), ("unusual_length", (F.length(S) < 50) | (F.length(S) > 200)),
+        ("weak_fold", F.col("fold") < 0.7), ("unsafe", F.col("toxic") < 0.6), ("no_net_charge", R.charge(F.col("seq")).cast("int") == 0),
+        ("disordered", structure["disorder"] > 0.5), ("unusual_length", (F.length(F.col("seq")) < 50) | (F.length(F.col("seq")) > 200)),
     ])
-    advice = _named([("verify_structure", F.col("fold") < 0.8), ("check_core_residues", F.col("conserv") < 0.5), ("missing_repeat_unit", ~S.rlike(R.MOTIFS["repeat_variant"]))])
+    advice = _named([("verify_structure", F.col("fold") < 0.8), ("check_core_residues", F.col("conserv") < 0.5), ("missing_repeat_unit", ~F.col("seq").rlike(R.MOTIFS["repeat_variant"]))])
     advice = F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit("test_first")))
     return scored.withColumns({
         "strengths": F.array_join(strengths, "|"), "risks": F.array_join(risks, "|"), "recommendations": F.array_join(advice, "|"),

@@ -9,7 +9,6 @@ from bioloom.operators import design, features as ops
 from bioloom.plans import views
 from bioloom.plans.views import RAW_SQL, SEQS_SQL, with_views
 
-S = F.col("seq")
 A = R.AMINO
 
 
@@ -83,16 +82,16 @@ def scalar(name: str, columns, sql: str, raw: bool = False) -> None:
 
 
 scalar(
-    "valid_amino_acids", lambda: {"legal": R.is_legal(S), "illegal": F.array_join(R.illegal_letters(S), "")},
+    "valid_amino_acids", lambda: {"legal": R.is_legal(F.col("seq")), "illegal": F.array_join(R.illegal_letters(F.col("seq")), "")},
     f"regexp_full_match(seq, '[{A}]*') AS legal, array_to_string(list_sort(list_distinct(list_filter(string_split(translate(seq, '{A}', ''), ''), lambda x: x <> ''))), '') AS illegal", raw=True,
 )
 scalar(
-    "hard_filter", lambda: {"passes": R.passes_hard_filter(S)},
+    "hard_filter", lambda: {"passes": R.passes_hard_filter(F.col("seq"))},
     f"CASE WHEN length(seq) BETWEEN 40 AND 300 THEN regexp_full_match(seq, '[{A}]*') AND {rat(R.HYDROPHOBIC)} <= 0.6 AND {MAXF} <= 0.3 AND NOT {tandem(3, 3)} AND NOT {tandem(4, 3)} AND NOT {tandem(5, 3)} ELSE false END AS passes", raw=True,
 )
-scalar("longest_hydrophobic_run", lambda: {"longest_run": R.longest_run(S, R.HYDROPHOBIC), "passes": R.longest_run(S, R.HYDROPHOBIC) <= 10}, f"{RUN}::INTEGER AS longest_run, {RUN} <= 10 AS passes")
+scalar("longest_hydrophobic_run", lambda: {"longest_run": R.longest_run(F.col("seq"), R.HYDROPHOBIC), "passes": R.longest_run(F.col("seq"), R.HYDROPHOBIC) <= 10}, f"{RUN}::INTEGER AS longest_run, {RUN} <= 10 AS passes")
 scalar(
-    "max_consecutive_repeat", lambda: {"longest_repeat": R.longest_repeat(S)},
+    "max_consecutive_repeat", lambda: {"longest_repeat": R.longest_repeat(F.col("seq"))},
     "",
 )
 ORACLES["max_consecutive_repeat"] = (
@@ -102,43 +101,43 @@ ORACLES["max_consecutive_repeat"] = (
     " SELECT s.doc_id, greatest(1, coalesce(max(n), 1))::INTEGER AS longest_repeat FROM seqs s LEFT JOIN sizes USING (doc_id) GROUP BY s.doc_id"
 )
 scalar(
-    "kmer_diversity", lambda: {"diversity": R.kmer_diversity(S)},
+    "kmer_diversity", lambda: {"diversity": R.kmer_diversity(F.col("seq"))},
     "CASE WHEN length(seq) >= 3 THEN round(len(list_distinct(list_transform(range(1, length(seq) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))) / (length(seq) - 2), 10) ELSE 0.0 END::DOUBLE AS diversity",
 )
 OTHER = "".join(a for a in A if a not in R.HYDROPHOBIC)
 FOLDED = f"string_split_regex(regexp_replace(regexp_replace(translate(seq, '{R.HYDROPHOBIC + OTHER}', '{'H' * len(R.HYDROPHOBIC) + 'P' * len(OTHER)}'), 'HP', 'H P', 'g'), 'PH', 'P H', 'g'), ' ')"
 scalar(
-    "blockiness", lambda: R.blockiness(S),
+    "blockiness", lambda: R.blockiness(F.col("seq")),
     f"CASE WHEN seq = '' THEN NULL ELSE list_max(list_transform({FOLDED}, lambda x: length(x))) END::INTEGER AS max_block, CASE WHEN seq = '' THEN NULL ELSE round(length(seq) / len({FOLDED}), 10) END AS mean_block, CASE WHEN seq = '' THEN 0 ELSE len({FOLDED}) END::INTEGER AS n_blocks",
 )
 scalar(
-    "window_complexity", lambda: ops.window_complexity(S, 10),
+    "window_complexity", lambda: ops.window_complexity(F.col("seq"), 10),
     "round(list_avg(list_transform(range(1, length(seq) - 8), lambda i: len(list_distinct(c[i:i + 9])) / 10)), 10) AS mean_complexity, round(list_min(list_transform(range(1, length(seq) - 8), lambda i: len(list_distinct(c[i:i + 9])) / 10)), 10) AS min_complexity, greatest(0, length(seq) - 9)::INTEGER AS n_windows",
 )
-scalar("aa_composition", lambda: {f"f_{a}": R.ratio(S, a) for a in A}, ", ".join(f"round({rat(a)}, 10)::DOUBLE AS f_{a}" for a in A))
+scalar("aa_composition", lambda: {f"f_{a}": R.ratio(F.col("seq"), a) for a in A}, ", ".join(f"round({rat(a)}, 10)::DOUBLE AS f_{a}" for a in A))
 WEIGHT = " + ".join(f"{cnt(a)} * {v}" for a, v in R.SIZE.items())
 PHYS = (
     f"length(seq)::INTEGER AS length, ({WEIGHT} + 110 * {cnt('BJOUXZ')} - 18 * (length(seq) - 1))::INTEGER AS molecular_weight, trunc({CHARGE})::INTEGER AS charge,"
     f" round({rat(R.HYDROPHOBIC)}, 10)::DOUBLE AS hydrophobic_ratio, round({rat(R.AROMATIC)}, 10)::DOUBLE AS aromatic_ratio, round(7.0::DOUBLE + 0.3 * ({cnt('KRH')} - {cnt('DE')}), 10)::DOUBLE AS isoelectric_point"
 )
-scalar("physicochemical", lambda: R.physicochemical(S), PHYS, raw=True)
+scalar("physicochemical", lambda: R.physicochemical(F.col("seq")), PHYS, raw=True)
 DISORDER = f"(CASE WHEN {MEANH} < -0.5 THEN least(1.0, -{MEANH} * 0.3 + abs({CHARGE}) / length(seq)) ELSE 0.0 END)"
 scalar(
-    "structure_propensity", lambda: R.structure_propensity(S),
+    "structure_propensity", lambda: R.structure_propensity(F.col("seq")),
     f"round({rat(R.HELIX)}, 10)::DOUBLE AS helix, round({rat(R.SHEET)}, 10)::DOUBLE AS sheet, round({rat(R.TURN)}, 10)::DOUBLE AS turn, round({DISORDER}, 10)::DOUBLE AS disorder",
 )
 LOC = f"CASE WHEN {H} > 0.55 THEN 'Membrane' WHEN {H} > 0.4 THEN 'Cytoplasm/Membrane' ELSE 'Cytoplasm' END AS localization"
 SOL = f"(CASE WHEN {H} > 0.55 THEN 0.3 WHEN {H} > 0.4 THEN 0.7 ELSE 0.9 END)::DOUBLE"
 scalar(
-    "localization_aggregation", lambda: R.localization(S),
+    "localization_aggregation", lambda: R.localization(F.col("seq")),
     f"{LOC}, {SOL} AS solubility, CASE WHEN {H} > 0.6 OR {RUN} > 12 THEN 'high' WHEN {H} > 0.5 OR {RUN} > 8 THEN 'moderate' ELSE 'low' END AS aggregation",
 )
-scalar("score_novelty_heuristic", lambda: {"novelty": R.novelty_score(S)}, f"{NOVELTY} AS novelty")
-scalar("score_fold_heuristic", lambda: {"fold": R.fold_score(S)}, f"{FOLD} AS fold")
-scalar("score_safety", lambda: {"toxic": R.safety_score(S)}, f"round({SAFETY}, 10)::DOUBLE AS toxic")
+scalar("score_novelty_heuristic", lambda: {"novelty": R.novelty_score(F.col("seq"))}, f"{NOVELTY} AS novelty")
+scalar("score_fold_heuristic", lambda: {"fold": R.fold_score(F.col("seq"))}, f"{FOLD} AS fold")
+scalar("score_safety", lambda: {"toxic": R.safety_score(F.col("seq"))}, f"round({SAFETY}, 10)::DOUBLE AS toxic")
 TOKENS = f"list_concat(list_concat([1], list_transform(list_filter({CHARS}, lambda x: x <> ''), lambda x: CASE WHEN strpos('{A}', x) > 0 THEN strpos('{A}', x) + 3 ELSE 3 END)), [2])"
 scalar(
-    "tokenize", lambda: ops.tokenized(S),
+    "tokenize", lambda: ops.tokenized(F.col("seq")),
     f"len({TOKENS})::INTEGER AS n_tokens, array_to_string({TOKENS}, ' ') AS tokens, array_to_string(({TOKENS})[:-2], ' ') AS inputs, array_to_string(({TOKENS})[2:], ' ') AS labels, translate(seq, 'BJOUXZ', 'XXXXXX') AS decoded", raw=True,
 )
 
@@ -154,7 +153,7 @@ def score_assembly(spark, d):
     one = views.seqs(spark, d)
     other = one.select((F.col("doc_id") - 1).alias("doc_id"), F.col("seq").alias("other"))
     some = (F.length("other") > 0) & (F.length("seq") > 0)
-    return one.join(other, "doc_id", "left").select("doc_id", R.assembly_score(S).alias("single"), F.when(some, R.pair_assembly_score(S, F.col("other"))).alias("pair"))
+    return one.join(other, "doc_id", "left").select("doc_id", R.assembly_score(F.col("seq")).alias("single"), F.when(some, R.pair_assembly_score(F.col("seq"), F.col("other"))).alias("pair"))
 
 
 def sim(a: str, b: str) -> float:
@@ -233,6 +232,6 @@ PAD_SQL = f"""{with_views(SEQS_SQL)}, b AS (SELECT doc_id, lang, {TOKENS} AS ids
 
 @query("pad_batches", PAD_SQL)
 def pad_batches(spark, d):
-    rows = views.seqs(spark, d).select("doc_id", "lang", R.token_ids(S).alias("ids"))
+    rows = views.seqs(spark, d).select("doc_id", "lang", R.token_ids(F.col("seq")).alias("ids"))
     padded = ops.pad_batches(rows, "ids", "lang", "doc_id", 16)
     return padded.select("doc_id", "batch", "width", F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_real"), F.md5(F.array_join(F.col("padded").cast("array<string>"), " ").cast("binary")).alias("padded_md5"))
