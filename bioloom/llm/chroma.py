@@ -24,6 +24,7 @@ SPAN = 16
 LOWEST_HZ, HIGHEST_HZ = 100.0, 1800.0
 FILTERS = 16
 MIN_VOTES = 3
+LAG = SPAN // 2
 MAX_ERROR = 0.3
 QUERY_MODULUS = 50
 
@@ -125,13 +126,16 @@ def align(prints: DataFrame, key: str, is_query, min_votes: int = MIN_VOTES, max
     """Per recording: its class, and for queries how many other classes it links to and the best of them.
 
     Classes of equal codes are named by their least key. For each class with a query the offsets at which its
-    integers agree with another class's are counted; the offset with most votes (ties: the least) is verified
+    integers, two and two, agree with another class's are counted; the offset with most votes (ties: the least) is verified
     over the whole overlap by its bit errors. A recording without codes links to nothing. Rows that repeat
     a key repeat in the result.
     """
     made = stored(prints.withColumn("class", F.xxhash64("codes", F.size("codes"))).withColumn("asked", is_query), "prints")
     classes = stored(made.groupBy("class").agg(F.min(key).alias("class_id"), F.first("codes").alias("codes"), F.max("asked").alias("asked")), "classes")
-    places = classes.select("class", "asked", F.posexplode("codes").alias("place", "code"))
+    # Two integers half a span apart are one key: a single one recurs by chance in many strangers.
+    n = F.greatest(F.size("codes") - LAG, F.lit(0))
+    keys = F.zip_with(F.slice("codes", F.lit(1), n), F.slice("codes", F.lit(LAG + 1), n), lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseXOR(b.cast("long")))
+    places = classes.select("class", "asked", F.posexplode(keys).alias("place", "code"))
     asked = places.where("asked").select(F.col("class").alias("q"), F.col("place").alias("q_place"), "code")
     votes = (
         places.join(asked, "code").where(F.col("class") != F.col("q"))
