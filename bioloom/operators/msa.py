@@ -9,7 +9,7 @@ from bioloom.functions import residues as R
 
 def long_form(aligned: DataFrame, group: str, key: str, column: str) -> DataFrame:
     """Residues with their columns; gap characters and what a short row lacks at its end are gaps."""
-    return aligned.select(F.col(group).alias("grp"), F.col(key).alias("key"), F.posexplode(R.letters(F.col(column))).alias("pos", "aa")).where("aa != '-'").withColumn("pos", F.col("pos") + 1)
+    return aligned.select(F.col(group).alias("grp"), F.col(key).alias("key"), F.posexplode(R.letters(F.col(column))).alias("pos", "aa")).where("aa != '-'").withColumn("pos", (F.col("pos") + 1).cast("long"))
 
 
 def residue_counts(long: DataFrame) -> DataFrame:
