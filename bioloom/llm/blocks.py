@@ -65,7 +65,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of an odd multiplier and of its inverse modulo 2**64, at least ``n`` of each."""
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(21, int(n).bit_length())
+        size = max((1 << 20) + 4096, int(n))
         made = []
         for base in (MULTIPLIER, pow(MULTIPLIER, -1, 2**64)):
             table = np.full(size, base, np.uint64)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bioloom.llm import bpe, langid, mixing, simhash, suffix
 from bioloom.llm.queries import RANKS
-from bioloom.session import stored, table
+from bioloom.session import bounded_batches, stored, table
 
 #: The SQL check has no SimHash and no BPE; tests compare each stage with brute force.
 ORACLE_SQL = None
@@ -22,6 +22,7 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or text, for which no language can be told."""
+    bounded_batches(spark)
     filters = langid.learn(docs)
     known = langid.predict(docs, filters).where(F.col("lang_pred") != langid.UNDECIDED)
     return known.select(*docs.columns)
@@ -29,6 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near copies, once."""
+    bounded_batches(spark)
     groups = simhash.keepers(docs)
     kept = docs.join(groups.withColumnRenamed("doc_id", "keeper"), F.col("doc_id").eqNullSafe(F.col("keeper")), "left_semi")
     return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
@@ -39,6 +41,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     What is left of a character that lost some of its bytes goes with them. ``n_chars`` follows the text.
     """
+    bounded_batches(spark)
     left = suffix.remove_repeats(docs)
     kinds = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in docs.columns if c != "text")
 
@@ -62,6 +65,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes every document of the mixture and proves the round trip."""
+    bounded_batches(spark)
     return bpe.round_trip_digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
