@@ -31,9 +31,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near copies, once."""
     bounded_batches(spark)
-    groups = simhash.keepers(docs)
-    kept = docs.join(groups.withColumnRenamed("doc_id", "keeper"), F.col("doc_id").eqNullSafe(F.col("keeper")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    # Join and removal of repeated ids have the same two keys, so texts are shuffled once. A null id is zero that is no id.
+    identity = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("no_id")]
+    rows = docs.select(*identity, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    kept = rows.join(simhash.keepers(docs).select(*identity), ["id", "no_id"], "left_semi")
+    return kept.dropDuplicates(["id", "no_id"]).select("doc.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
