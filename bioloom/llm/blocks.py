@@ -14,6 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 1 << 20
 #: White space that separates words: the space and tab to carriage return.
@@ -134,3 +135,8 @@ def lower_ascii() -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     table[65:91] += 32
     return table
+
+
+def apart(docs: DataFrame, *needed: str) -> DataFrame:
+    """``docs`` with all columns but the ``needed`` ones named by position, so that none clashes with a column that an operator makes."""
+    return docs.toDF(*[c if c in needed else f"given_{i}" for i, c in enumerate(docs.columns)])

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from bioloom.llm.blocks import apart
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -94,9 +96,11 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFra
     """The documents of the mix: each as often as it was taken, the partial repetition cut after its words.
 
     ``n_chars`` follows the text where the column is there. Documents of no words are never taken.
+    Other columns pass through under any name.
     """
     reps = mixed.filter("taken > 0").groupBy(F.col(key).alias("mix_key")).agg(F.first("whole").alias("whole"), F.first("extra").alias("extra"), F.first("size").alias("words"))
-    joined = docs.join(reps, F.col(key).eqNullSafe(F.col("mix_key")))
+    own = apart(docs, key, "text", "n_chars")
+    joined = own.join(reps, F.col(key).eqNullSafe(F.col("mix_key")))
     copies = F.transform(F.sequence(F.lit(1), F.col("whole") + F.lit(1)), lambda i: F.when(i <= F.col("whole"), F.col("words")).otherwise(F.col("extra")))
     rows = joined.withColumn("mix_words", F.explode(F.filter(copies, lambda n: n > 0)))
     # Each part is a word with the white space before it.
@@ -105,7 +109,7 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFra
     rows = rows.withColumn("text", F.when(F.col("mix_words") >= F.col("words"), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*own.columns).toDF(*docs.columns)
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """A training corpus in five stages: language, near copies, repeated passages, mixture, tokens.
 
 Each stage takes and gives documents (the last one gives token digests), works on all that the stage before
-it kept, and applies one operator of ``bioloom.llm`` with production parameters.
+it kept, and applies one operator of ``bioloom.llm`` with production parameters. Columns that a stage does not
+need pass through it under any name.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bioloom.llm import bpe, langid, mixing, simhash, suffix
+from bioloom.llm.blocks import apart
 from bioloom.llm.queries import RANKS
 from bioloom.session import bounded_batches, stored, table
 
@@ -24,8 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or text, for which no language can be told."""
     bounded_batches(spark)
     filters = langid.learn(docs)
-    known = langid.predict(docs, filters).where(F.col("lang_pred") != langid.UNDECIDED)
-    return known.select(*docs.columns)
+    own = apart(docs, "text")
+    known = langid.predict(own, filters).where(F.col("lang_pred") != langid.UNDECIDED)
+    return known.select(*own.columns).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +47,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     What is left of a character that lost some of its bytes goes with them. ``n_chars`` follows the text.
     """
     bounded_batches(spark)
-    left = suffix.remove_repeats(docs)
-    kinds = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in docs.columns if c != "text")
+    own = apart(docs, "doc_id", "text", "n_chars")
+    left = suffix.remove_repeats(own)
+    kinds = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in own.columns if c != "text")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,10 +57,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "text"])
 
     some = left.where((F.length("kept") > 0) | (F.size("removed") == 0))
-    texts = some.select(*[c for c in docs.columns if c != "text"], "kept").mapInArrow(decode, f"{kinds}, text string")
+    texts = some.select(*[c for c in own.columns if c != "text"], "kept").mapInArrow(decode, f"{kinds}, text string")
     if "n_chars" in docs.columns:
         texts = texts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return texts.select(*docs.columns)
+    return texts.select(*own.columns).toDF(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

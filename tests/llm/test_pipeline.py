@@ -50,6 +50,27 @@ def test_stages(spark, corpus):
         table.unpersist()
 
 
+def test_clashing_columns_nulls_and_repeated_ids(spark, corpus):
+    """Columns named like those that operators make pass through; null ids and repeated rows stay once."""
+    rows, _ = corpus
+    names = ["score", "lang_pred", "id", "no_id", "doc", "part", "kept", "removed", "whole", "extra", "words", "size", "mix_words", "Zähl a.b"]
+    rows = [*rows[:12], rows[5], rows[5], (None, "no id but these words are here", "en", None, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in names:
+        docs = docs.withColumn(name, docs["doc_id"] + len(name))
+    given = docs.columns
+    for label, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "").persist()
+        assert docs.columns == given
+        found = docs.collect()
+        assert {r["doc_id"] for r in found} <= {None, *range(12)} and len(found) >= 8
+        assert all(r[name] == (None if r["doc_id"] is None else r["doc_id"] + len(name)) for r in found for name in names)
+        if "near" in label:
+            assert sorted(r["doc_id"] for r in found if r["doc_id"] is not None) == list(range(12)) and len(found) == 13
+    coded = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert len(coded) == docs.count()
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
