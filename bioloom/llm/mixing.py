@@ -92,15 +92,23 @@ def mix(
     )
 
 
+def row_hash() -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64("text", "source")
+
+
 def apply_mix(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents of the mix: each as often as it was taken, the partial repetition cut after its words.
 
     ``n_chars`` follows the text where the column is there. Documents of no words are never taken.
-    Other columns pass through under any name.
+    Other columns pass through under any name. Where ids repeat, ``mixed`` has a column ``row_hash`` as well.
     """
-    reps = mixed.filter("taken > 0").groupBy(F.col(key).alias("mix_key")).agg(F.first("whole").alias("whole"), F.first("extra").alias("extra"), F.first("size").alias("words"))
-    own = apart(docs, key, "text", "n_chars")
-    joined = own.join(reps, F.col(key).eqNullSafe(F.col("mix_key")))
+    hashed = "row_hash" in mixed.columns
+    keys = [F.col(key).alias("mix_key"), *([F.col("row_hash").alias("mix_row")] if hashed else [])]
+    reps = mixed.filter("taken > 0").groupBy(*keys).agg(F.first("whole").alias("whole"), F.first("extra").alias("extra"), F.first("size").alias("words"))
+    own = apart(docs, key, "text", "n_chars", "source")
+    same = F.col(key).eqNullSafe(F.col("mix_key"))
+    joined = own.join(reps, same & (row_hash() == F.col("mix_row")) if hashed else same)
     copies = F.transform(F.sequence(F.lit(1), F.col("whole") + F.lit(1)), lambda i: F.when(i <= F.col("whole"), F.col("words")).otherwise(F.col("extra")))
     rows = joined.withColumn("mix_words", F.explode(F.filter(copies, lambda n: n > 0)))
     # Each part is a word with the white space before it.

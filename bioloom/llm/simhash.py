@@ -263,7 +263,7 @@ def shingle_hashes(buf: np.ndarray, bounds: np.ndarray, size: int = WIDE_SHINGLE
 
 
 def wide_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, words, fp0 .. fp3, bands``: a fingerprint of four lanes over five-word shingles, and band keys. No words: all zero."""
+    """``key, text_hash, fp0 .. fp3, bands``: a fingerprint of four lanes over five-word shingles, and band keys. No words: all zero."""
     kind = docs.schema[key].dataType.simpleString()
     salts = np.random.default_rng(19).integers(0, 2**64, LANES + BANDS * BAND, dtype=np.uint64)
 
@@ -285,13 +285,14 @@ def wide_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text")
                         least = np.minimum.reduceat(mix64(hashes ^ salts[LANES + i]), first)
                         bands[i // BAND, some] = mix64(bands[i // BAND, some] + least)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(bands.T).view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, size), *(pa.array(x.view(np.int64)) for x in lanes), lists], [key, *WIDE, "bands"])
+                given = [batch.column(i).slice(block.first, size) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*given, *(pa.array(x.view(np.int64)) for x in lanes), lists], [key, "text_hash", *WIDE, "bands"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{c} long' for c in WIDE)}, bands array<long>")
+    return docs.select(key, text, F.xxhash64(text).alias("text_hash")).mapInArrow(run, f"`{key}` {kind}, text_hash long, {', '.join(f'{c} long' for c in WIDE)}, bands array<long>")
 
 
 def keepers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The least ``key`` of each group of near copies.
+    """``key, text_hash``: the row with the least key, then the least hash of its text, of each group of near copies.
 
     Texts link if their wide fingerprints agree in at least 0.8 of the bits and they share a band of least
     hashes of five-word shingles, which a pair of Jaccard similarity 0.8 misses twice in a thousand times.
@@ -299,8 +300,9 @@ def keepers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     only where there is no other.
     """
     made = wide_fingerprints(docs, key, text).withColumn("node", F.xxhash64(*WIDE, "bands"))
-    nodes = stored(made.groupBy("node").agg(F.min(key).alias("least"), *[F.first(c).alias(c) for c in (*WIDE, "bands")]), "nodes")
+    least = F.min(F.struct(F.isnull(key).alias("none"), key, "text_hash"))
+    nodes = stored(made.groupBy("node").agg(least.alias("least"), *[F.first(c).alias(c) for c in (*WIDE, "bands")]), "nodes")
     keyed = nodes.select("node", *WIDE, F.posexplode("bands").alias("block", "value"))
     member = components(bucketed_links(keyed, WIDE, WIDE_RADIUS))
     joined = nodes.select("node", "least").join(member.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-    return joined.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("least").alias(key)).select(key)
+    return joined.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("least").alias("least")).select(f"least.{key}", "least.text_hash")

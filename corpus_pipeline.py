@@ -32,13 +32,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies, once."""
+    """Keeps the document with the least id of each group of near copies, once.
+
+    Ids may repeat or be null: a document is its id and its text. Of rows equal in both, the one with the least hash of all
+    columns stays.
+    """
     bounded_batches(spark)
-    # Join and removal of repeated ids have the same two keys, so texts are shuffled once. A null id is zero that is no id.
+    # Join and removal of repeated rows have the same keys, so texts are shuffled once. A null id is zero that is no id.
+    keys = ["id", "no_id", "text_hash"]
     identity = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("no_id")]
-    rows = docs.select(*identity, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    kept = rows.join(simhash.keepers(docs).select(*identity), ["id", "no_id"], "left_semi")
-    return kept.dropDuplicates(["id", "no_id"]).select("doc.*")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = [c for c, (_, kind) in zip(columns, docs.dtypes, strict=True) if "map<" not in kind]
+    rows = docs.select(*identity, F.xxhash64("text").alias("text_hash"), F.xxhash64(*hashed).alias("order"), F.struct(*columns).alias("doc"))
+    kept = rows.join(simhash.keepers(docs).select(*identity, "text_hash"), keys, "left_semi")
+    return kept.groupBy(*keys).agg(F.min_by("doc", "order").alias("doc")).select("doc.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +72,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats, samples and drops documents so that sources come to their target shares."""
-    sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.row_hash().alias("row_hash"))
     return mixing.apply_mix(docs, stored(mixing.mix(sizes), "mix"))
 
 

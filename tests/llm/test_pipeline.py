@@ -76,3 +76,27 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
         assert docs.collect() == []
+
+
+def test_rows_of_null_and_repeated_ids(spark, corpus):
+    """Documents are told apart by id and text: only near copies go, whatever their ids, and the mixture takes each by itself."""
+    rows, _ = corpus
+    texts = [r[1] for r in rows[:14]]
+    given = [(None, t) for t in texts[:6]] + [(None, texts[6]), (6, texts[6]), (7, texts[7]), (7, texts[8]), (7, texts[7] + " end"), (None, texts[9]), (None, texts[9])]
+    given += [(0, texts[10]), (0, texts[11])]
+    expected = [(None, t) for t in texts[:6]] + [(6, texts[6]), (7, texts[8]), (None, texts[9]), (0, texts[10]), (0, texts[11])]
+    docs = spark.createDataFrame([(i, t, f"s{n % 2}", 0) for n, (i, t) in enumerate(given)], "doc_id long, text string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["SimHash near-dedup"](spark, docs, "").persist()
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    seven = [t for i, t in found if i == 7 and t != texts[8]]
+    assert len(seven) == 1 and seven[0] in (texts[7], texts[7] + " end")
+    assert sorted((x for x in found if x != (7, seven[0])), key=str) == sorted(expected, key=str)
+    again = stages["SimHash near-dedup"](spark, docs.repartition(5), "").collect()
+    assert sorted(map(str, again)) == sorted(map(str, kept.collect()))
+    whole = {r["text"] for r in kept.collect() if r["source"] == "s0"}
+    mixed = stages["mixing sources to target weights"](spark, kept, "").collect()
+    words = sum(len(t.split()) for _, t in found)
+    assert abs(sum(len(r["text"].split()) for r in mixed) - words) <= 2
+    assert len(whole) > 2 and whole <= {r["text"] for r in mixed}
+    kept.unpersist()
