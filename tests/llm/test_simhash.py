@@ -97,3 +97,45 @@ def test_keepers(spark):
     found = sorted(r["doc_id"] for r in simhash.keepers(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert found == sorted({i for i, _ in rows if i is not None} - {*near, 500, 501, 503})
     assert simhash.keepers(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def similar_texts(n, changed, seed):
+    """A text of ``n`` shingles and one whose last words are others: similarity (n - changed) / (n + changed)."""
+    word = lambda i, kind: f"{kind}{seed}x{i}"
+    words = [word(i, "w") for i in range(n + 4)]
+    return " ".join(words), " ".join(words[: n + 4 - changed] + [word(i, "o") for i in range(changed)])
+
+
+@pytest.mark.parametrize(("changed", "linked"), [(159, False), (112, False), (101, False), (100, True), (73, True)])
+def test_keepers_link_from_similarity(spark, changed, linked):
+    """Jaccard 0.70, 0.779, 0.798, 0.8 and 0.85, thirty pairs each."""
+    pairs = [similar_texts(900, changed, s) for s in range(30)]
+    docs = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id long, text string")
+    assert simhash.keepers(docs).count() == (30 if linked else 60)
+
+
+def test_keepers_count_shingles_once(spark):
+    line = "the same line of eight words once more "
+    text, copy = similar_texts(300, 10, 1)
+    docs = spark.createDataFrame([(1, text + " " + line * 2), (2, copy + " " + line * 400)], "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.keepers(docs).collect()] == [1]
+
+
+@pytest.mark.parametrize(("tile", "set_bytes"), [(4, 1 << 20), (2048, 3000), (2048, 1 << 20)])
+def test_similar_links_of_a_hot_bucket(spark, tile, set_bytes):
+    """Sets round one centre with all bands in common: the components are those of all pairs."""
+    rng = np.random.default_rng(4)
+    centre = rng.choice(2**32, 100, replace=False)
+    sets = [np.unique(np.concatenate([centre[rng.permutation(100)[: rng.integers(75, 100)]], rng.integers(0, 2**32, rng.integers(0, 12))])).astype(np.uint32) for _ in range(40)]
+    rows = [(i, 0, 0, 0, 0, [5, 6], bytearray(x.tobytes())) for i, x in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, fp0 long, fp1 long, fp2 long, fp3 long, bands array<long>, shingles binary")
+    plain, forest = simhash.Forest(40), simhash.Forest(40)
+    for i in range(40):
+        for j in range(i):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if len(a & b) / len(a | b) >= 0.8:
+                plain.join(i, j)
+    for a, b in simhash.similar_links(nodes, tile, set_bytes).collect():
+        forest.join(a, b)
+    roots = [plain.root(i) for i in range(40)]
+    assert [forest.root(i) for i in range(40)] == roots and 1 < len(set(roots)) < 40
