@@ -8,7 +8,8 @@ partner, weighted by its features.
 
 Texts of under 512 bytes have too few windows for that; all their windows of eight bytes are features (the
 whole text, if it is shorter than that). Texts from 512 to 767 bytes get both kinds, so texts on either side
-of a limit stay comparable. A text without bytes has no feature: two such are alike, and unlike any other.
+of a limit stay comparable. A longer text without a popular window, as one that repeats a few bytes, falls back on
+windows of eight bytes, and so does any longer text that it is compared with. A text without bytes has no feature: two such are alike, and unlike any other.
 """
 
 from __future__ import annotations
@@ -115,12 +116,12 @@ def _popular(ranks: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Digest:
-    """A chain of filters with the number of features in each."""
+    """A chain of filters with the number of features in each, and whether short and long windows are among them."""
 
-    __slots__ = ("filters", "features")
+    __slots__ = ("filters", "features", "short", "long")
 
-    def __init__(self, filters: np.ndarray, features: np.ndarray):
-        self.filters, self.features = filters, features
+    def __init__(self, filters: np.ndarray, features: np.ndarray, short: bool = True, long: bool = True):
+        self.filters, self.features, self.short, self.long = filters, features, short, long
 
     def __str__(self) -> str:
         last = int(self.features[-1]) if len(self.features) else 0
@@ -142,13 +143,20 @@ class Digest:
         return float(min(1.0, (score.max(1) * few.features).sum() / few.features.sum()))
 
 
-def digests(texts: list[bytes], ranks: np.ndarray) -> list[Digest]:
-    """Digests of several texts at once."""
+def compared(a: Digest, b: Digest, text_a: bytes, text_b: bytes, ranks: np.ndarray) -> float:
+    """The likeness of two texts with these digests; if they have no kind of window in common, that of all their short windows."""
+    if text_a and text_b and not (a.short and b.short) and not (a.long and b.long):
+        a, b = digests([text_a, text_b], ranks, short_only=True)
+    return a.likeness(b)
+
+
+def digests(texts: list[bytes], ranks: np.ndarray, short_only: bool = False) -> list[Digest]:
+    """Digests of several texts at once, by short windows only if asked."""
     buf = np.frombuffer(b"".join(texts), np.uint8)
     lengths = np.array([len(x) for x in texts], np.int64)
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     hashes = SubstringHashes(buf)
-    short, long = lengths < SHORT_TO, lengths >= LONG_FROM
+    short, long = (lengths < SHORT_TO) | short_only, (lengths >= LONG_FROM) & (not short_only)
     picked: list[tuple[np.ndarray, np.ndarray]] = []
     if long.any():
         levels = entropy_levels(buf)
@@ -156,6 +164,8 @@ def digests(texts: list[bytes], ranks: np.ndarray) -> list[Digest]:
         fits &= np.repeat(long, lengths)[: len(fits)]
         at = _popular(ranks[levels], np.flatnonzero(fits))
         picked.append((at, at + WINDOW))
+        long = np.bincount(np.searchsorted(bounds, at, "right") - 1, minlength=len(texts)) > 0
+        short |= ~long
     if short.any():
         inside = _window_starts(bounds, SHORT_WINDOW, len(buf)) & np.repeat(short, lengths)
         at = np.flatnonzero(inside)
@@ -187,7 +197,7 @@ def digests(texts: list[bytes], ranks: np.ndarray) -> list[Digest]:
         features = np.full(k, PER_FILTER)
         if k:
             features[-1] = n - (k - 1) * PER_FILTER
-        out.append(Digest(filters[first_filter[i] : first_filter[i] + k], features))
+        out.append(Digest(filters[first_filter[i] : first_filter[i] + k], features, bool(short[i]), bool(long[i])))
     return out
 
 
@@ -247,7 +257,8 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         """Of all rows but the last of each part, whose successors follow them."""
         at = [i for i in range(len(rows) - 1) if rows[i][0] == rows[i + 1][0]]
         edited = [edit(rows[i][2], rows[i + 1][2]).encode() for i in at]
-        own = digests([r[2].encode() for r in rows] + edited, ranks)
+        raw = [r[2].encode() for r in rows]
+        own = digests(raw + edited, ranks)
         of_edit = own[len(rows) :]
         return pa.RecordBatch.from_arrays(
             [
@@ -256,8 +267,8 @@ def compare_edits(docs: DataFrame) -> DataFrame:
                 pa.array([hashlib.sha256(x).hexdigest() for x in edited], pa.string()),
                 pa.array([str(own[i]) for i in at], pa.string()),
                 pa.array([str(x) for x in of_edit], pa.string()),
-                pa.array([own[i].likeness(x) for i, x in zip(at, of_edit, strict=True)], pa.float64()),
-                pa.array([own[i].likeness(own[i + 1]) for i in at], pa.float64()),
+                pa.array([compared(own[i], x, raw[i], e, ranks) for i, x, e in zip(at, of_edit, edited, strict=True)], pa.float64()),
+                pa.array([compared(own[i], own[i + 1], raw[i], raw[i + 1], ranks) for i in at], pa.float64()),
             ],
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
