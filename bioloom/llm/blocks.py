@@ -1,8 +1,8 @@
 """Texts of Arrow batches as numpy byte blocks, with vectorised word and substring hashes.
 
 A block joins the UTF-8 bytes of several documents; ``bounds[i]:bounds[i + 1]`` are those of document ``i``.
-Blocks keep numpy temporaries to a few megabytes whatever the batch holds; one text longer than the limit is
-a block of its own.
+Blocks keep numpy temporaries to a few megabytes whatever the batch holds. A text longer than the limit is a block of
+its own in ``text_blocks`` and comes in pieces from ``text_pieces``.
 """
 
 from __future__ import annotations
@@ -23,26 +23,35 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 
 
 class Block(NamedTuple):
+    """Texts ``first`` to ``last`` of a column. A piece of a long text is alone in its block: it begins ``start`` bytes into the text
+    and is not ``ended`` if more of the text follows."""
+
     first: int
     last: int
     buf: np.ndarray
     bounds: np.ndarray
+    start: int = 0
+    ended: bool = True
 
 
-def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Blocks of about ``limit`` bytes over a string or binary column; a null counts as an empty text."""
+def _offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of all texts and the bytes they point into; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     column = pc.fill_null(column, b"" if binary else "")
-    n = len(column)
-    if n == 0:
-        return
+    if not len(column):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
     large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64 if large else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    first = 0
+    offsets = np.frombuffer(offsets, np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return offsets, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+
+
+def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
+    """Blocks of about ``limit`` bytes over a string or binary column; a text is never cut."""
+    offsets, data = _offsets(column)
+    n, first = len(offsets) - 1, 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
         last = min(max(last, first + 1), n)
@@ -50,6 +59,35 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         first = last
 
 
+def _next_space(data: np.ndarray, at: int, end: int) -> int:
+    while at < end:
+        found = np.flatnonzero(~_word_bytes()[data[at : min(at + 4096, end)]])
+        if len(found):
+            return at + int(found[0])
+        at += 4096
+    return end
+
+
+def text_pieces(column: pa.Array, limit: int = BLOCK_BYTES, overlap: int | None = None) -> Iterator[Block]:
+    """As ``text_blocks``, but a text longer than ``limit`` comes in pieces of about that size.
+
+    With an ``overlap`` each piece but the last also has so many bytes of what follows. Without one, pieces end before
+    white space, so no word is cut, and a word longer than ``limit`` makes a longer piece.
+    """
+    offsets, data = _offsets(column)
+    for block in text_blocks(column, limit):
+        if len(block.buf) <= limit:
+            yield block
+            continue
+        at, end = int(offsets[block.first]), int(offsets[block.last])
+        start = at
+        while at < end:
+            stop = _next_space(data, min(at + limit, end), end) if overlap is None else min(at + limit, end)
+            reach = stop if overlap is None else min(stop + overlap, end)
+            yield Block(block.first, block.last, data[at:reach], np.array([0, reach - at]), at - start, reach == end)
+            at = stop if reach < end else end
+
+
 def owners(bounds: np.ndarray, positions: np.ndarray) -> np.ndarray:
     """The document of each byte position."""
     return np.searchsorted(bounds, positions, "right") - 1

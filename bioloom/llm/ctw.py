@@ -8,35 +8,42 @@ for the same event as the word baseline's. Each byte is eight binary decisions.
 
 and the posterior weight of each depth along a context gives the mixed probability of the next bit.
 
-Learning is one pass: tasks count the longest byte strings (contexts with their next byte) and words of the
-training documents, and Spark sums them; shorter contexts are sums over longer ones. A context rarer than
-``RARE_CONTEXT`` of all training bytes is not split off: it joins the other rare children of its parent in
-one common child. So at most ``1 / RARE_CONTEXT`` contexts, of at most 256 next bytes each, are left at each
-depth however large the corpus is; these are what the driver turns into the tree and sends to the tasks.
-Words are treated alike: those of at least ``RARE_WORD`` of all tokens, at most ``1 / RARE_WORD`` words, go to
-the tasks, and all others are joined by a shuffle.
+Nothing is pruned, so the model grows with the corpus, and the tree never leaves Spark:
+
+1. Tasks count byte strings (a longest context with its next byte) and words of all documents, those that teach
+   apart; Spark sums them.
+2. Strings meet by the last ``SPLIT`` bytes of their context. All deeper nodes of such a context are in one group, of
+   at most 256 ** (DEPTH - SPLIT + 1) strings however large the corpus is, and are weighted there. The nodes above
+   are sums over their children, one shuffle a depth; there are at most 256 ** SPLIT contexts of them.
+3. Down again, each node gets the two numbers that turn the mixed probability below it into that of the root, and the
+   groups give each string its log probability. Strings that only held-out texts have are among them, uncounted.
+4. The ``FREQUENT`` strings and words that most places have go to the tasks, which add up a text's places; what
+   is rarer is joined by a shuffle. Where that line lies changes no score.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from bioloom.llm.blocks import SubstringHashes, lower_ascii, mix64, text_blocks, word_spans
+from bioloom.llm.blocks import SubstringHashes, lower_ascii, mix64, text_pieces, word_spans
 from bioloom.llm.langid import held_out
 from bioloom.session import stored
 
 DEPTH = 5
-RARE_CONTEXT = 2.0**-18
-RARE_WORD = 2.0**-21
+SPLIT = 3
+#: At most so many strings and so many words go to every task.
+FREQUENT = 1 << 21
 END, SPACE = 255, 32
-#: Key of the end token among word hashes; a word may not have it.
-END_WORD = np.uint64(1)
-CHUNK = 1 << 22
+STRINGS, WORDS = 0, 1
+CHUNK = 1 << 20
+#: Strings of whole groups that are weighted at once.
+GROUPED = 1 << 18
 
 
 class Table:
@@ -44,7 +51,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        size = 1 << max(4, (4 * max(1, len(keys)) - 1).bit_length())
+        size = 1 << max(4, (3 * max(1, len(keys)) - 1).bit_length())
         self.mask = np.uint64(size - 1)
         self.slots = np.full(size, -1, np.int32)
         at, left = mix64(keys) & self.mask, np.arange(len(keys), dtype=np.int32)
@@ -68,13 +75,16 @@ class Table:
         return found
 
 
+# --- the tree -------------------------------------------------------------------------------------------------
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """By Stirling's series, after six steps of the recurrence."""
     shift = np.zeros_like(x)
     for _ in range(6):
         shift -= np.log(x)
         x = x + 1
-    return shift + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+    return shift + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -82,102 +92,168 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - np.log(np.pi) - log_gamma(zeros + ones + 1)
 
 
-class Level(NamedTuple):
-    """The nodes of one depth: estimate of a one, weight of this depth against deeper ones, estimate of the common rare child."""
-
-    table: Table
-    one: np.ndarray
-    weight: np.ndarray
-    rare_one: np.ndarray
-
-
-def _decisions(strings: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes (context, bits of the byte so far behind a leading one) of sorted strings, with counts of zeros and ones."""
-    context, byte = strings >> np.uint64(8), strings & np.uint64(255)
-    keys, zeros, ones = [], [], []
-    for j in range(8):
-        key = (context << np.uint64(8)) | np.uint64(1 << j) | (byte >> np.uint64(8 - j))
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        bit = ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
-        one, both = (np.add.reduceat(x, first) if len(key) else x for x in (counts * bit, counts))
-        keys.append(key[first])
-        ones.append(one)
-        zeros.append(both - one)
-    return np.concatenate(keys), np.concatenate(zeros).astype(np.float64), np.concatenate(ones).astype(np.float64)
-
-
-class Tree:
-    """The weighted tree of strings of 1 to ``depth + 1`` bytes; each order sorted, with counts."""
-
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]):
-        self.depth = len(orders) - 1
-        self.levels: list[Level] = [None] * len(orders)  # type: ignore[list-item]
-        below: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
-        for d in range(self.depth, -1, -1):
-            keys, zeros, ones = _decisions(*orders[d])
-            table, own = Table(keys), log_kt(zeros, ones)
-            rare0, rare1 = zeros, ones
-            if below is None:
-                weight, total = np.ones(len(keys)), own
-            else:
-                child, child0, child1, child_log = below
-                parent = table.find(child & np.uint64((1 << (8 * (d + 1))) - 1))
-                into = lambda x: np.bincount(parent, x, minlength=len(keys))  # noqa: B023, E731
-                rare0, rare1 = np.maximum(zeros - into(child0), 0), np.maximum(ones - into(child1), 0)
-                split = into(child_log) + log_kt(rare0, rare1)
-                total = np.logaddexp(own, split) - np.log(2)
-                weight = np.exp(own - np.log(2) - total)
-            below = keys, zeros, ones, total
-            estimate = lambda n0, n1: ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32)
-            self.levels[d] = Level(table, estimate(zeros, ones), weight.astype(np.float32), estimate(rare0, rare1))
-        self.known = Table(orders[-1][0])
-        self.known_log = self.evaluate(orders[-1][0])
-
-    def evaluate(self, strings: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last byte of each string after the others."""
-        byte, total = strings & np.uint64(255), np.zeros(len(strings))
+def weigh(zeros: np.ndarray, ones: np.ndarray, deeper: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of nodes with these counts, over children of these log probabilities: the estimate of a one, its weight, the log probability."""
+    own = log_kt(zeros, ones)
+    total = np.logaddexp(own, deeper) - np.log(2)
+    return (ones + 0.5) / (zeros + ones + 1), np.exp(own - np.log(2) - total), total
+
+
+class Branches:
+    """All nodes from ``depth`` up to ``split`` of some strings; of a context of ``split`` bytes all strings must be there.
+
+    A node's key is its context, then a byte of the decided bits behind a leading one. ``low`` to ``logs`` are those of the nodes
+    at ``split``.
+    """
+
+    def __init__(self, strings: np.ndarray, counts: np.ndarray, depth: int, split: int):
+        order = np.argsort(strings)
+        self.strings, counts = strings[order], counts[order].astype(np.int64)
+        self.order = order
+        context, byte = self.strings >> np.uint64(8), self.strings & np.uint64(255)
+        keys, zeros, ones, self.leaf, self.bits, n = [], [], [], [], [], 0
         for j in range(8):
-            prefix = np.uint64(1 << j) | (byte >> np.uint64(8 - j))
-            bit = ((byte >> np.uint64(7 - j)) & np.uint64(1)) == 1
-            one, deeper = np.full(len(strings), 0.5), np.zeros(len(strings), bool)
-            for d in range(self.depth, -1, -1):
-                context = (strings >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)
-                level = self.levels[d]
-                at = level.table.find((context << np.uint64(8)) | prefix)
-                here = np.flatnonzero(at >= 0)
-                at = at[here]
-                rest = np.where(deeper[here], one[here], level.rare_one[at])
-                one[here] = level.weight[at] * level.one[at] + (1 - level.weight[at]) * rest
-                deeper[here] = True
-            total += np.log10(np.where(bit, one, 1 - one))
-        return total
-
-    def score(self, strings: np.ndarray) -> np.ndarray:
-        """As ``evaluate``, through the table of frequent strings; each other string is evaluated once."""
-        at = self.known.find(strings)
-        out = self.known_log[at] if len(self.known_log) else np.zeros(len(strings))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            once, back = np.unique(strings[missing], return_inverse=True)
-            out[missing] = self.evaluate(once)[back]
+            key = (context << np.uint64(8)) | np.uint64(1 << j) | (byte >> np.uint64(8 - j))
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = key[1:] != key[:-1]
+            first = np.flatnonzero(fresh)
+            bit = (byte >> np.uint64(7 - j)) & np.uint64(1) == 1
+            one, both = (np.add.reduceat(x, first) if len(key) else x for x in (np.where(bit, counts, 0), counts))
+            self.leaf.append(n + np.cumsum(fresh) - 1)
+            self.bits.append(bit)
+            n += len(first)
+            keys.append(key[first])
+            ones.append(one)
+            zeros.append(both - one)
+        key, zero, one = np.concatenate(keys), np.concatenate(zeros).astype(float), np.concatenate(ones).astype(float)
+        logs, at = log_kt(zero, one), np.arange(len(key))
+        self.mixed = (one + 0.5) / (zero + one + 1)
+        for d in range(depth - 1, split - 1, -1):
+            key, parent = np.unique(key & np.uint64((1 << (8 * (d + 1))) - 1), return_inverse=True)
+            zero, one, deeper = (np.bincount(parent, x, minlength=len(key)) for x in (zero, one, logs))
+            estimate, weight, logs = weigh(zero, one, deeper)
+            at = parent[at]
+            self.mixed = weight[at] * estimate[at] + (1 - weight[at]) * self.mixed
+        self.at, self.keys, self.zeros, self.ones, self.logs = at, key, zero, one, logs
+
+    def string_logs(self, above: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each string's last byte, in the order given, from what the nodes at ``split`` have above them."""
+        one = above[self.at] + share[self.at] * self.mixed
+        total = sum(np.log10(np.where(bit, one[leaf], 1 - one[leaf])) for leaf, bit in zip(self.leaf, self.bits, strict=True))
+        out = np.empty(len(self.strings))
+        out[self.order] = total
         return out
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], size: int = GROUPED) -> Iterator[list[np.ndarray]]:
+    """Columns of about ``size`` rows or more, sorted by the first column, of which no value is cut."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows += batch.num_rows
+        if rows > size:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            if cut:
+                yield [c[:cut] for c in columns]
+            held, rows = [[c[cut:] for c in columns]], len(columns[0]) - cut
+    if rows:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _context(key: Column, split: int) -> Column:
+    """The last ``split`` bytes of the context of a string or node."""
+    return F.shiftrightunsigned(key, 8).bitwiseAND(F.lit((1 << (8 * split)) - 1))
+
+
+NODES = "key long, zeros double, ones double, logs double"
+
+
+def _lowest(strings: DataFrame, depth: int, split: int) -> DataFrame:
+    """Nodes at ``split`` from strings ``key, taught``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, key, taught in whole_groups(batches):
+            made = Branches(key.view(np.uint64), taught, depth, split)
+            yield pa.RecordBatch.from_arrays([pa.array(made.keys.view(np.int64)), *map(pa.array, (made.zeros, made.ones, made.logs))], ["key", "zeros", "ones", "logs"])
+
+    grouped = strings.select(_context(F.col("key"), split).alias("context"), "key", "taught").repartition("context").sortWithinPartitions("context")
+    return grouped.mapInArrow(run, NODES)
+
+
+def _upper(nodes: DataFrame, depth: int) -> DataFrame:
+    """Nodes of contexts of ``depth`` bytes from those one byte deeper, with ``estimate`` and ``weight``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            zeros, ones, deeper = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            made = weigh(zeros, ones, deeper)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, made)], ["key", "zeros", "ones", "estimate", "weight", "logs"])
+
+    summed = nodes.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (depth + 1))) - 1)).alias("key")).agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "logs")])
+    return summed.mapInArrow(run, "key long, zeros double, ones double, estimate double, weight double, logs double")
+
+
+def string_values(strings: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``strings`` (``key, n, taught``) as ``key, n, value``: log10 of the probability of each string's last byte after the others."""
+    split = min(SPLIT, depth)
+    lowest = stored(_lowest(strings, depth, split), "nodes")
+    levels = [lowest]
+    for d in range(split - 1, -1, -1):
+        levels.insert(0, stored(_upper(levels[0], d), "nodes"))
+    # The probability at the root is above + share * that of a node's own mixture below.
+    down = None
+    for d, level in enumerate(levels[:-1]):
+        rows, above, share = level, F.lit(0.0), F.lit(1.0)
+        if down is not None:
+            parents = down.select(F.col("key").alias("of"), F.col("above").alias("up"), F.col("share").alias("part"))
+            rows = level.join(parents, F.col("key").bitwiseAND(F.lit((1 << (8 * d)) - 1)) == F.col("of"))
+            above, share = F.col("up"), F.col("part")
+        down = rows.select("key", (above + share * F.col("weight") * F.col("estimate")).alias("above"), (share * (1 - F.col("weight"))).alias("share"))
+    ends = lowest.select("key", F.lit(0.0).alias("above"), F.lit(1.0).alias("share"))
+    if down is not None:
+        parents = stored(down, "above").withColumnRenamed("key", "of")
+        ends = lowest.select("key").join(parents, F.col("key").bitwiseAND(F.lit((1 << (8 * split)) - 1)) == F.col("of")).drop("of")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, key, n, taught, above, share in whole_groups(batches):
+            node = np.isnan(taught)
+            made = Branches(key[~node].view(np.uint64), taught[~node], depth, split)
+            # Nodes and the keys at ``split`` are the same set.
+            order = np.argsort(key[node].view(np.uint64))
+            place = np.argsort(np.argsort(made.keys))
+            value = made.string_logs(above[node][order][place], share[node][order][place])
+            yield pa.RecordBatch.from_arrays([pa.array(key[~node]), pa.array(n[~node]), pa.array(value)], ["key", "n", "value"])
+
+    nothing = F.lit(float("nan"))
+    both = strings.select("key", "n", F.col("taught").cast("double").alias("taught"), F.lit(0.0).alias("above"), F.lit(0.0).alias("share")).unionByName(
+        ends.select("key", F.lit(0).cast("long").alias("n"), nothing.alias("taught"), "above", "share")
+    )
+    grouped = both.select(_context(F.col("key"), split).alias("context"), "key", "n", "taught", "above", "share").repartition("context").sortWithinPartitions("context")
+    return grouped.mapInArrow(run, "key long, n long, value double")
+
+
+# --- counting -------------------------------------------------------------------------------------------------
+
+
 class Prepared(NamedTuple):
-    """The words of a block and its normalised bytes, end symbols included."""
+    """The words of a block and its normalised bytes, end symbols included, with the last of them for the next piece."""
 
     words: np.ndarray
     word_doc: np.ndarray
     strings: np.ndarray
     bounds: np.ndarray
+    tail: np.ndarray
 
 
-def prepare(buf: np.ndarray, bounds: np.ndarray, depth: int = DEPTH) -> Prepared:
+def prepare(buf: np.ndarray, bounds: np.ndarray, depth: int = DEPTH, head: np.ndarray | None = None, ended: bool = True) -> Prepared:
+    """``head``: normalised bytes that the first text has before this; not ``ended``: the last text goes on after it."""
     buf = lower_ascii()[buf]
     docs = len(bounds) - 1
     starts, ends, doc = word_spans(buf, bounds)
-    words = SubstringHashes(buf).of(starts, ends)
-    words[words == END_WORD] = END_WORD + np.uint64(1)
+    words = SubstringHashes(buf).of(starts, ends) & ~np.uint64(1)
     width = ends - starts + 1
     size = np.bincount(doc, width, minlength=docs).astype(np.int64)
     n = int(size.sum())
@@ -190,16 +266,29 @@ def prepare(buf: np.ndarray, bounds: np.ndarray, depth: int = DEPTH) -> Prepared
     flat[np.arange(n) + np.repeat(np.arange(docs), size)] = line
     edges = np.concatenate([[0], np.cumsum(size + 1)])
     # An end symbol before a text, and nothing before that, is its context.
-    padded = np.concatenate([np.full(depth, END, np.uint8), flat])
+    padded = np.concatenate([np.full(depth, END, np.uint8) if head is None else head, flat])
     strings = np.zeros(len(flat), np.uint64)
     for i in range(depth + 1):
         strings = (strings << np.uint64(8)) | padded[i : i + len(flat)]
+    fresh = np.arange(docs) >= (0 if head is None else 1)
     for i in range(depth - 1):
         # Byte i of a text sees i bytes of it; older ones belong to the text before and become end symbols.
-        at = edges[:-1][size + 1 > i] + i
+        at = edges[:-1][(size + 1 > i) & fresh] + i
         seen = np.uint64((1 << (8 * (i + 2))) - 1)
         strings[at] = (strings[at] & seen) | (np.uint64((1 << (8 * (depth + 1))) - 1) & ~seen)
-    return Prepared(words, doc, strings, edges)
+    if not ended:
+        strings, edges[-1] = strings[:-1], edges[-1] - 1
+        padded = padded[:-1]
+    return Prepared(words, doc, strings, edges, padded[len(padded) - depth :])
+
+
+def prepared(column: pa.Array, depth: int) -> Iterator[tuple[int, int, bool, Prepared]]:
+    """First and last text, whether the last one ends, and what ``prepare`` makes, over all pieces of a column."""
+    head = None
+    for block in text_pieces(column, CHUNK):
+        made = prepare(block.buf, block.bounds, depth, head if block.start else None, block.ended)
+        head = made.tail
+        yield block.first, block.last, block.ended, made
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,8 +296,8 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(back, np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
 
 
-def corpus_counts(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
-    """``kind, key, n``: counts of the longest byte strings (kind 0) and of words and ends (kind 1) over all rows."""
+def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``kind, key, n, taught``: counts over all rows, and over those not ``held_out``, of the longest byte strings and of words and ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
@@ -216,123 +305,140 @@ def corpus_counts(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> Da
         def emit() -> Iterator[pa.RecordBatch]:
             for kind, parts in enumerate(kept):
                 if parts:
-                    keys, n = _merge(parts)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+                    # The lowest bit of a kept key tells that it is held out.
+                    flagged, n = _merge(parts)
+                    key = flagged >> np.uint64(1) if kind == STRINGS else flagged & ~np.uint64(1)
+                    taught = np.where(flagged & np.uint64(1) == 0, n, 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n), pa.array(taught)], ["kind", "key", "n", "taught"])
                 parts.clear()
 
         for batch in batches:
-            for block in text_blocks(batch.column(0), CHUNK):
-                made = prepare(block.buf, block.bounds, depth)
-                ends = (np.array([END_WORD]), np.array([block.last - block.first]))
-                kept[0].append(np.unique(made.strings, return_counts=True))
-                kept[1].append(_merge([np.unique(made.words, return_counts=True), ends]))
+            held = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            for first, last, _, made in prepared(batch.column(1), depth):
+                flag = held[first:last].astype(np.uint64)
+                kept[STRINGS].append(np.unique((made.strings << np.uint64(1)) | np.repeat(flag, np.diff(made.bounds)), return_counts=True))
+                kept[WORDS].append(np.unique(made.words | flag[made.word_doc], return_counts=True))
                 for parts in kept:
                     if len(parts) >= 8:
                         parts[:] = [_merge(parts)]
                 # A task's memory stays bounded; Spark sums what several rounds give.
-                if sum(len(parts[0][0]) for parts in kept) > 1 << 22:
+                if sum(len(parts[0][0]) for parts in kept) > 1 << 21:
                     yield from emit()
         yield from emit()
 
-    return docs.select(text).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counted = docs.select("held_out", "text").mapInArrow(run, "kind int, key long, n long, taught long")
+    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("taught").alias("taught"))
+
 
+# --- scoring --------------------------------------------------------------------------------------------------
 
-def _numpy(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """``key, n`` rows, sorted by the unsigned key."""
-    got = df.toArrow()
-    keys = got.column("key").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], got.column("n").to_numpy().astype(np.int64)[order]
 
+def with_frequent(values: DataFrame, most: int) -> DataFrame:
+    """Adds ``frequent``: whether a row is among the ``most`` rows of its kind with the greatest ``n``, ties left out.
+
+    The line is drawn by a histogram of ``n`` in quarters of a doubling: at most 256 rows a kind go to the driver.
+    """
+    grade = F.floor(4 * F.log2("n"))
+    histogram = sorted(map(tuple, values.groupBy("kind", grade.alias("grade")).agg(F.count(F.lit(1)).alias("rows")).collect()), reverse=True)
+    lines = {}
+    for kind in (STRINGS, WORDS):
+        total, lines[kind] = 0, 1 << 20
+        for _, g, rows in (h for h in histogram if h[0] == kind):
+            total += rows
+            if total > most:
+                break
+            lines[kind] = g
+    return values.withColumn("frequent", grade >= F.when(F.col("kind") == STRINGS, lines[STRINGS]).otherwise(lines[WORDS]))
 
-def learn(counts: DataFrame, depth: int = DEPTH, rare: float = RARE_CONTEXT) -> Tree:
-    """The tree of the byte strings in ``counts``."""
-    strings = counts.where("kind = 0").select("key", "n")
-    total = strings.agg(F.sum("n")).first()[0] or 0
-    orders: list[tuple[np.ndarray, np.ndarray]] = []
-    for d in range(depth, -1, -1):
-        if d < depth:
-            shorter = F.col("key").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1))
-            strings = strings.groupBy(shorter.alias("key")).agg(F.sum("n").alias("n"))
-        if d in (depth - 1, depth - 2):
-            strings = stored(strings, "strings")
-        context = F.sum("n").over(Window.partitionBy(F.shiftrightunsigned("key", 8)))
-        orders.append(_numpy(strings.withColumn("context", context).where(F.col("context") >= rare * total).select("key", "n")))
-    return Tree(orders[::-1])
 
+def _arrays(values: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, values and whether they are known, of the frequent rows of a kind."""
+    got = values.where(F.col("frequent") & (F.col("kind") == kind)).select("key", "value", "known").toArrow()
+    return got.column("key").to_numpy().astype(np.int64).view(np.uint64), got.column("value").to_numpy(), got.column("known").to_numpy().astype(bool)
 
-class Model(NamedTuple):
-    tree: Tree
-    words: Table
-    word_counts: np.ndarray
-    n: int
-    v: int
-    ends: int
 
+#: What the last job sent to this worker, by the job's name.
+_loaded: dict[str, tuple] = {}
 
-SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, rare_n array<int>"
+SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double, kinds array<int>, keys array<long>, times array<int>"
 
 
-def _scored(docs: DataFrame, model: Model, depth: int) -> DataFrame:
-    """Rows with all but the rare words' part of ``n_known`` and ``base_score``; those words' hashes and counts are listed."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _scored(docs: DataFrame, values: DataFrame, end_value: float, end_known: bool, depth: int) -> DataFrame:
+    """Rows with all but the part of rarer strings and words, whose keys and counts are listed."""
+    sent, name = docs.sparkSession.sparkContext.broadcast([_arrays(values, kind) for kind in (STRINGS, WORDS)]), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, words, word_counts, n, v, ends = sent.value
-        unit = n + 0.1 * (v + 1)
-        word_logs = np.log10((word_counts + 0.1) / unit)
-        unseen, end_log = np.log10(0.1 / unit), np.log10((ends + 0.1) / unit)
+        if name not in _loaded:
+            _loaded.clear()
+            _loaded[name] = tuple((Table(keys), value, known) for keys, value, known in sent.value)
+        (strings, string_value, _), (words, word_value, word_known) = _loaded[name]
         for batch in batches:
-            for block in text_blocks(batch.column(3), CHUNK):
-                made, size = prepare(block.buf, block.bounds, depth), block.last - block.first
-                sums = np.concatenate([[0.0], np.cumsum(tree.score(made.strings))])
-                score = sums[made.bounds[1:]] - sums[made.bounds[:-1]]
-                tokens = np.bincount(made.word_doc, minlength=size) + 1
+            rows = batch.num_rows
+            score, base, tokens, known, length = np.zeros(rows), np.full(rows, end_value), np.ones(rows, np.int64), np.full(rows, int(end_known)), np.zeros(rows, np.int64)
+            rare: list[tuple[np.ndarray, np.ndarray, int]] = []
+            for first, last, _, made in prepared(batch.column(3), depth):
+                part, size = slice(first, last), last - first
+                doc = np.repeat(np.arange(size), np.diff(made.bounds))
+                length[part] += np.diff(made.bounds)
+                at = strings.find(made.strings)
+                got = at >= 0
+                score[part] += np.bincount(doc[got], string_value[at[got]], minlength=size)
+                rare.append((first + doc[~got], made.strings[~got], STRINGS))
                 at = words.find(made.words)
-                known = at >= 0
-                base = end_log + np.bincount(made.word_doc[known], word_logs[at[known]] if len(word_logs) else None, minlength=size)
-                seen = np.bincount(made.word_doc[known], minlength=size) + (ends > 0)
-                # Rare words, once for each document.
-                doc, word = made.word_doc[~known], made.words[~known]
-                order = np.lexsort((word, doc))
-                doc, word = doc[order], word[order]
-                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])])) if len(doc) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(doc)))
-                base = base + unseen * np.bincount(doc, minlength=size)
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=size))]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (word[first].view(np.int64), times.astype(np.int32))]
-                part = batch.slice(block.first, size)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(tokens.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(score), *lists],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "rare_n"],
-                )
+                got = at >= 0
+                base[part] += np.bincount(made.word_doc[got], word_value[at[got]], minlength=size)
+                tokens[part] += np.bincount(made.word_doc, minlength=size)
+                known[part] += np.bincount(made.word_doc[got], word_known[at[got]], minlength=size).astype(np.int64)
+                rare.append((first + made.word_doc[~got], made.words[~got], WORDS))
+            # Rarer ones, once for each text.
+            doc, key = (np.concatenate([r[i] for r in rare]) for i in (0, 1))
+            kind = np.concatenate([np.full(len(r[0]), r[2], np.int32) for r in rare])
+            order = np.lexsort((key, kind, doc))
+            doc, key, kind = doc[order], key[order], kind[order]
+            fresh = np.ones(len(doc), bool)
+            fresh[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
+            once = np.flatnonzero(fresh)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[once], minlength=rows))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (kind[once], key[once].view(np.int64), np.diff(np.append(once, len(doc))).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], *map(pa.array, (tokens, known.astype(np.int64), length, base, score)), *lists],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base_score", "score", "kinds", "keys", "times"],
+            )
 
     return docs.select("row", "doc_id", "held_out", "text").mapInArrow(run, SCHEMA)
 
 
-def score_documents(docs: DataFrame, depth: int = DEPTH, rare_context: float = RARE_CONTEXT, rare_word: float = RARE_WORD) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUENT) -> DataFrame:
     """Per document the word baseline and the tree's log10 probability, learned from the rows that are not held out.
 
-    Null texts count as empty; repeated rows repeat in learning and in the result; an empty table gives no
-    rows. With nothing to learn from, every bit has probability one half and every token's share is 1.
+    ``bits_per_byte`` is the code length of the text for each byte of its normal form. Null texts count as empty; repeated rows
+    repeat in learning and in the result; an empty table gives no rows. With nothing to learn from, every bit has
+    probability one half and every token's share is 1. A long text is read in pieces, cut between words.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id"), 10, 0).alias("held_out"), "text")
-    counts = stored(corpus_counts(rows.where(~F.col("held_out")), depth=depth), "counts")
-    words = counts.where("kind = 1").select("key", "n")
-    n, v, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n"), F.coalesce(F.sum(F.when(F.col("key") == int(END_WORD), F.col("n"))), F.lit(0))).first()
-    words = words.where(F.col("key") != int(END_WORD))
-    frequent = _numpy(words.where(F.col("n") >= rare_word * n))
-    model = Model(learn(counts, depth, rare_context), Table(frequent[0]), frequent[1], n, v, ends)
-    scored = stored(_scored(rows, model, depth), "scored")
-    pairs = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("word")).select("row", F.col("word.rare").alias("of_key"), F.col("word.rare_n").alias("times"))
-    rest = words.where(F.col("n") < rare_word * n).withColumn("gain", F.log10((F.col("n") + 0.1) / F.lit(0.1)))
-    gains = pairs.join(rest, F.col("of_key") == F.col("key")).groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.col("gain")).alias("gain"))
-    joined = scored.drop("rare", "rare_n").join(gains.withColumnRenamed("row", "of_row"), F.col("row") == F.col("of_row"), "left")
+    counts = stored(corpus_counts(rows, depth), "counts")
+    words = counts.where(F.col("kind") == WORDS)
+    ends = rows.where(~F.col("held_out")).count()
+    n, v = words.agg(F.coalesce(F.sum("taught"), F.lit(0)) + ends, F.count_if(F.col("taught") > 0) + int(ends > 0)).first()
+    unit = n + 0.1 * (v + 1)
+    strings = counts.where(F.col("kind") == STRINGS)
+    both = string_values(strings.select("key", "n", "taught"), depth).select(F.lit(STRINGS).alias("kind"), "key", "n", "value", F.lit(True).alias("known"))
+    both = both.unionByName(words.select("kind", "key", "n", F.log10((F.col("taught") + 0.1) / F.lit(unit)).alias("value"), (F.col("taught") > 0).alias("known")))
+    values = with_frequent(stored(both, "values"), frequent)
+    scored = stored(_scored(rows, values, float(np.log10((ends + 0.1) / unit)), ends > 0, depth), "scored")
+    pairs = scored.select("row", F.explode(F.arrays_zip("kinds", "keys", "times")).alias("p")).select("row", F.col("p.kinds").alias("of_kind"), F.col("p.keys").alias("of_key"), F.col("p.times").alias("times"))
+    rest = values.where(~F.col("frequent")).select("kind", "key", "value", "known")
+    gain, is_string = F.col("times") * F.col("value"), F.col("kind") == STRINGS
+    gains = pairs.join(rest, (F.col("of_kind") == F.col("kind")) & (F.col("of_key") == F.col("key"))).groupBy(F.col("row").alias("of_row")).agg(
+        F.sum(F.when(is_string, gain)).alias("more_score"), F.sum(F.when(~is_string, gain)).alias("more_base"), F.sum(F.when(~is_string & F.col("known"), F.col("times"))).alias("more_known")
+    )
+    joined = scored.drop("kinds", "keys", "times").join(gains, F.col("row") == F.col("of_row"), "left")
+    score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
     return joined.select(
         "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
-        "score",
-        (-F.col("score") * F.lit(float(np.log2(10)))).alias("code_bits"),
+        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        score.alias("score"),
+        (-score * F.lit(float(np.log2(10))) / F.col("n_bytes")).alias("bits_per_byte"),
     )
