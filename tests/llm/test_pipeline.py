@@ -5,6 +5,7 @@ import random
 
 import public_tokenizers as vocab
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bioloom.llm import bpe
@@ -50,6 +51,19 @@ def test_stages(spark, corpus):
         table.unpersist()
 
 
+def test_language_stage(spark, corpus):
+    """The prediction decides: texts of no learned language go; an unlabelled corpus stays, without letterless texts."""
+    rows, _ = corpus
+    foreign = [(200, "жшщ ъыь эюя " * 20, None, "s0", 240), (201, "Q" * 300, "en", "s0", 300)]
+    docs = spark.createDataFrame(rows + foreign, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["language ID"]
+    # What is labelled teaches, so 201 is of the language of its label; 200 is of none.
+    assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == {r[0] for r in rows} - {103, 104} | {201}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in stage(spark, unlabelled, "").collect()} == {r[0] for r in rows} - {103, 104} | {200, 201}
+    assert stage(spark, docs.limit(0), "").collect() == []
+
+
 def test_clashing_columns_nulls_and_repeated_ids(spark, corpus):
     """Columns named like those that operators make pass through; null ids and repeated rows stay once."""
     rows, _ = corpus

@@ -1,16 +1,18 @@
 """URL rules, digests, mixing and language ID on small tables."""
 
+import functools
 import hashlib
 import random
 import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from bioloom.llm import digest, langid, mixing, urls
+from bioloom.llm import blocks, digest, langid, mixing, urls
 
 
 def plain_rule(host, path):
@@ -152,6 +154,61 @@ def test_language_filters(spark):
     assert langid.identify(docs.limit(0)).collect() == []
 
 
+def plain_grams(text):
+    symbols = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode())
+    wide = b"  " + symbols + b"  "
+    return [int.from_bytes(wide[i : i + 4], "big") for i in range(len(wide) - 3)]
+
+
+def test_language_method_by_brute_force(spark):
+    """Learned n-grams, one bit array a language, popcounts and their correction, in plain Python."""
+    rng = random.Random(4)
+    syllables = {"k": ["ka", "ko", "shi", "be"], "l": ["lo", "ka", "rem", "be"], "m": ["été", "mo", "shi", "ka"]}
+    text = lambda k, n: " ".join("".join(rng.choice(syllables[k]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(i, text(k, rng.randint(1, 9)), k) for i, k in enumerate("klm" * 9)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    shares = {}
+    for k in "klm":
+        found = [g for _, t, lang in rows if lang == k for g in plain_grams(t)]
+        shares[k] = {g: found.count(g) / len(found) for g in set(found)}
+    most = {g: max(s.get(g, 0) for s in shares.values()) for s in shares.values() for g in s}
+    kept = {k: {g for g, x in s.items() if x >= langid.SHARE * most[g]} for k, s in shares.items()}
+    size = len(model.slots)
+    assert model.languages == ["k", "l", "m"] and size >= 16 * max(map(len, kept.values()))
+    places = lambda g: [int(x[0]) for x in langid.Filters.places(np.array([g], np.uint64), size)]
+    arrays = {k: {p for g in gs for p in places(g)} for k, gs in kept.items()}
+    texts = [text(k, 12) for k in "klmklm"] + ["", "zz", "ka"]
+    for t in texts:
+        grams = plain_grams(t)
+        codes, starts = langid.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        assert codes.tolist() == grams
+        hits = [sum(all(p in arrays[k] for p in places(g)) for g in grams) for k in "klm"]
+        assert model.hits(codes, starts)[:, 0].tolist() == hits
+        assert all(h >= sum(g in kept[k] for g in grams) for h, k in zip(hits, "klm", strict=True))
+        wrong = [(len(arrays[k]) / size) ** 3 for k in "klm"]
+        share = [(h / len(grams) - w) / (1 - w) for h, w in zip(hits, wrong, strict=True)]
+        best, score = model.decide(model.hits(codes, starts), np.diff(starts))
+        assert best[0] == max(range(3), key=lambda i: share[i]) and score[0] == pytest.approx(min(1, max(0, max(share))))
+
+
+def test_few_labelled_texts(spark):
+    rows = [(1, "hello world", "en"), (2, "hello there", None), (3, "bonjour monde", None), (4, "...", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert [r["lang_pred"] for r in langid.predict(docs, model).orderBy("doc_id").collect()] == ["en", "en", "en", "und"]
+
+
+@pytest.mark.parametrize("limit", [5, 16, 1000])
+def test_grams_of_pieces(monkeypatch, limit):
+    texts = ["Ab cd été, " * 9, None, "", "x", "ab" * 40]
+    monkeypatch.setattr(langid, "text_pieces", functools.partial(blocks.text_pieces, limit=limit))
+    found = {i: [] for i in range(len(texts))}
+    for block, codes, starts in langid.gram_blocks(pa.array(texts, pa.string())):
+        for i in range(block.first, block.last):
+            found[i] += codes[starts[i - block.first] : starts[i - block.first + 1]].tolist()
+    assert all(found[i] == plain_grams(t or "") for i, t in enumerate(texts))
+
+
 def test_many_languages_share_a_filter():
     rng = np.random.default_rng(2)
     owner = rng.integers(0, 70, 2000)
