@@ -22,13 +22,24 @@ from bioloom.session import bounded_batches, stored, table
 ORACLE_SQL = None
 
 
+#: Least share of a text's n-grams, corrected, that its language must hold.
+LEAST_SCORE = 0.25
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or text, for which no language can be told."""
+    """Keeps documents of which ``LEAST_SCORE`` of the n-grams or more are of the language that they are found to be in.
+
+    The languages are those of the documents that name one. Null texts and texts without a letter go. Where no document
+    names a language there is nothing to tell by, and all texts with a letter stay. Repeated rows stay repeated.
+    """
     bounded_batches(spark)
     filters = langid.learn(docs)
     own = apart(docs, "text")
-    known = langid.predict(own, filters).where(F.col("lang_pred") != langid.UNDECIDED)
-    return known.select(*own.columns).toDF(*docs.columns)
+    if filters.languages:
+        kept = langid.predict(own, filters).where((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SCORE))
+    else:
+        kept = own.where(F.col("text").rlike(r"\p{L}"))
+    return kept.select(*own.columns).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
