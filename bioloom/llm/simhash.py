@@ -4,8 +4,9 @@ Every distinct fingerprint gets its Hamming distances to many reference fingerpr
 inequality two fingerprints whose distances to any one reference differ by more than the radius cannot link,
 so a pair is discarded on the greatest difference of its coordinates; survivors are verified bit by bit.
 
-Candidates meet in buckets, not in all pairs: bits are dealt into ``radius + 1`` blocks, and fingerprints
-within the radius agree on at least one whole block. A bucket never becomes a list of pairs either: it is
+Candidates meet in buckets, not in all pairs: bits are dealt into ``radius + k`` blocks, and fingerprints
+within the radius agree on at least ``k`` whole blocks, so every choice of ``k`` blocks is a key. ``k`` grows with the number of
+fingerprints, so that a bucket of strangers stays small; which one is taken changes no link. A bucket never becomes a list of pairs either: it is
 searched in tiles of bounded size, spread over tasks, and each tile gives the edges of a spanning forest of
 its links, at most one for each fingerprint. Equal fingerprints are one node throughout.
 """
@@ -14,13 +15,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bioloom.llm.blocks import SPACES, SubstringHashes, lower_ascii, mix64, text_blocks, word_spans
+from bioloom.llm.blocks import SPACES, SubstringHashes, lower_ascii, mix64, text_pieces, word_spans
 from bioloom.operators.graph import components
 from bioloom.session import stored
 
@@ -36,24 +38,44 @@ LOWERED = bytes.maketrans(UPPER, LOWER)
 MASK = 2**64 - 1
 
 
-def shingles(text: bytes, size: int = SHINGLE) -> list[bytes]:
-    """The word shingles of a text, repeats included: all words if there are fewer than ``size``."""
-    words = WORD.findall(text.translate(LOWERED))
-    if len(words) < size:
-        return [b" ".join(words)] if words else []
-    return list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+SPACE = re.compile(rb"[" + re.escape(SPACES) + rb"]")
+PIECE = 1 << 20
+
+
+def word_lists(text: bytes, size: int = PIECE) -> Iterator[list[bytes]]:
+    """The words of a text, some megabytes of it at a time."""
+    at = 0
+    while at < len(text):
+        space = SPACE.search(text, at + size) if len(text) - at > size else None
+        end = space.start() if space else len(text)
+        yield WORD.findall(text, at, end)
+        at = end
+
+
+def shingles(text: bytes, size: int = SHINGLE, piece: int = PIECE) -> Iterator[list[bytes]]:
+    """The word shingles of a text, repeats included, in lists: all words if there are fewer than ``size``."""
+    carried: list[bytes] = []
+    some = False
+    for words in word_lists(text.translate(LOWERED), piece):
+        words = carried + words
+        if len(words) >= size:
+            some = True
+            yield list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+            words = words[len(words) - size + 1 :]
+        carried = words
+    if carried and not some:
+        yield [b" ".join(carried)]
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     """Bit by bit the strict majority of the XXH64 hashes of the shingles; 0 for no words."""
-    parts = shingles(text, size)
-    if not parts:
-        return 0
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, len(parts), 1 << 16):
-        hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts[lo : lo + (1 << 16)]], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(ones * 2 > len(parts)).tobytes(), "big")
+    ones, n = np.zeros(64, np.int64), 0
+    for parts in shingles(text, size):
+        for lo in range(0, len(parts), 1 << 16):
+            hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts[lo : lo + (1 << 16)]], dtype=">u8")
+            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint32)
+        n += len(parts)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -204,17 +226,24 @@ def bucketed_links(keyed: DataFrame, lanes: list[str], radius: int, tile: int =
     return dealt_out.mapInArrow(search, "a long, b long")
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Edges ``a, b`` whose components are those of all pairs of distinct ``fp`` within ``radius`` bits."""
-    blocks = radius + 1
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
+#: Strangers that a bucket may hold on average.
+STRANGERS = 64
+
+
+def equal_blocks(n: int, radius: int) -> int:
+    """How many whole blocks a key has, so that ``n`` random fingerprints give buckets of up to ``STRANGERS``; at most four."""
+    return next((k for k in range(1, 4) if n >> (64 * k // (radius + k)) <= STRANGERS), 4)
 
-    def block(i: int) -> Column:
-        width = cuts[i + 1] - cuts[i]
-        value = F.shiftrightunsigned("fp", cuts[i])
-        return value if width == 64 else value.bitwiseAND(F.lit((1 << width) - 1))
 
-    keyed = nodes.select(F.col("fp").alias("node"), "fp", F.posexplode(F.array(*[block(i).cast("long") for i in range(blocks)])).alias("block", "value"))
+def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, equal: int | None = None) -> DataFrame:
+    """Edges ``a, b`` whose components are those of all pairs of distinct ``fp`` within ``radius`` bits."""
+    equal = equal or equal_blocks(nodes.count(), radius)
+    blocks = radius + equal
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    single = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    masks = [sum(x) for x in combinations(single, equal)]
+    values = F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks])
+    keyed = nodes.select(F.col("fp").alias("node"), "fp", F.posexplode(values).alias("block", "value"))
     return bucketed_links(keyed, ["fp"], radius, tile)
 
 
@@ -235,6 +264,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def group_documents(docs: DataFrame) -> DataFrame:
+    """Per document: its fingerprint in hexadecimal digits and the least id of its component.
+
+    Null and empty texts have fingerprint zero and link to any that is near it. Repeated rows repeat in the result; a null id names a
+    component only where no other id is there; an empty table gives no rows. Long texts are read in pieces.
+    """
     found = near_duplicates(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -269,6 +303,29 @@ def shingle_hashes(buf: np.ndarray, bounds: np.ndarray, size: int = WIDE_SHINGLE
     return made, owner
 
 
+def shingle_sets(column: pa.Array, size: int = WIDE_SHINGLE, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Texts ``first`` to ``last`` of a column and the distinct hashes of their shingles, as ``_distinct`` gives them.
+
+    A long text comes in pieces; each repeats the last ``size - 1`` words before it, so no shingle is lost or made up.
+    """
+    carried, found = b"", []
+    for block in text_pieces(column, limit):
+        if block.start == 0 and block.ended:
+            yield block.first, block.last, *_distinct(*shingle_hashes(block.buf, block.bounds, size))
+            continue
+        buf = np.concatenate([np.frombuffer(carried, np.uint8), block.buf])
+        bounds = np.array([0, len(buf)])
+        starts, _, _ = word_spans(buf, bounds)
+        if len(starts) >= size or (block.ended and not found):
+            hashes, owner = shingle_hashes(buf, bounds, size)
+            found.append(_distinct(hashes, owner)[0])
+        carried = buf[starts[max(0, len(starts) - size + 1)] :].tobytes() if len(starts) else b""
+        if block.ended:
+            hashes = np.concatenate(found)
+            yield block.first, block.last, *_distinct(hashes, np.zeros(len(hashes), np.int64))
+            carried, found = b"", []
+
+
 def _distinct(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each document's hashes once by their upper 32 bits, in rising order."""
     order = np.lexsort((hashes, owner))
@@ -339,9 +396,8 @@ def wide_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in text_blocks(batch.column(1), 1 << 19):
-                size = block.last - block.first
-                hashes, owner = _distinct(*shingle_hashes(block.buf, block.bounds))
+            for begin, end, hashes, owner in shingle_sets(batch.column(1)):
+                size = end - begin
                 counts = np.bincount(owner, minlength=size)
                 some = np.flatnonzero(counts)
                 first = (np.cumsum(counts) - counts)[some]
@@ -358,7 +414,7 @@ def wide_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text")
                 ends = np.cumsum(counts) * 4
                 packed = (hashes >> np.uint64(32)).astype(np.uint32).tobytes()
                 sets = pa.array([packed[e - 4 * n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary())
-                given = [batch.column(i).slice(block.first, size) for i in (0, 2)]
+                given = [batch.column(i).slice(begin, size) for i in (0, 2)]
                 yield pa.RecordBatch.from_arrays([*given, *(pa.array(x.view(np.int64)) for x in lanes), lists, sets], [key, "text_hash", *WIDE, "bands", "shingles"])
 
     return docs.select(key, text, F.xxhash64(text).alias("text_hash")).mapInArrow(run, f"`{key}` {kind}, text_hash long, {', '.join(f'{c} long' for c in WIDE)}, bands array<long>, shingles binary")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -51,8 +52,8 @@ def test_groups_of_texts(spark):
     assert [r["component_id"] for r in nameless] == [4, 4, 4]
 
 
-@pytest.mark.parametrize("tile", [4, 64, 2048])
-def test_links_of_hot_buckets(spark, tile):
+@pytest.mark.parametrize(("tile", "equal"), [(4, 1), (64, 2), (64, 3), (2048, 4), (2048, None)])
+def test_links_of_hot_buckets(spark, tile, equal):
     """A cloud of fingerprints round one centre, and strangers, in tiles of any size."""
     rng = np.random.default_rng(6)
     centre = int(rng.integers(0, 2**63))
@@ -64,7 +65,7 @@ def test_links_of_hot_buckets(spark, tile):
         cloud.add(value)
     fps = sorted(cloud | {int(x) for x in rng.integers(0, 2**63, 60)} | {0, 1, 2**64 - 1, 2**63})
     signed = [(int(np.uint64(x).view(np.int64)),) for x in fps]
-    found = {tuple(np.int64(v).view(np.uint64) for v in r) for r in simhash.links(spark.createDataFrame(signed, "fp long"), 3, tile).collect()}
+    found = {tuple(np.int64(v).view(np.uint64) for v in r) for r in simhash.links(spark.createDataFrame(signed, "fp long"), 3, tile, equal).collect()}
     assert all((int(a) ^ int(b)).bit_count() <= 3 for a, b in found)
     roots = plain_components(fps)
     forest = simhash.Forest(len(fps))
@@ -73,6 +74,22 @@ def test_links_of_hot_buckets(spark, tile):
     assert [forest.root(i) for i in range(len(fps))] == roots
 
 
+def test_keys_widen_with_the_number_of_fingerprints():
+    assert [simhash.equal_blocks(n, 3) for n in (0, 10**6, 10**7, 10**9, 10**11, 10**15)] == [1, 1, 2, 2, 3, 4]
+
+
+@pytest.mark.parametrize("piece", [1, 9, 40, 1 << 20])
+def test_long_texts_in_pieces(piece):
+    rng = random.Random(3)
+    texts = ["", " ", "one", "one two", " ".join(rng.choice(["a", "Bb", "ccc", "x" * 30]) for _ in range(60)) + " ", "a b c d e", "   lone   "]
+    for text in texts:
+        whole = [x for part in simhash.shingles(text.encode()) for x in part]
+        assert [x for part in simhash.shingles(text.encode(), piece=piece) for x in part] == whole
+    sets = {i: h.tolist() for f, la, hashes, owner in simhash.shingle_sets(pa.array(texts)) for i in range(f, la) for h in [hashes[owner == i - f]]}
+    cut = {i: h.tolist() for f, la, hashes, owner in simhash.shingle_sets(pa.array(texts), limit=piece) for i in range(f, la) for h in [hashes[owner == i - f]]}
+    assert sets == cut
+
+
 def test_pivot_table_discards_nothing_close():
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 2**64, (400, 1), dtype=np.uint64)
