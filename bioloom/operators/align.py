@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bioloom.functions import residues as R
 
 BATCH = 2048
+#: Cells of all pairs that one step of a batch holds.
+CELLS = 1 << 21
 BLOCK = 1024
 #: (match, mismatch, gap)
 PLAIN, STRICT = (1, -1, -1), (2, -1, -2)
@@ -27,11 +29,11 @@ def align_batch(queries: list[str], targets: list[str], scoring: tuple[int, int,
     n = len(queries)
     lq, lt = np.array([len(q) for q in queries]), np.array([len(t) for t in targets])
     rows, cols = int(lq.max(initial=0)), int(lt.max(initial=0))
-    q = np.zeros((rows, n), np.uint8)
-    t = np.zeros((cols, n), np.uint8)
+    q = np.zeros((rows, n), np.uint32)
+    t = np.zeros((cols, n), np.uint32)
     for i, (a, b) in enumerate(zip(queries, targets, strict=True)):
-        q[: len(a), i] = np.frombuffer(a.encode("latin-1", "replace"), np.uint8)
-        t[: len(b), i] = np.frombuffer(b.encode("latin-1", "replace"), np.uint8)
+        q[: len(a), i] = np.frombuffer(a.encode("utf-32-le"), np.uint32)
+        t[: len(b), i] = np.frombuffer(b.encode("utf-32-le"), np.uint32)
     score = np.repeat((np.arange(cols + 1) * gap)[:, None], n, 1).astype(np.int32)
     stats = np.zeros((cols + 1, n), np.int64)
     out = np.zeros(n, np.int64)
@@ -67,8 +69,13 @@ def global_identity(pairs: DataFrame, query: str, target: str, scoring: tuple[in
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch.assign(size_=batch[query].str.len() + batch[target].str.len()).sort_values("size_").drop(columns="size_")
-            for lo in range(0, len(batch), BATCH):
-                part = batch.iloc[lo : lo + BATCH]
+            # Long pairs come few at a time: a step holds a row of cells of each.
+            width, lo = batch[target].str.len().to_numpy() + 1, 0
+            while lo < len(batch):
+                most = np.maximum.accumulate(width[lo : lo + BATCH])
+                fits = int(np.count_nonzero(most * np.arange(1, len(most) + 1) <= CELLS))
+                part = batch.iloc[lo : lo + max(1, fits)]
+                lo += len(part)
                 matches, paired = align_batch(part[query].tolist(), part[target].tolist(), scoring)
                 lq, lt = part[query].str.len().to_numpy(), part[target].str.len().to_numpy()
                 some = np.maximum(paired, 1)

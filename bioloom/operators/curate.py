@@ -162,3 +162,22 @@ def set_relations(sets: dict[str, DataFrame], key: str) -> DataFrame:
         flagged = rows.select(key).distinct().withColumn(f"in_{name}", F.lit(True))
         out = flagged if out is None else out.join(flagged, key, "full_outer")
     return out.fillna(False)
+
+
+def candidates(rows: DataFrame, only: str, ignored: str, checks: dict[str, Column]) -> DataFrame:
+    """Rows whose one reason, those that start with ``ignored`` apart, is ``only``; with ``unique_id``, ``unique_sequence`` and each check.
+
+    Sequences are compared by hash and length, so none is shuffled.
+    """
+    left = F.filter("reasons", lambda r: ~r.startswith(ignored))
+    found = rows.where(left == F.array(F.lit(only))).withColumns({**checks, "hash_": F.xxhash64("sequence"), "length_": F.length("sequence")})
+    ids = found.groupBy(F.col("sequence_id").alias("of_id")).agg((F.count(F.lit(1)) == 1).alias("unique_id"))
+    texts = found.groupBy(F.col("hash_").alias("of_hash"), F.col("length_").alias("of_length")).agg((F.count(F.lit(1)) == 1).alias("unique_sequence"))
+    joined = found.join(ids, F.col("sequence_id") == F.col("of_id")).join(texts, (F.col("hash_") == F.col("of_hash")) & (F.col("length_") == F.col("of_length")))
+    return joined.drop("of_id", "of_hash", "of_length", "hash_", "length_")
+
+
+def map_problems(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """``key, problem``: records that a cluster map does not name (missing) and members that are no record (extra)."""
+    ids, named = rows.select(key).distinct(), members.select(F.col("member").alias(key)).distinct()
+    return ids.join(named, key, "left_anti").withColumn("problem", F.lit("missing")).unionByName(named.join(ids, key, "left_anti").withColumn("problem", F.lit("extra")))

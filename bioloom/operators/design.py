@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bioloom.functions import residues as R
 
@@ -23,8 +23,9 @@ def similarity(a: str, b: str) -> float:
 
 def column_sets(reference: DataFrame) -> DataFrame:
     """One row: ``sets``, the residues of each reference column up to the shortest sequence, as strings."""
-    cut = reference.where("seq <> ''").withColumn("n", F.min(F.length("seq")).over(Window.partitionBy()))
-    long = cut.select(F.posexplode(R.letters(F.expr("substring(seq, 1, n)"))).alias("pos", "aa")).distinct()
+    some = reference.where("seq <> ''")
+    width = some.agg(F.min(F.length("seq"))).first()[0] or 0
+    long = some.select(F.substring("seq", 1, width).alias("head")).distinct().select(F.posexplode(R.letters(F.col("head"))).alias("pos", "aa")).distinct()
     columns = long.groupBy("pos").agg(F.array_join(F.array_sort(F.collect_set("aa")), "").alias("set"))
     return columns.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "set"))), lambda x: x["set"]).alias("sets"))
 
@@ -46,8 +47,8 @@ def conservation(rows: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def score(rows: DataFrame, reference: DataFrame) -> DataFrame:
-    """All partial scores and the weighted ``overall``; an empty sequence scores one half throughout."""
-    made = conservation(rows, reference).withColumns({"fold": R.fold_score(F.col("seq")), "assembly": R.assembly_score(F.col("seq")), "novelty": R.novelty_score(F.col("seq")), "toxic": R.safety_score(F.col("seq"))})
+    """All partial scores and the weighted ``overall``; a null or empty sequence scores one half throughout."""
+    made = conservation(rows.withColumn("seq", F.coalesce("seq", F.lit(""))), reference).withColumns({"fold": R.fold_score(F.col("seq")), "assembly": R.assembly_score(F.col("seq")), "novelty": R.novelty_score(F.col("seq")), "toxic": R.safety_score(F.col("seq"))})
     names = list(R.OVERALL_WEIGHTS)
     made = made.withColumns({n: F.when(F.col("seq") == "", F.lit(0.5)).otherwise(F.col(n)) for n in names})
     return made.withColumn("overall", F.round(R.overall_score({n: F.col(n) for n in names}), 10))

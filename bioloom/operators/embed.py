@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-BLOCK = 2048
+from bioloom.session import stored
+
+BLOCK = 1024
 
 
 def l2_normalize(v: Column) -> Column:
@@ -18,10 +20,27 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(v, lambda x: x / norm)
 
 
-def blocks(rows: DataFrame, vector: str, name: str) -> DataFrame:
-    """One row for each block of up to about ``BLOCK`` vectors, dealt by hash: ``{name}_block, {name}``."""
-    n = max(1, math.ceil(rows.count() / BLOCK))
-    return rows.groupBy(F.pmod(F.xxhash64(vector), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list(vector).alias(name))
+def blocks(rows: DataFrame, vector: str, name: str, *others: str) -> DataFrame:
+    """``{name}_block`` and ``{name}``, the ``others`` and vectors of up to about ``BLOCK`` different rows, dealt by hash.
+
+    Equal rows are one, with their number as ``n``, so no block grows with repeats.
+    """
+    once = rows.groupBy(*others, vector).agg(F.count(F.lit(1)).alias("n"))
+    n = max(1, math.ceil(once.count() / BLOCK))
+    dealt = once.withColumn("block_", F.pmod(F.xxhash64(*others, vector), F.lit(n)))
+    return dealt.groupBy(F.col("block_").alias(f"{name}_block")).agg(F.collect_list(F.struct(*others, F.col(vector).alias("v"), "n")).alias(name))
+
+
+def tiles(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Every block of ``left`` beside every block of ``right``: one row, and so a bounded piece of work, for each two."""
+    numbers = right.select(F.col(f"{b}_block").alias("to")).distinct()
+    every = numbers.agg(F.array_sort(F.collect_list("to")).alias("to")).first()["to"]
+    sent = left.withColumn("to", F.explode(F.array(*[F.lit(x).cast("long") for x in every]))) if every else left.withColumn("to", F.lit(None).cast("long"))
+    return sent.join(right, F.col("to") == F.col(f"{b}_block")).select(a, b)
+
+
+def _stack(entries) -> np.ndarray:
+    return np.array([e["v"] for e in entries], float)
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -29,21 +48,16 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest_distance(queries: DataFrame, train: DataFrame, key: str, vector: str) -> DataFrame:
-    """``key, distance``: the least Euclidean distance of each query to the training vectors, block by block."""
-    t = blocks(train.select(vector), vector, "t")
-    n = t.count()
-    keyed = queries.select(key, F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n - 1)).cast("long"))).alias("t_block"))
+    """``key, distance``: the least Euclidean distance of each query to the training vectors, tile by tile; no row without a training vector."""
     kind = queries.schema[key].dataType.simpleString()
 
-    def run(keys, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({key: [], "distance": []})
-        b = np.stack([np.asarray(x, float) for x in right["t"].iloc[0]])
-        a = np.stack([np.asarray(x, float) for x in left["v"]])
-        return pd.DataFrame({key: left[key], "distance": np.sqrt(_squares(a, b).min(1))})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q, t in zip(batch["q"], batch["t"], strict=True):
+                yield pd.DataFrame({key: [e[key] for e in q], "distance": np.sqrt(_squares(_stack(q), _stack(t)).min(1))})
 
-    found = keyed.groupBy("t_block").cogroup(t.groupBy("t_block")).applyInPandas(run, f"{key} {kind}, distance double")
-    return found.groupBy(key).agg(F.min("distance").alias("distance"))
+    q, t = stored(blocks(queries, vector, "q", key), "blocks"), stored(blocks(train, vector, "t"), "blocks")
+    return tiles(q, t, "q", "t").mapInPandas(run, f"{key} {kind}, distance double").groupBy(key).agg(F.min("distance").alias("distance"))
 
 
 def squared_distances(a: Column, b: Column) -> Column:
@@ -57,57 +71,81 @@ def median_bandwidth(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return pairs.where("d > 0").agg(F.coalesce(F.percentile("d", F.lit(0.5)), F.lit(1.0)).alias("bandwidth"))
 
 
-def kernel_mean(left: DataFrame, right: DataFrame, group: str, vector: str, bandwidth: float) -> DataFrame:
-    """``a_group, b_group, mean``: mean of exp(-squared distance / (2 * bandwidth)) between each group of ``left`` and of ``right``."""
-    a = left.groupBy(F.col(group).alias("a_group")).agg(F.collect_list(vector).alias("a"))
-    b = right.groupBy(F.col(group).alias("b_group")).agg(F.collect_list(vector).alias("b"))
-    kind = left.schema[group].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for g, h, x, y in zip(batch["a_group"], batch["b_group"], batch["a"], batch["b"], strict=True):
-                x, y = (np.stack([np.asarray(v, float) for v in m]) for m in (x, y))
-                total = sum(np.exp(-_squares(x[i : i + 512], y) / (2 * bandwidth)).sum() for i in range(0, len(x), 512))
-                out.append((g, h, total / (len(x) * len(y))))
-            yield pd.DataFrame(out, columns=["a_group", "b_group", "mean"])
-
-    return a.join(b).mapInPandas(run, f"a_group {kind}, b_group {kind}, mean double")
-
-
 def mmd2(rows: DataFrame, group: str, vector: str, real, bandwidth: float) -> DataFrame:
-    """``group, mmd2``: biased squared discrepancy of each group from the real one; groups are matched subsamples in size."""
-    real_rows = rows.where(F.col(group) == real)
-    xy = kernel_mean(rows, real_rows, group, vector, bandwidth).select(F.col("a_group").alias(group), F.col("mean").alias("xy"))
-    own = kernel_mean(rows, rows, group, vector, bandwidth).where("a_group = b_group").select(F.col("a_group").alias(group), F.col("mean").alias("xx"))
-    real_own = own.where(F.col(group) == real).select(F.col("xx").alias("yy"))
-    return own.join(xy, group).crossJoin(F.broadcast(real_own)).select(group, (F.col("xx") + F.col("yy") - 2 * F.col("xy")).alias("mmd2"))
-
+    """``group, mmd2``: biased squared discrepancy of each group from the real one; groups are matched subsamples in size.
 
-def mmd_bootstrap(spark: SparkSession, real: DataFrame, generated: DataFrame, vector: str, bandwidth: float, repeats: int = 200, seed: int = 42, most: int = 5000) -> DataFrame:
-    """One row: median and 95 % range of the discrepancy over matched subsamples, and of halves of the real set against each other.
-
-    Subsamples come from at most ``most`` vectors a side; each repeat is a task of its own with a seed of its own.
+    Kernel sums come from tiles, of each group with itself and with the real one, in one job. Groups are the few sets that are
+    compared; a null is none. No row if the real group is empty.
     """
-    take = lambda df: np.array([r[0] for r in df.select(vector).orderBy(F.xxhash64(vector)).limit(most).collect()], float)
-    sent = spark.sparkContext.broadcast((take(real), take(generated)))
+    rows = rows.where(F.col(group).isNotNull())
+    sizes = {r[0]: max(1, math.ceil(r[1] / BLOCK)) for r in rows.groupBy(group).agg(F.count(F.lit(1))).collect()}
+    if real not in sizes:
+        return rows.select(group, F.lit(0.0).alias("mmd2")).limit(0)
+    number = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
+    once = rows.groupBy(group, vector).agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.pmod(F.xxhash64(vector), number[F.col(group)]))
+    held = stored(once.groupBy(F.col(group).alias("g"), "block").agg(F.collect_list(F.struct(F.col(vector).alias("v"), "n")).alias("a")), "blocks")
+    to = lambda g: F.transform(F.sequence(F.lit(0), number[g] - 1), lambda i: F.struct(g.alias("h"), i.cast("long").alias("to")))
+    meets = F.array_distinct(F.concat(to(F.col("g")), to(F.lit(real).cast(rows.schema[group].dataType))))
+    right = held.select(F.col("g").alias("h2"), F.col("block").alias("b2"), F.col("a").alias("b"))
+    every = held.select("g", "a", F.explode(meets).alias("m")).select("g", "a", "m.*").join(right, (F.col("h") == F.col("h2")) & (F.col("to") == F.col("b2")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y = sent.value
-        n = min(len(y), len(x) // 2)
-        kernel = lambda a, b: np.exp(-_squares(a, b) / (2 * bandwidth)).mean()
-        value = lambda a, b: kernel(a, a) + kernel(b, b) - 2 * kernel(a, b)
         for batch in batches:
-            out = []
-            for i in batch["id"]:
-                rng = np.random.default_rng((seed, int(i)))
-                order = rng.permutation(len(x))
-                out.append((value(x[order[:n]], x[order[n : 2 * n]]), value(x[order[:n]], y[rng.permutation(len(y))[:n]])))
-            yield pd.DataFrame(out, columns=["baseline", "value"])
-
-    runs = spark.range(repeats).repartition(8).mapInPandas(run, "baseline double, value double")
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    stats = runs.agg(q("value", 0.5).alias("median"), q("value", 0.025).alias("q025"), q("value", 0.975).alias("q975"), q("baseline", 0.5).alias("real_median"), q("baseline", 0.95).alias("real_q95"), F.collect_list("value").alias("v"))
+            for g, h, a, b in zip(batch["g"], batch["h"], batch["a"], batch["b"], strict=True):
+                n, m = (np.array([e["n"] for e in x], float) for x in (a, b))
+                kernel = np.exp(-_squares(_stack(a), _stack(b)) / (2 * bandwidth))
+                yield pd.DataFrame({"g": [g], "h": [h], "sum": [float(n @ kernel @ m)], "pairs": [float(n.sum() * m.sum())]})
+
+    kind = rows.schema[group].dataType.simpleString()
+    sums = every.select("g", "h", "a", "b").mapInPandas(run, f"g {kind}, h {kind}, sum double, pairs double")
+    means = stored(sums.groupBy("g", "h").agg((F.sum("sum") / F.sum("pairs")).alias("mean")), "means")
+    own = means.where("g = h").select(F.col("g").alias(group), F.col("mean").alias("xx"))
+    cross = means.where(F.col("h") == F.lit(real)).select(F.col("g").alias("of"), F.col("mean").alias("xy"))
+    yy = means.where((F.col("g") == F.lit(real)) & (F.col("h") == F.lit(real))).first()["mean"]
+    return own.join(cross, F.col(group) == F.col("of")).select(group, (F.col("xx") + F.lit(yy) - 2 * F.col("xy")).alias("mmd2"))
+
+
+def _members(entries, repeats: int, seed: int, low: float, high: float) -> np.ndarray:
+    """For each repeat and vector, how many of its equal rows a seeded draw in [0, 1) puts between the limits."""
+    out = np.zeros((repeats, len(entries)))
+    for i, e in enumerate(entries):
+        rng = np.random.default_rng([seed, *np.array(e["v"], float).view(np.uint32).tolist()])
+        draws = rng.random((repeats, int(e["n"])))
+        out[:, i] = ((draws >= low) & (draws < high)).sum(1)
+    return out
+
+
+def mmd_bootstrap(real: DataFrame, generated: DataFrame, vector: str, bandwidth: float, repeats: int = 200, seed: int = 42) -> DataFrame:
+    """One row: median and 95 % range of the discrepancy over matched subsamples, and of halves of the real set against each other.
+
+    Each repeat takes a vector into its subsample by a draw seeded with the vector, with the probability that makes the expected size
+    the lesser of the generated set and half the real one. A tile's kernel is computed once and summed for all repeats; only the
+    sums, five for each repeat, reach the driver. All vectors take part.
+    """
+    n_real, n_made = real.count(), generated.count()
+    n = min(n_made, n_real // 2)
+    p, q = n / max(1, n_real), n / max(1, n_made)
+    #: Sum, and which sets a tile needs: two parts of the real set (x, z), one of the generated one (y).
+    parts = {"x": (0.0, p), "z": (p, 2 * p), "y": (0.0, q)}
+
+    def sums(left: DataFrame, right: DataFrame, wanted: list[str]) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for a, b in zip(batch["a"], batch["b"], strict=True):
+                    kernel = np.exp(-_squares(_stack(a), _stack(b)) / (2 * bandwidth))
+                    for pair in wanted:
+                        u, w = _members(a, repeats, seed, *parts[pair[0]]), _members(b, repeats, seed, *parts[pair[1]])
+                        yield pd.DataFrame({"pair": pair, "run": np.arange(repeats), "sum": ((u @ kernel) * w).sum(1), "pairs": u.sum(1) * w.sum(1)})
+
+        return tiles(left, right, "a", "b").mapInPandas(run, "pair string, run long, sum double, pairs double")
+
+    r, g = (stored(blocks(df, vector, "a"), "blocks") for df in (real, generated))
+    other = lambda df: df.select(F.col("a_block").alias("b_block"), F.col("a").alias("b"))
+    every = sums(r, other(r), ["xx", "zz", "xz"]).unionByName(sums(r, other(g), ["xy"])).unionByName(sums(g, other(g), ["yy"]))
+    means = every.groupBy("run").pivot("pair", ["xx", "zz", "xz", "xy", "yy"]).agg(F.sum("sum") / F.nullif(F.sum("pairs"), F.lit(0.0)))
+    runs = means.select((F.col("xx") + F.col("zz") - 2 * F.col("xz")).alias("baseline"), (F.col("xx") + F.col("yy") - 2 * F.col("xy")).alias("value"))
+    at = lambda c, p: F.percentile(c, F.lit(p))
+    stats = runs.agg(at("value", 0.5).alias("median"), at("value", 0.025).alias("q025"), at("value", 0.975).alias("q975"), at("baseline", 0.5).alias("real_median"), at("baseline", 0.95).alias("real_q95"), F.collect_list("value").alias("v"))
     above = F.size(F.filter("v", lambda x: x > F.col("real_q95"))) / F.size("v")
     made = stats.withColumn("exceeds", above).drop("v")
     return made.withColumn("assessment", F.when(F.col("exceeds") >= 0.95, "shifted").when(F.col("exceeds") <= 0.5, "compatible").otherwise("uncertain"))

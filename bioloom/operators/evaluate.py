@@ -25,6 +25,16 @@ def evaluate_run(generated: DataFrame, train: DataFrame, run: str, seq: str) ->
     )
 
 
+def run_identity(generated: DataFrame, train: DataFrame, run: str, key: str, seq: str, novel: float = 0.95) -> DataFrame:
+    """Per run: mean and greatest identity to the nearest training sequence, and the share of sequences below ``novel``.
+
+    Empty sequences and an empty training set have no nearest sequence: they count as novel, with identity null.
+    """
+    best = align.nearest_reference(generated.where(F.col(seq) != ""), train.where(F.col(seq) != ""), key, seq).select(F.col(key).alias("of"), "identity")
+    joined = generated.join(best, F.col(key) == F.col("of"), "left")
+    return joined.groupBy(run).agg(F.count(F.lit(1)).alias("n"), F.avg("identity").alias("mean_identity"), F.max("identity").alias("max_identity"), F.avg((F.coalesce("identity", F.lit(0.0)) < novel).cast("double")).alias("novel_rate"))
+
+
 def composition(rows: DataFrame, run: str, seq: str) -> DataFrame:
     """Per run the share of each of the twenty letters among all characters."""
     return rows.groupBy(run).agg(*[(F.sum(R.count_of(F.col(seq), a)) / F.sum(F.length(seq))).alias(f"p_{a}") for a in R.AMINO])

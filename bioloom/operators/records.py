@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
@@ -56,6 +57,20 @@ def filter_records(
     return rows
 
 
+def by_accession(rows: DataFrame, column: str, accession: str) -> DataFrame:
+    """Rows of exactly this accession, white space around either left out."""
+    return rows.where(F.trim(column) == accession.strip())
+
+
+def by_subsequence(rows: DataFrame, sequence: str, part: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Rows whose sequence holds ``part`` in any case, with its first ``position``; between places ``first`` and ``last`` if given, from 1."""
+    start = max(1, first or 1)
+    text = F.upper(sequence) if last is None else F.substring(F.upper(sequence), start, max(0, last - start + 1))
+    text = text if last is not None or start == 1 else F.substring(text, start, 2**31 - 1)
+    at = F.instr(text, part.upper())
+    return rows.withColumn("position", (at + (start - 1)).cast("long")).where((at > 0) & F.lit(bool(part)))
+
+
 def fixed_rank(value: Column, order: list[str]) -> Column:
     """Place in a fixed order; 9999 if unknown."""
     out = F.when(F.lit(False), 0)
@@ -71,7 +86,15 @@ def readonly_sql(spark: SparkSession, tables: dict[str, DataFrame], statement: s
         raise ValueError("only one SELECT or WITH statement is allowed")
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    found = spark.sql(text)
+    try:
+        # Only a query can stand in brackets; one that writes, also behind WITH, is no syntax there.
+        spark.sql(f"EXPLAIN SELECT * FROM (\n{text}\n) AS asked")
+        found = spark.sql(text)
+    except ParseException as wrong:
+        raise ValueError("only one SELECT or WITH statement is allowed") from wrong
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
     return found if limit is None else found.limit(limit)
 
 
@@ -88,6 +111,20 @@ def histogram(rows: DataFrame, column: str, bins: int = 20) -> DataFrame:
     return rows.crossJoin(F.broadcast(ends)).where(F.col(column).isNotNull()).groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def top_values(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """``column, value, n, place``: the ``n`` most frequent values of each column as text, ties by value; nulls don't count."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    counts = rows.select(F.explode(cells).alias("x")).select("x.*").where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "value"))
+    return counts.withColumn("place", place).where(F.col("place") <= n)
+
+
+def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``a, b, r``: Pearson's correlation of each two columns, in one pass."""
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    return rows.agg(F.array(*pairs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, deviation, least, exact quartiles and greatest of each column."""
     stats = [

@@ -208,6 +208,23 @@ def top_candidates(spark, d):
     return evaluate.top_per_group(scored(spark, d).select("source", "doc_id", "overall"), "source", "overall", "doc_id", 10)
 
 
+@query("top_overall", f"{SCORED_CTE} SELECT doc_id, source, overall FROM overall ORDER BY overall DESC, doc_id LIMIT 20")
+def top_overall(spark, d):
+    return scored(spark, d).select("doc_id", "source", "overall").orderBy(F.col("overall").desc(), "doc_id").limit(20)
+
+
+@query("recommended_set", f"{SCORED_CTE} SELECT doc_id, overall FROM overall WHERE {' AND '.join(FUNNEL)}")
+def recommended_set(spark, d):
+    """Candidates that pass all five filters of the funnel."""
+    n, rows = F.length("seq"), scored(spark, d)
+    return rows.where((n >= 40) & (n <= 3000) & (R.ratio(F.col("seq"), R.HYDROPHOBIC) <= 0.6) & (F.col("fold") >= 0.5) & (F.col("toxic") >= 0.6)).select("doc_id", "overall")
+
+
+@query("length_counts", f"{with_views(SEQS_SQL)} SELECT length(seq)::INTEGER AS length, count(*) AS n FROM seqs GROUP BY 1")
+def length_counts(spark, d):
+    return views.seqs(spark, d).groupBy(F.length("seq").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("select_diverse")
 def select_diverse(spark, d):
     rows = stored(scored(spark, d).select("doc_id", "seq", "overall"), "scored")
@@ -246,6 +263,12 @@ def nearest_reference(spark, d):
     return r6(align.nearest_reference(made, ref, "page_id", "seq"))
 
 
+@query("run_identity")
+def run_identity(spark, d):
+    made, ref = split_short(spark, d)
+    return r6(evaluate.run_identity(made, ref, "run", "page_id", "seq"))
+
+
 @query("max_identity_novelty")
 def max_identity_novelty(spark, d):
     made, ref = split_short(spark, d)
@@ -305,11 +328,15 @@ def representatives(spark, d):
 TEXT_COMPS = "c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, lang) AS component FROM documents), z AS (SELECT component, count(*) AS size FROM c GROUP BY component), b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY size DESC, component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z)"
 
 
-@query("leakfree_split", f"WITH {TEXT_COMPS} SELECT component, size, CASE WHEN before < (SELECT round_even(sum(size) * 0.7, 0) FROM z) THEN 'train' ELSE 'held' END AS split FROM b")
+@query("leakfree_split", f"""WITH RECURSIVE {TEXT_COMPS}, s AS (SELECT component, size, CASE WHEN before < (SELECT round_even(sum(size) * 0.7, 0) FROM z) THEN 'train' ELSE 'held' END AS split FROM b),
+ h AS (SELECT size, row_number() OVER (ORDER BY component) AS i FROM s WHERE split = 'held'), t AS (SELECT 0::BIGINT AS i, 0::BIGINT AS total UNION SELECT h.i, t.total + h.size * k FROM t JOIN h ON h.i = t.i + 1 CROSS JOIN (VALUES (0), (1)) AS v(k))
+ SELECT component, size, split, (SELECT max(total) FROM t WHERE total <= (SELECT sum(size) // 2 FROM h))::BIGINT AS n_valid FROM s""")
 def leakfree_split(spark, d):
     comps = table(spark, d, "documents").select("doc_id", F.min("doc_id").over(Window.partitionBy("source", "lang")).alias("component"))
-    parts = cluster.leakfree_split(comps)
-    return parts.withColumn("split", F.when(F.col("split") == "train", "train").otherwise("held"))
+    parts = stored(cluster.leakfree_split(comps), "splits")
+    # Which components are valid is free among equal totals; how many rows they hold is not.
+    n_valid = parts.agg(F.sum(F.when(F.col("split") == "valid", F.col("size")).otherwise(0)).alias("n_valid"))
+    return parts.withColumn("split", F.when(F.col("split") == "train", "train").otherwise("held")).join(F.broadcast(n_valid))
 
 
 @query("leakage_check")
@@ -391,7 +418,7 @@ def mmd2(spark, d):
 @query("mmd_bootstrap")
 def mmd_bootstrap(spark, d):
     rows = table(spark, d, "embeddings")
-    return embed.mmd_bootstrap(spark, rows.where("label = 0"), rows.where("label = 2"), "embedding", bandwidth(spark, d).first()[0], repeats=100)
+    return embed.mmd_bootstrap(rows.where("label = 0"), rows.where("label = 2"), "embedding", bandwidth(spark, d).first()[0], repeats=100)
 
 
 @query("project_pca")

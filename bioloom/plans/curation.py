@@ -9,7 +9,7 @@ from bioloom.operators import curate, records
 from bioloom.plans import views
 from bioloom.plans.features import r6
 from bioloom.plans.views import DOCS_SQL, LOWER, SEQS_SQL, UPPER, with_views
-from bioloom.session import table
+from bioloom.session import numbered, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -103,10 +103,12 @@ def cleaning_summary(spark, d):
     return curate.reason_counts(rows).unionByName(organisms).unionByName(lengths)
 
 
-@query("candidate_selection", f"{CLASSIFIED} SELECT doc_id, length(seq) BETWEEN 200 AND 4000 AS length_ok, regexp_full_match(seq, '[{A}]*') AS legal FROM cl WHERE reasons = ['domain_not_confirmed']")
+@query("candidate_selection", f"""{CLASSIFIED}, k AS (SELECT *, list_filter(string_split(reasons, ';'), lambda r: NOT starts_with(r, 'invalid_amino_acids')) AS left_over FROM (SELECT doc_id, sequence_id, seq, lang, source, array_to_string(reasons, ';') AS reasons FROM cl)), c AS (SELECT * FROM k WHERE left_over = ['domain_not_confirmed'])
+ SELECT doc_id, count(*) OVER (PARTITION BY sequence_id) = 1 AS unique_id, count(*) OVER (PARTITION BY seq) = 1 AS unique_sequence, regexp_full_match(seq, '[{A}]*') AS legal, upper(lang) = '{RULES.region}' AS region, contains(upper(source), '{RULES.xref}') AS xref, length(seq) BETWEEN 200 AND 4000 AS length_ok FROM c""")
 def candidate_selection(spark, d):
-    rows = classified(spark, d).where(F.col("reasons") == F.array(F.lit("domain_not_confirmed")))
-    return rows.select(F.col("seq_order").alias("doc_id"), F.length("sequence").between(200, 4000).alias("length_ok"), R.is_legal(F.col("sequence")).alias("legal"))
+    # The invented texts hold every letter, so the reason of illegal letters is not counted here.
+    checks = {"legal": R.is_legal(F.col("sequence")), "region": F.upper("region_names") == RULES.region, "xref": F.upper("cdd_xrefs").contains(RULES.xref), "length_ok": F.length("sequence").between(200, 4000)}
+    return curate.candidates(classified(spark, d), "domain_not_confirmed", "invalid_amino_acids", checks).select(F.col("seq_order").alias("doc_id"), "unique_id", "unique_sequence", *checks)
 
 
 @query("domain_counts", f"{with_views(DOCS_SQL)} SELECT CASE WHEN trim(split_part(text, ' ', 1)) = '' THEN 'Unclassified' ELSE split_part(text, ' ', 1) END AS domain, count(*) AS n FROM docs GROUP BY 1")
@@ -161,6 +163,13 @@ def join_clusters(spark, d):
     return curate.join_clusters(table(spark, d, "documents").select("doc_id"), cluster_maps(spark, d), "doc_id")
 
 
+@query("cluster_map_checks", "WITH m AS (SELECT doc_id FROM documents WHERE lang <> 'es' UNION ALL SELECT doc_id + 1000000 FROM labels WHERE toxic = 1) SELECT coalesce(d.doc_id, m.doc_id) AS doc_id, CASE WHEN m.doc_id IS NULL THEN 'missing' ELSE 'extra' END AS problem FROM documents d FULL OUTER JOIN m ON d.doc_id = m.doc_id WHERE d.doc_id IS NULL OR m.doc_id IS NULL")
+def cluster_map_checks(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang")
+    strangers = table(spark, d, "labels").where("toxic = 1").select((F.col("doc_id") + 1000000).alias("member"))
+    return curate.map_problems(rows, rows.where("lang <> 'es'").select(F.col("doc_id").alias("member")).unionByName(strangers), "doc_id")
+
+
 @query("cluster_balanced_weight", f"WITH {MAPS_SQL} SELECT doc_id, round(1.0::DOUBLE / n95, 8) AS weight, doc_id = rep95 AS is_representative FROM c")
 def cluster_balanced_weight(spark, d):
     rows = curate.join_clusters(table(spark, d, "documents").select("doc_id"), {"c": cluster_maps(spark, d)["c95"]}, "doc_id")
@@ -277,11 +286,21 @@ def filter_records(spark, d):
     return records.filter_records(views.docs(spark, d), {"source": ["src1", "src2", "src3"]}, ("TION.", ["text", "lang"]), {"n_chars": (200, 9000)}, ["quality"]).select("doc_id")
 
 
+@query("search_records", f"""{with_views(SEQS_SQL)} SELECT doc_id, 'accession' AS kind, 0::BIGINT AS position FROM seqs WHERE source = 'src1' UNION ALL SELECT doc_id, 'anywhere', instr(seq, 'THATS')::BIGINT FROM seqs WHERE contains(seq, 'THATS')
+ UNION ALL SELECT doc_id, 'window', instr(substr(seq, 11, 300), 'THE')::BIGINT + 10 FROM seqs WHERE contains(substr(seq, 11, 300), 'THE')""")
+def search_records(spark, d):
+    rows = views.seqs(spark, d)
+    by_accession = records.by_accession(rows, "source", "  src1 ").select("doc_id", F.lit("accession").alias("kind"), F.lit(0).cast("long").alias("position"))
+    anywhere = records.by_subsequence(rows, "seq", "thats").select("doc_id", F.lit("anywhere").alias("kind"), "position")
+    window = records.by_subsequence(rows, "seq", "the", 11, 310).select("doc_id", F.lit("window").alias("kind"), "position")
+    return by_accession.unionByName(anywhere).unionByName(window)
+
+
 @query("rank_sort", f"{with_views(DOCS_SQL)} SELECT doc_id, row_number() OVER (ORDER BY CASE lang WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 9999 END, quality ASC NULLS LAST, n_chars DESC, doc_id)::INTEGER AS place FROM docs")
 def rank_sort(spark, d):
-    # A numbered listing is one order over all rows; a range sort gives it without numbers.
-    order = Window.orderBy(records.fixed_rank(F.col("lang"), ["fr", "en"]), F.col("quality").asc_nulls_last(), F.col("n_chars").desc(), "doc_id")
-    return views.docs(spark, d).select("doc_id", F.row_number().over(order).alias("place"))
+    order = [records.fixed_rank(F.col("lang"), ["fr", "en"]).alias("rank"), "quality", "n_chars", "doc_id"]
+    listed = numbered(views.docs(spark, d).select(*order), F.col("rank"), F.col("quality").asc_nulls_last(), F.col("n_chars").desc(), F.col("doc_id"))
+    return listed.select("doc_id", F.col("place").cast("int").alias("place"))
 
 
 @query("readonly_sql", f"{with_views(DOCS_SQL)} SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM docs GROUP BY source, lang")
@@ -297,6 +316,35 @@ def record_statistics(spark, d):
     )
 
 
+@query("record_totals", f"{with_views(DOCS_SQL)} SELECT count(*) AS n, count(DISTINCT source) AS n_sources, count(DISTINCT lang) AS n_languages, count(quality) AS n_labelled, round(avg(quality), 8) AS mean_quality, sum(n_chars)::BIGINT AS chars FROM docs")
+def record_totals(spark, d):
+    return views.docs(spark, d).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("n_sources"), F.count_distinct("lang").alias("n_languages"), F.count("quality").alias("n_labelled"),
+        F.round(F.avg("quality"), 8).alias("mean_quality"), F.sum("n_chars").alias("chars"),
+    )
+
+
+TYPES = ["src3", "src1", "src0"]
+TYPE_RANK = "CASE source " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(TYPES)) + " ELSE 9999 END"
+
+
+@query("record_types", f"SELECT source, count(*) AS n, row_number() OVER (ORDER BY min({TYPE_RANK}), source)::INTEGER AS place FROM documents GROUP BY source")
+def record_types(spark, d):
+    # One row a type is left before they are put in order.
+    counts = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(records.fixed_rank(F.col("source"), TYPES), "source")))
+
+
+TOP_COLUMNS = ["l_returnflag", "l_linestatus", "l_quantity", "l_suppkey"]
+TOP_SQL = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c}::BIGINT::VARCHAR AS value, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c}" if c in ("l_quantity", "l_suppkey") else f"SELECT '{c}' AS \"column\", {c}::VARCHAR AS value, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c}" for c in TOP_COLUMNS)
+
+
+@query("table_top_values", f"WITH v AS ({TOP_SQL}) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value)::INTEGER AS place FROM v) WHERE place <= 10")
+def table_top_values(spark, d):
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_quantity").cast("long").alias("l_quantity"), F.col("l_suppkey").cast("long").alias("l_suppkey"))
+    return records.top_values(rows, TOP_COLUMNS, 10)
+
+
 PROFILE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 PROFILE_SQL = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min, quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75, max({c}) AS max FROM lineitem" for c in PROFILE)
 
@@ -306,6 +354,11 @@ def table_profile(spark, d):
     return records.describe(table(spark, d, "lineitem"), PROFILE).withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
 
 
+@query("table_correlations", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 8) AS r FROM lineitem" for i, a in enumerate(PROFILE) for b in PROFILE[i + 1 :]))
+def table_correlations(spark, d):
+    return records.correlations(table(spark, d, "lineitem"), PROFILE).withColumn("r", F.round("r", 8))
+
+
 @query("table_nulls", f"{with_views(DOCS_SQL)} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null, round(count({c}) / count(*) * 100, 6) AS completeness FROM docs" for c in ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic")))
 def table_nulls(spark, d):
     return records.null_profile(views.docs(spark, d)).withColumn("completeness", F.round("completeness", 6))

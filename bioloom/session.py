@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -59,3 +61,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shuffle_partitions(spark: SparkSession) -> int:
     """How many partitions the session gives a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """``rows`` with their place, from 1, in one order over all of them.
+
+    Rows are dealt by ranges and sorted there; a place is what the ranges before hold, one number each, and the place inside the
+    range. No task gets more than its range.
+    """
+    # The upper bits of these ids are the range, the lower 33 the place in it.
+    dealt = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftrightunsigned("at_", 33)
+    sizes = sorted(map(tuple, dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()))
+    before, starts = 0, []
+    for which, n in sizes:
+        starts.append((which, before))
+        before += n
+    offsets = rows.sparkSession.createDataFrame(starts, "part_ long, before_ long")
+    place = (F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name)
+    return dealt.join(F.broadcast(offsets), part == F.col("part_")).select(*[F.col(f"`{c}`") for c in rows.columns], place)

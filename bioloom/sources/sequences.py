@@ -21,6 +21,35 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return named.where("sequence_id != ''")
 
 
+def fasta_problems(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``source_file, problem, sequence_id, n``: what makes a file unfit for strict reading.
+
+    ``empty_header`` (a line with nothing behind ``>``), ``text_before_header`` (sequence text that no header names) and
+    ``repeated_id`` (an id that several records of the file have).
+    """
+    raw = spark.read.option("lineSep", "\n>").text(path).select("*", F.col("_metadata.file_path").alias("source_file"))
+    # Pieces behind the first of a file have lost their mark; only the first may lack one.
+    text = F.regexp_replace("value", "[\r\ufeff]", "")
+    opens, before = text.startswith(">"), F.trim(F.regexp_extract(text, r"(?s)^([^>]*)", 1))
+    head = F.trim(F.regexp_replace(F.split_part(text, F.lit("\n"), F.lit(1)), "^>", ""))
+    first = F.col("_metadata.file_block_start") == 0
+    pieces = raw.select("source_file", opens.alias("opens"), head.alias("head"), (before != "").alias("stray"), first.alias("first_block"), F.monotonically_increasing_id().alias("at"))
+    starts = pieces.where("first_block").groupBy("source_file").agg(F.min("at").alias("start"))
+    named = pieces.join(starts, "source_file").withColumn("is_first", F.col("first_block") & (F.col("at") == F.col("start")))
+    kind = F.when(F.col("is_first") & ~F.col("opens") & F.col("stray"), "text_before_header").when(((~F.col("is_first")) | F.col("opens")) & (F.col("head") == ""), "empty_header")
+    lost = named.withColumn("problem", kind).where("problem IS NOT NULL").groupBy("source_file", "problem").agg(F.lit(None).cast("string").alias("sequence_id"), F.count(F.lit(1)).alias("n"))
+    repeated = read_fasta(spark, path).groupBy("source_file", "sequence_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return lost.unionByName(repeated.withColumn("problem", F.lit("repeated_id")).select(*lost.columns))
+
+
+def read_fasta_strict(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """As ``read_fasta``; raises ``ValueError`` with the first of ``fasta_problems`` if there is any."""
+    found = fasta_problems(spark, path).orderBy("source_file", "problem", "sequence_id").first()
+    if found is not None:
+        raise ValueError(f"{found['source_file']}: {found['problem']}" + (f" {found['sequence_id']}" if found["sequence_id"] else ""))
+    return read_fasta(spark, path)
+
+
 def fasta_lines(rows: DataFrame, key: str, description: Column, sequence: str, width: int = 80) -> DataFrame:
     """Adds ``record``: header and wrapped sequence; rows of empty sequences go."""
     wrapped = F.regexp_replace(sequence, f"(.{{{width}}})(?!$)", "$1\n")
