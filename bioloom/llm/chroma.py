@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bioloom.session import stored
 
@@ -23,9 +23,13 @@ FRAME, HOP = 512, 256
 SPAN = 16
 LOWEST_HZ, HIGHEST_HZ = 100.0, 1800.0
 FILTERS = 16
-MIN_VOTES = 3
-LAG = SPAN // 2
-MAX_ERROR = 0.3
+#: A key is one byte of the integers at a place and at these distances behind it; the searched side has one at every ``STRIDE``-th place.
+LAGS, STRIDE = (4, 8), 3
+MIN_VOTES = 2
+#: Recordings link at this rate of wrong bits at most, over so many places at least (or all of the shorter one). Strangers of the
+#: given table come no nearer than 0.25.
+MAX_ERROR = 0.12
+MIN_OVERLAP = 32
 QUERY_MODULUS = 50
 
 
@@ -122,35 +126,48 @@ def fingerprints(rows: DataFrame, key: str, media: str, decode: Callable[..., np
     return rows.select(key, media).mapInArrow(run, f"`{key}` {kind}, codes array<int>")
 
 
-def align(prints: DataFrame, key: str, is_query, min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR) -> DataFrame:
+def keys(codes: Column, stride: int = 1) -> Column:
+    """Structs ``place, key`` of all keys: for each of the four bytes, its value at a place and at ``LAGS`` behind it.
+
+    A key of 24 bits stands where a whole integer seldom does: with one bit in ten wrong, one in thirteen is untouched.
+    """
+    n = F.greatest(F.size(codes) - LAGS[-1], F.lit(0))
+    places = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & (i % stride == 0))
+
+    def of_byte(b: int) -> Column:
+        byte = lambda i: F.shiftrightunsigned(F.get(codes, i), 8 * b).bitwiseAND(F.lit(255))
+        key = lambda i: ((byte(i) * 256 + byte(i + LAGS[0])) * 256 + byte(i + LAGS[1])).cast("int") + F.lit(b << 24)
+        return F.transform(places, lambda i: F.struct(i.alias("place"), key(i).alias("key")))
+
+    return F.flatten(F.array(*[of_byte(b) for b in range(4)]))
+
+
+def align(prints: DataFrame, key: str, is_query, min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP) -> DataFrame:
     """Per recording: its class, and for queries how many other classes it links to and the best of them.
 
-    Classes of equal codes are named by their least key. For each class with a query the offsets at which its
-    integers, two and two, agree with another class's are counted; the offset with most votes (ties: the least) is verified
-    over the whole overlap by its bit errors. A recording without codes links to nothing. Rows that repeat
-    a key repeat in the result.
+    Classes of equal codes are named by their least key. For each class with a query the offsets at which its keys agree
+    with another class's are counted; each offset with ``min_votes`` is verified over the whole overlap by its bit errors, and the
+    best decides (ties: the least offset). A recording without codes links to nothing; one of up to ``LAGS[-1]``
+    codes has no keys, so only equal ones are found, as its class. Rows that repeat a key repeat in the result.
     """
     made = stored(prints.withColumn("class", F.xxhash64("codes", F.size("codes"))).withColumn("asked", is_query), "prints")
     classes = stored(made.groupBy("class").agg(F.min(key).alias("class_id"), F.first("codes").alias("codes"), F.max("asked").alias("asked")), "classes")
-    # Two integers half a span apart are one key: a single one recurs by chance in many strangers.
-    n = F.greatest(F.size("codes") - LAG, F.lit(0))
-    keys = F.zip_with(F.slice("codes", F.lit(1), n), F.slice("codes", F.lit(LAG + 1), n), lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseXOR(b.cast("long")))
-    places = classes.select("class", "asked", F.posexplode(keys).alias("place", "code"))
-    asked = places.where("asked").select(F.col("class").alias("q"), F.col("place").alias("q_place"), "code")
+    places = classes.select("class", F.explode(keys(F.col("codes"), STRIDE)).alias("k")).select("class", "k.*")
+    asked = classes.where("asked").select(F.col("class").alias("q"), F.explode(keys(F.col("codes"))).alias("k")).select("q", F.col("k.place").alias("q_place"), "k.key")
     votes = (
-        places.join(asked, "code").where(F.col("class") != F.col("q"))
-        .groupBy("q", "class", (F.col("q_place") - F.col("place")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+        places.join(asked, "key").where(F.col("class") != F.col("q"))
+        .groupBy("q", "class", (F.col("q_place") - F.col("place")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= min_votes)
     )
-    best = votes.groupBy("q", "class").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.col("offset"))).alias("best"))
-    best = best.select("q", "class", "best.*").where(F.col("votes") >= min_votes)
     own = classes.select(F.col("class").alias("q"), F.col("codes").alias("q_codes"))
-    pairs = best.join(classes.select("class", "class_id", "codes"), "class").join(own, "q")
+    pairs = votes.join(classes.select("class", "class_id", "codes"), "class").join(own, "q")
     # Place i of the other stands at i + offset of the query.
     first = F.greatest(F.lit(0), -F.col("offset"))
     overlap = F.least(F.size("codes") - first, F.size("q_codes") - first - F.col("offset"))
+    pairs = pairs.where(overlap >= F.least(F.lit(min_overlap), F.size("codes"), F.size("q_codes")))
     a, b = F.slice("codes", first + 1, overlap), F.slice("q_codes", first + F.col("offset") + 1, overlap)
-    wrong = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    linked = pairs.withColumn("error", wrong / (32 * overlap)).where(F.col("error") <= max_error)
+    wrong = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda n, x: n + x)
+    close = pairs.withColumn("error", wrong / (32 * overlap)).where(F.col("error") <= max_error)
+    linked = close.groupBy("q", "class").agg(F.min_by(F.struct("class_id", "offset", "error"), F.struct("error", "offset")).alias("best")).select("q", "best.*")
     top = F.min_by(F.struct("class_id", "offset", "error"), F.struct("error", "class_id"))
     answers = linked.groupBy(F.col("q").alias("of_class")).agg(F.count(F.lit(1)).alias("n"), top.alias("top"))
     named = classes.select(F.col("class").alias("of"), "class_id")
@@ -163,6 +180,10 @@ def align(prints: DataFrame, key: str, is_query, min_votes: int = MIN_VOTES, max
 
 
 def align_embeddings(embeddings: DataFrame) -> DataFrame:
-    """Every vector played as a melody; those with an id divisible by 50 are searched among all."""
+    """Every vector played as a melody; those with an id divisible by 50 are searched among all.
+
+    A null or empty vector has no codes, and all of these are one class; a null or infinite component counts as zero. Repeated rows
+    repeat; a null id is no query; an empty table gives no rows.
+    """
     prints = fingerprints(embeddings, "vec_id", "embedding", melody)
     return align(prints, "vec_id", F.coalesce(F.col("vec_id") % QUERY_MODULUS == 0, F.lit(False)))

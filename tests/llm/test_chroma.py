@@ -49,3 +49,44 @@ def test_alignment(spark):
     assert (by[100]["class_id"], by[100]["n_links"], by[9]["n_codes"], by[11]["class_id"]) == (3, 0, 0, 9)
     assert by[50]["best_class_id"] == 0 and by[50]["best_offset"] == -20 and by[50]["best_error"] == 0
     assert chroma.align(prints.limit(0), "rec", F.col("rec") % 50 == 0).collect() == []
+
+
+def plain_error(a, b, least):
+    """The least rate of wrong bits of two recordings over all offsets with enough overlap, and its offset."""
+    best = (2.0, 0)
+    for offset in range(-len(a) + 1, len(b)):
+        first = max(0, -offset)
+        n = min(len(a) - first, len(b) - first - offset)
+        if n >= min(least, len(a), len(b)) and n > 0:
+            wrong = np.bitwise_count(a[first : first + n] ^ b[first + offset : first + offset + n]).sum()
+            best = min(best, (round(float(wrong) / (32 * n), 6), offset))
+    return best
+
+
+def test_recall_and_offsets_by_brute_force(spark):
+    """Noisy and cut copies among strangers: what is found is what all offsets give, and nine tenths of that at least."""
+    rng = np.random.default_rng(12)
+    rows = [(i, chroma.melody(rng.uniform(-1, 1, 64).tolist())) for i in range(60)]
+    for i in range(40):
+        sound = rows[i][1][chroma.HOP * int(rng.integers(0, 50)) + int(rng.integers(0, 256)) :]
+        rows.append((50 * (i + 2), sound + rng.normal(0, rng.uniform(0.05, 0.6), len(sound)).astype(np.float32)))
+    rows += [(9000, rows[0][1][: chroma.FRAME + chroma.HOP * (chroma.SPAN + 5)])]
+    codes = {i: chroma.packed(chroma.frames(x)) for i, x in rows}
+    media = spark.createDataFrame([(i, c.view(np.int32).tolist()) for i, c in codes.items()], "rec long, codes array<int>")
+    found = {r["rec"]: r for r in chroma.align(media, "rec", F.col("rec") % 50 == 0).collect()}
+    links = caught = 0
+    for i in (r for r in codes if r % 50 == 0):
+        truth = {j: plain_error(codes[j], codes[i], chroma.MIN_OVERLAP) for j in codes if j != i}
+        near = {j for j, (e, _) in truth.items() if e <= chroma.MAX_ERROR}
+        links, caught = links + len(near), caught + found[i]["n_links"]
+        assert found[i]["n_links"] <= len(near)
+        if found[i]["n_links"]:
+            assert found[i]["best_class_id"] in near and found[i]["best_error"] >= truth[found[i]["best_class_id"]][0]
+    assert links >= 20 and caught >= 0.9 * links
+
+
+def test_short_recordings(spark):
+    """Too few codes for a key: equal ones are one class, others link to nothing."""
+    rows = [(0, [1, 2, 3]), (50, [1, 2, 3]), (100, [1, 2]), (150, []), (200, None), (250, list(range(9))), (300, list(range(9)))]
+    found = {r["rec"]: (r["class_id"], r["n_links"]) for r in chroma.align(spark.createDataFrame(rows, "rec long, codes array<int>"), "rec", F.col("rec") % 50 == 0).collect()}
+    assert found == {0: (0, 0), 50: (0, 0), 100: (100, 0), 150: (150, 0), 200: (200, 0), 250: (250, 0), 300: (250, 0)}
