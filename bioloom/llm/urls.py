@@ -8,6 +8,8 @@ host's last label among the labelled URLs, with its support.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -74,19 +76,52 @@ def lexical(urls: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """Block rate, pulled towards one half, and support of each suffix; one row a suffix."""
-    counts = labelled.groupBy("suffix").agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("rows"))
-    return counts.select(
-        F.col("suffix").alias("of_suffix"),
-        ((F.col("blocked") + 1.0) / (F.col("rows") + 2.0)).alias("suffix_rate"),
-        F.log1p("rows").alias("suffix_support"),
-    )
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """How many labelled rows each suffix has and how many of them are blocked; one row a suffix."""
+    return labelled.groupBy(F.col("suffix").alias("of_suffix")).agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("rows"))
+
+
+def with_suffix_statistics(rows: DataFrame, counts: DataFrame, own_label: Column | None = None) -> DataFrame:
+    """Adds the block rate, pulled towards one half, and the support of the suffix, a row's own label left out where it has one."""
+    joined = rows.join(counts, F.col("suffix") == F.col("of_suffix"), "left")
+    blocked, n = F.coalesce("blocked", F.lit(0.0)), F.coalesce("rows", F.lit(0))
+    if own_label is not None:
+        blocked, n = blocked - own_label, n - 1
+    return joined.withColumns({"suffix_rate": (blocked + 1.0) / (n + 2.0), "suffix_support": F.log1p(n)}).drop("of_suffix", "blocked", "rows")
+
+
+def fit(labelled: DataFrame, key: str, sample: int = SAMPLE) -> Callable[[DataFrame], DataFrame]:
+    """What adds ``model_score``, the chance that a row is to be blocked, to rows with features; learned from rows with ``label``.
+
+    Suffix statistics count all labelled rows; the trees see about ``sample`` of them, drawn by a hash of key and url.
+    """
+    counts = stored(suffix_counts(labelled.select("suffix", "label")), "suffixes")
+    n = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    draw = F.xxhash64(F.col(key).cast("string"), "url") / F.lit(2.0**64) + 0.5
+    drawn = stored(labelled.where(draw * n < sample).select("label", "suffix", *FEATURES[:-2]), "urls")
+    # The sample is small and read many times; the scan that drew it ran on all tasks.
+    training = with_suffix_statistics(drawn, counts, F.col("label")).coalesce(4)
+    kinds = [r["label"] for r in drawn.select("label").distinct().collect()]
+    if len(kinds) < 2:
+        return lambda rows: with_suffix_statistics(rows, counts).withColumn("model_score", F.lit(kinds[0] if kinds else 0.0))
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=64).fit(assembler.transform(training).select("label", "features"))
+    return lambda rows: trees.transform(assembler.transform(with_suffix_statistics(rows, counts))).withColumn("model_score", vector_to_array("probability")[1])
+
+
+def parsed(pages: DataFrame, rules: tuple[tuple[str, str, str], ...], key: str, url: str) -> DataFrame:
+    """Host, path, rule, what it decides (``decided``, ``label``) and the lexical features of each row."""
+    rows = pages.select(F.col(key), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    rule, decided = rule_of(F.col("host"), F.col("path"), rules)
+    return lexical(rows.withColumns({"rule": rule, "decided": decided})).withColumn("label", (F.col("decided") == "block").cast("double"))
 
 
-def with_suffix_statistics(rows: DataFrame, statistics: DataFrame) -> DataFrame:
-    joined = rows.join(statistics, F.col("suffix") == F.col("of_suffix"), "left").drop("of_suffix")
-    return joined.fillna({"suffix_rate": 0.5, "suffix_support": 0.0})
+def held_out_accuracy(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
+    """One row: of a hashed fifth of the labelled URLs, how many there are and the share that trees learned from the rest judge right."""
+    labelled = parsed(pages, rules, key, url).where("decided IS NOT NULL")
+    out = F.pmod(F.xxhash64("url", F.lit(5)), F.lit(5)) == 0
+    judged = fit(labelled.where(~out), key)(labelled.where(out))
+    return judged.agg(F.count(F.lit(1)).alias("n"), F.avg(((F.col("model_score") >= 0.5) == (F.col("label") == 1)).cast("double")).alias("accuracy"))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, key: str = "page_id", url: str = "url", sample: int = SAMPLE) -> DataFrame:
@@ -96,24 +131,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, key
     Where the rules give no labels of both kinds, there is nothing to learn from: the trees' verdict is then
     the one label seen, or allow if there is none. Repeated rows give repeated results.
     """
-    parsed = pages.select(F.col(key), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    rule, decided = rule_of(F.col("host"), F.col("path"), rules)
-    rows = lexical(parsed.withColumns({"rule": rule, "decided": decided}))
-    labelled = rows.where("decided IS NOT NULL").withColumn("label", (F.col("decided") == "block").cast("double"))
-    statistics = stored(suffix_statistics(labelled.select("suffix", "label")), "suffixes")
-    n = labelled.count()
-    draw = F.xxhash64(F.col(key).cast("string"), "url") / F.lit(2.0**64) + 0.5
-    drawn = labelled.where(draw * n < sample).select("label", "suffix", *FEATURES[:-2])
-    training = stored(with_suffix_statistics(drawn, statistics).coalesce(4), "urls")
-    kinds = [r["label"] for r in training.select("label").distinct().collect()]
-    featured = with_suffix_statistics(rows, statistics)
-    if len(kinds) < 2:
-        score = F.lit(kinds[0] if kinds else 0.0)
-        judged = featured.withColumn("model_score", score)
-    else:
-        assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=64).fit(assembler.transform(training).select("label", "features"))
-        judged = trees.transform(assembler.transform(featured)).withColumn("model_score", vector_to_array("probability")[1])
+    rows = parsed(pages, rules, key, url)
+    judged = fit(rows.where("decided IS NOT NULL"), key, sample)(rows)
     open_to_model = F.col("decided").isNull()
     return judged.select(
         key, "host", "path", "rule",

@@ -45,6 +45,25 @@ def test_trees_learn_from_labelled_urls(spark):
     assert all(found[1000 + i]["verdict"] == "allow" and found[1000 + i]["rule"] is None for i in range(20))
 
 
+def test_held_out_urls(spark):
+    """Labels follow the host's last label and the language in the path, so URLs of new hosts can be judged."""
+    rng = random.Random(8)
+    shapes = [("{}.net", "/{}/{}", 1), ("{}.example.net", "/en/{}/{}", 0), ("{}.example.com", "/de/{}/{}", 1), ("{}.org", "/fr/{}/{}", 0)]
+    rows = []
+    for i in range(1200):
+        host, path, _ = rng.choice(shapes)
+        rows.append((i, "https://" + host.format(f"h{rng.randrange(10**6)}") + path.format(rng.choice("abcdef"), rng.randrange(1000))))
+    found = urls.held_out_accuracy(spark.createDataFrame(rows, "page_id long, url string")).first()
+    assert found["n"] > 150 and found["accuracy"] >= 0.97
+
+
+def test_suffix_statistics_leave_out_the_own_label(spark):
+    rows = spark.createDataFrame([("net", 1.0), ("net", 1.0), ("org", 0.0)], "suffix string, label double")
+    found = urls.with_suffix_statistics(rows, urls.suffix_counts(rows), F.col("label")).collect()
+    assert sorted((r["suffix"], round(r["suffix_rate"], 6)) for r in found) == [("net", round(2 / 3, 6)), ("net", round(2 / 3, 6)), ("org", 0.5)]
+    assert [r["suffix_rate"] for r in urls.with_suffix_statistics(rows.limit(1).withColumn("suffix", F.lit("xyz")), urls.suffix_counts(rows)).collect()] == [0.5]
+
+
 def test_entropy_of_every_window():
     buf = np.frombuffer(("abab" * 40 + "the quick brown fox" * 9 + "z" * 90).encode(), np.uint8)
     for i, level in enumerate(digest.entropy_levels(buf)):
