@@ -85,8 +85,21 @@ def test_recall_and_offsets_by_brute_force(spark):
     assert links >= 20 and caught >= 0.9 * links
 
 
+def test_keys_by_plain_loops(spark):
+    codes = np.random.default_rng(1).integers(0, 2**32, 40, dtype=np.uint32)
+    found = spark.createDataFrame([(codes.view(np.int32).tolist(),)], "codes array<int>").select(F.explode(chroma.keys(F.col("codes"), 3)).alias("k")).select("k.*").collect()
+    expected = set()
+    for byte in range(4):
+        for i in range(0, 40 - chroma.LAGS[-1], 3):
+            key = byte
+            for lag in (0, *chroma.LAGS):
+                key = key * 256 + (int(codes[i + lag]) >> 8 * byte & 255)
+            expected.add((i, key))
+    assert {tuple(r) for r in found} == expected and len(found) == len(expected)
+
+
 def test_short_recordings(spark):
     """Too few codes for a key: equal ones are one class, others link to nothing."""
-    rows = [(0, [1, 2, 3]), (50, [1, 2, 3]), (100, [1, 2]), (150, []), (200, None), (250, list(range(9))), (300, list(range(9)))]
+    rows = [(0, [1, 2, 3]), (50, [1, 2, 3]), (100, [1, 2]), (150, []), (200, None), (250, list(range(24))), (300, list(range(24)))]
     found = {r["rec"]: (r["class_id"], r["n_links"]) for r in chroma.align(spark.createDataFrame(rows, "rec long, codes array<int>"), "rec", F.col("rec") % 50 == 0).collect()}
     assert found == {0: (0, 0), 50: (0, 0), 100: (100, 0), 150: (150, 0), 200: (200, 0), 250: (250, 0), 300: (250, 0)}
