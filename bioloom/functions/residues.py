@@ -33,7 +33,9 @@ def letters(seq: Column) -> Column:
 
 
 def count_of(seq: Column, alphabet: str) -> Column:
-    return F.length(seq) - F.length(F.translate(seq, alphabet, ""))
+    # One letter is found byte by byte, which is far quicker than looking up every character.
+    without = F.replace(seq, F.lit(alphabet)) if len(alphabet) == 1 else F.translate(seq, alphabet, "")
+    return F.length(seq) - F.length(without)
 
 
 def ratio(seq: Column, alphabet: str) -> Column:

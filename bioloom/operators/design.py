@@ -36,14 +36,15 @@ def conservation(rows: DataFrame, reference: DataFrame) -> DataFrame:
     The reference is one row of short strings, as many as its shortest sequence has residues.
     """
     width = F.size("sets")
-    head = F.slice(R.letters(F.col("seq")), 1, F.greatest(width, F.lit(1)))
+    head = R.letters(F.expr("substring(seq, 1, greatest(size(sets), 1))"))
     hits = F.aggregate(F.zip_with(head, "sets", lambda a, s: F.coalesce(F.instr(s, a) > 0, F.lit(False)).cast("int")), F.lit(0), lambda n, x: n + x)
     last = F.element_at("sets", -1)
-    tail = F.expr("substring(seq, size(sets) + 1, length(seq))")
-    kin = [R.count_of(tail, a) * F.greatest(*[F.when(F.instr(last, b) > 0, similarity(a, b)).otherwise(0.0) for b in R.AMINO]) for a in R.AMINO]
+    kin = [R.count_of(F.col("tail_"), a) * F.greatest(*[F.when(F.instr(last, b) > 0, similarity(a, b)).otherwise(0.0) for b in R.AMINO]) for a in R.AMINO]
     beyond = R.total(kin)
     score = F.when(F.col("seq") == "", 0.5).when(F.length(F.col("seq")) <= width, hits / F.length(F.col("seq"))).otherwise((hits + 0.5 * beyond) / F.length(F.col("seq")))
-    return rows.crossJoin(F.broadcast(column_sets(reference))).withColumn("conserv", score).drop("sets")
+    # The rest of a sequence is cut off once, not for each of the twenty letters.
+    cut = rows.crossJoin(F.broadcast(column_sets(reference))).withColumn("tail_", F.expr("substring(seq, size(sets) + 1, length(seq))"))
+    return cut.withColumn("conserv", score).drop("sets", "tail_")
 
 
 def score(rows: DataFrame, reference: DataFrame) -> DataFrame:
