@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bioloom.functions import residues as R
+from bioloom.session import shuffle_partitions, stored
 
 BATCH = 2048
 #: Cells of all pairs that one step of a batch holds.
@@ -58,10 +59,36 @@ def align_batch(queries: list[str], targets: list[str], scoring: tuple[int, int,
     return out >> 32, out & 0xFFFFFFFF
 
 
-def global_identity(pairs: DataFrame, query: str, target: str, scoring: tuple[int, int, int] = PLAIN) -> DataFrame:
+def common_lengths(queries: list[str], targets: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair, which no alignment can match more of.
+
+    A row of the usual table is one bit a letter of the target: a bit falls where the row grows. Sixty-four cells take a step at once.
+    """
+    n, words = len(queries), max(1, -(-max(map(len, targets), default=0) // 64))
+    t = np.full((n, words * 64), 0xFFFFFFFE, np.uint32)
+    # What pads a target is no letter and what pads a query another, so neither is ever equal to anything.
+    q = np.full((max(map(len, queries), default=0), n), 0xFFFFFFFF, np.uint32)
+    for i, (a, b) in enumerate(zip(queries, targets, strict=True)):
+        q[: len(a), i] = np.frombuffer(a.encode("utf-32-le"), np.uint32)
+        t[i, : len(b)] = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    row = np.full((n, words), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for letters in q:
+        grown = row & np.packbits(t == letters[:, None], axis=1, bitorder="little").view(np.uint64)
+        kept, carry = row & ~grown, np.zeros(n, np.uint64)
+        for w in range(words):
+            added = row[:, w] + grown[:, w]
+            over = added < grown[:, w]
+            total = added + carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            row[:, w] = total | kept[:, w]
+    return (64 * words - np.bitwise_count(row).sum(axis=1, dtype=np.int64)).astype(np.int64)
+
+
+def global_identity(pairs: DataFrame, query: str, target: str, scoring: tuple[int, int, int] = PLAIN, least_full: float = 0.0) -> DataFrame:
     """Adds ``identity`` (matches over paired residues), ``qcov``, ``tcov`` and ``full_identity`` (matches over the longer length).
 
-    Nothing paired gives zeros. Pairs are sorted by length within a batch, which bounds padding.
+    Nothing paired gives zeros. Pairs are sorted by length within a batch, which bounds padding. Pairs that can't reach a
+    ``full_identity`` of ``least_full``, as their longest common subsequence is shorter, are left out without an alignment.
     """
     kept = [f for f in pairs.schema.fields if f.name not in ("identity", "qcov", "tcov", "full_identity")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "identity double, qcov double, tcov double, full_identity double"])
@@ -76,6 +103,11 @@ def global_identity(pairs: DataFrame, query: str, target: str, scoring: tuple[in
                 fits = int(np.count_nonzero(most * np.arange(1, len(most) + 1) <= CELLS))
                 part = batch.iloc[lo : lo + max(1, fits)]
                 lo += len(part)
+                if least_full > 0:
+                    longest = np.maximum(part[query].str.len().to_numpy(), part[target].str.len().to_numpy())
+                    part = part[common_lengths(part[query].tolist(), part[target].tolist()) >= least_full * longest - 1e-9]
+                    if part.empty:
+                        continue
                 matches, paired = align_batch(part[query].tolist(), part[target].tolist(), scoring)
                 lq, lt = part[query].str.len().to_numpy(), part[target].str.len().to_numpy()
                 some = np.maximum(paired, 1)
@@ -112,8 +144,8 @@ def nearest_reference(queries: DataFrame, references: DataFrame, key: str, seq:
     return queries.select(key, F.col(seq).alias("q")).join(top, "q").select(key, "top.*")
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    return R.total([F.least(R.count_of(a, x), R.count_of(b, x)) for x in R.AMINO])
+#: Sequences of a length class that one task holds against as many others.
+TILE = 512
 
 
 def near_duplicates(rows: DataFrame, key: str, seq: str, identity: float, coverage: float, scoring: tuple[int, int, int] = PLAIN) -> DataFrame:
@@ -121,18 +153,38 @@ def near_duplicates(rows: DataFrame, key: str, seq: str, identity: float, covera
 
     Lossless pruning first: paired residues are at most the shorter length and at least ``coverage`` of the
     longer, so lengths differ by a bounded factor and pairs meet only in neighbouring length classes; matches are at
-    least ``identity * coverage`` of the longer length, so residue counts must overlap that much.
+    least ``identity * coverage`` of the longer length, so residue counts must overlap that much. Such pairs need share no word:
+    with unpaired residues between them, two matches in a row are all that is certain. So classes are compared whole, but in tiles of
+    hashed blocks, and residues are counted once a sequence: a pair costs twenty comparisons before it is aligned.
     Equal sequences are one node, named by their least key.
     """
     nodes = rows.where(F.length(seq) > 0).groupBy(F.col(seq).alias("s")).agg(F.min(key).alias("k")).withColumn("n", F.length("s"))
     step = math.log(1 / coverage) if coverage < 1 else 1e-9
     level = F.floor(F.log(F.col("n").cast("double")) / step)
-    left = nodes.select(F.col("k").alias("query"), F.col("s").alias("q"), F.col("n").alias("nq"), F.explode(F.array(level - 1, level, level + 1)).alias("level"))
-    right = nodes.select(F.col("k").alias("target"), F.col("s").alias("t"), F.col("n").alias("nt"), level.alias("level"))
-    longest = F.greatest("nq", "nt")
-    pairs = left.join(right, "level").where((F.col("query") < F.col("target")) & (F.least("nq", "nt") >= coverage * longest - 1e-9))
-    pairs = pairs.where(_overlap(F.col("q"), F.col("t")) >= identity * coverage * longest - 1e-9)
-    found = global_identity(pairs.select("query", "target", "q", "t"), "q", "t", scoring)
+    counts = [R.count_of(F.col("s"), a).alias(f"n_{a}") for a in R.AMINO]
+    nodes = stored(nodes.select("k", "s", "n", level.alias("level"), *counts), "nodes")
+    sizes = nodes.groupBy("level").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    own = nodes.join(sizes, "level").withColumn("block", F.pmod(F.xxhash64("s"), "blocks").cast("int")).drop("blocks")
+    other = sizes.withColumnRenamed("blocks", "n_other")
+    # A class meets itself and the next one; each block of either side goes to all blocks of the other.
+    tile = ["lower", "upper", "x", "y"]
+
+    def side(name: str, mine: tuple[str, str], theirs: tuple[str, str], classes: Column) -> DataFrame:
+        met = own.withColumnRenamed("level", mine[0]).withColumn(theirs[0], F.explode(classes)).withColumnRenamed("block", mine[1])
+        met = met.join(other.withColumnRenamed("level", theirs[0]), theirs[0]).withColumn(theirs[1], F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)))
+        return met.select(*tile, *[F.col(c).alias(f"{name}_{c}") for c in ("k", "s", "n", *[f"n_{a}" for a in R.AMINO])])
+
+    left = side("a", ("lower", "x"), ("upper", "y"), F.array(F.col("lower"), F.col("lower") + 1))
+    right = side("b", ("upper", "y"), ("lower", "x"), F.array(F.col("upper") - 1, F.col("upper")))
+    n_tasks = shuffle_partitions(rows.sparkSession)
+    longest = F.greatest("a_n", "b_n")
+    overlap = R.total([F.least(f"a_n_{a}", f"b_n_{a}") for a in R.AMINO])
+    met = left.repartition(n_tasks, *tile).join(right.repartition(n_tasks, *tile), tile).where((F.col("lower") < F.col("upper")) | (F.col("a_k") < F.col("b_k")))
+    met = met.where((F.least("a_n", "b_n") >= coverage * longest - 1e-9) & (overlap >= identity * coverage * longest - 1e-9))
+    first = F.col("a_k") < F.col("b_k")
+    pairs = met.select(F.least("a_k", "b_k").alias("query"), F.greatest("a_k", "b_k").alias("target"), F.when(first, F.col("a_s")).otherwise(F.col("b_s")).alias("q"), F.when(first, F.col("b_s")).otherwise(F.col("a_s")).alias("t"))
+    # An alignment costs more than a row on the way: what is left of the tiles is dealt evenly.
+    found = global_identity(pairs.repartition(n_tasks, "query", "target"), "q", "t", scoring, identity * coverage)
     return found.where((F.col("identity") >= identity) & (F.col("qcov") >= coverage) & (F.col("tcov") >= coverage)).drop("q", "t")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bioloom.functions.residues import AMINO
-from bioloom.session import table
+from bioloom.session import spread, table
 
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The run whose sequences serve as reference; all other runs count as generated.
@@ -21,7 +21,7 @@ SHORT_REFERENCE = "example.net"
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
-    return table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    return spread(table(spark, sf_dir, "documents"), "doc_id").join(labels, "doc_id", "left")
 
 
 def _upper(column: str):
@@ -29,11 +29,13 @@ def _upper(column: str):
 
 
 def raw_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_replace(_upper("text"), "[^A-Z]", "").alias("seq"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return rows.select("doc_id", "source", F.regexp_replace(_upper("text"), "[^A-Z]", "").alias("seq"))
 
 
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.regexp_replace(_upper("text"), f"[^{AMINO}]", "").alias("seq"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    return rows.select("doc_id", "source", "lang", F.regexp_replace(_upper("text"), f"[^{AMINO}]", "").alias("seq"))
 
 
 def short(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def size_of(df: DataFrame) -> int:
+    """What Spark estimates ``df`` to hold, in bytes; files count as they are stored."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+#: Below this size a core, a table may be stored in fewer row groups than there are cores.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores, for work on each text that costs far more than a shuffle of a small table.
+
+    A file of one row group is one task, however many cores wait. Tables of over ``SMALL`` bytes a core have row groups enough
+    and are read where they lie: what is shuffled here doesn't grow with the data. Rows are the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if cores > 1 and size_of(df) < SMALL * cores else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """How many partitions the session gives a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
