@@ -1,10 +1,13 @@
-"""Column functions over protein sequences. All are built-in Spark expressions on one string column."""
+"""Column functions over protein sequences: built-in Spark expressions on one string column, but for one count of all letters."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 # Alphabets and per-residue tables of the scoring rules.
 AMINO = "ACDEFGHIKLMNPQRSTVWY"
@@ -32,15 +35,35 @@ def letters(seq: Column) -> Column:
     return F.filter(F.split(seq, ""), lambda c: c != "")
 
 
-def count_of(seq: Column, alphabet: str) -> Column:
+@F.pandas_udf(ArrayType(IntegerType()))
+def letter_counts(seq: pd.Series) -> pd.Series:
+    """How often each residue of ``AMINO`` occurs, in one pass; zeros for null. As built-in functions this is a pass a letter."""
+    places = np.frombuffer(AMINO.encode(), np.uint8)
+    return pd.Series([np.bincount(np.frombuffer((s or "").encode(), np.uint8), minlength=256)[places].astype(np.int32) for s in seq])
+
+
+class Counted:
+    """A sequence column together with the column of its ``letter_counts``: takes the place of the sequence in the functions below."""
+
+    def __init__(self, seq: Column, counts: Column) -> None:
+        self.seq, self.counts = seq, counts
+
+
+def text_of(seq: Column | Counted) -> Column:
+    return seq.seq if isinstance(seq, Counted) else seq
+
+
+def count_of(seq: Column | Counted, alphabet: str) -> Column:
+    if isinstance(seq, Counted):
+        return total([seq.counts[AMINO.index(a)] for a in alphabet])
     # One letter is found byte by byte, which is far quicker than looking up every character.
     without = F.replace(seq, F.lit(alphabet)) if len(alphabet) == 1 else F.translate(seq, alphabet, "")
     return F.length(seq) - F.length(without)
 
 
-def ratio(seq: Column, alphabet: str) -> Column:
+def ratio(seq: Column | Counted, alphabet: str) -> Column:
     """Share of residues in ``alphabet``; 0 for an empty sequence."""
-    return F.when(F.length(seq) > 0, count_of(seq, alphabet) / F.length(seq)).otherwise(F.lit(0.0))
+    return F.when(F.length(text_of(seq)) > 0, count_of(seq, alphabet) / F.length(text_of(seq))).otherwise(F.lit(0.0))
 
 
 def total(columns: list[Column]) -> Column:
@@ -75,9 +98,9 @@ def kmer_diversity(seq: Column, k: int = 3) -> Column:
     return F.when(F.size(parts) > 0, F.size(F.array_distinct(parts)) / F.size(parts)).otherwise(F.lit(0.0))
 
 
-def max_frequency(seq: Column) -> Column:
+def max_frequency(seq: Column | Counted) -> Column:
     """Share of the most common of the twenty residues."""
-    return F.when(F.length(seq) > 0, F.greatest(*[count_of(seq, a) for a in AMINO]) / F.length(seq)).otherwise(F.lit(0.0))
+    return F.when(F.length(text_of(seq)) > 0, F.greatest(*[count_of(seq, a) for a in AMINO]) / F.length(text_of(seq))).otherwise(F.lit(0.0))
 
 
 def has_tandem(seq: Column, width: int, times: int) -> Column:
@@ -85,10 +108,10 @@ def has_tandem(seq: Column, width: int, times: int) -> Column:
     return seq.rlike(f"(.{{{width}}})" + r"\1" * (times - 1) + ".")
 
 
-def passes_hard_filter(seq: Column) -> Column:
+def passes_hard_filter(seq: Column | Counted) -> Column:
     return (
-        F.length(seq).between(40, 300) & is_legal(seq) & (ratio(seq, HYDROPHOBIC) <= 0.60)
-        & ~has_tandem(seq, 3, 3) & ~has_tandem(seq, 4, 3) & ~has_tandem(seq, 5, 3) & (max_frequency(seq) <= 0.30)
+        F.length(text_of(seq)).between(40, 300) & is_legal(text_of(seq)) & (ratio(seq, HYDROPHOBIC) <= 0.60)
+        & ~has_tandem(text_of(seq), 3, 3) & ~has_tandem(text_of(seq), 4, 3) & ~has_tandem(text_of(seq), 5, 3) & (max_frequency(seq) <= 0.30)
     )
 
 
@@ -100,19 +123,19 @@ def blockiness(seq: Column) -> dict[str, Column]:
     return {"max_block": F.array_max(sizes), "mean_block": F.length(seq) / F.size(sizes), "n_blocks": F.size(sizes)}
 
 
-def mean_hydropathy(seq: Column) -> Column:
-    return total([count_of(seq, a) * F.lit(v) for a, v in HYDROPATHY.items()]) / F.length(seq)
+def mean_hydropathy(seq: Column | Counted) -> Column:
+    return total([count_of(seq, a) * F.lit(v) for a, v in HYDROPATHY.items()]) / F.length(text_of(seq))
 
 
-def charge(seq: Column) -> Column:
+def charge(seq: Column | Counted) -> Column:
     return count_of(seq, "KR") + count_of(seq, "H") * 0.5 - count_of(seq, NEGATIVE)
 
 
-def physicochemical(seq: Column) -> dict[str, Column]:
-    weight = total([count_of(seq, a) * F.lit(v) for a, v in SIZE.items()]) + count_of(F.translate(seq, AMINO, ""), "BJOUXZ") * 110
+def physicochemical(seq: Column | Counted) -> dict[str, Column]:
+    weight = total([count_of(seq, a) * F.lit(v) for a, v in SIZE.items()]) + count_of(F.translate(text_of(seq), AMINO, ""), "BJOUXZ") * 110
     return {
-        "length": F.length(seq),
-        "molecular_weight": weight - 18 * (F.length(seq) - 1),
+        "length": F.length(text_of(seq)),
+        "molecular_weight": weight - 18 * (F.length(text_of(seq)) - 1),
         "charge": charge(seq).cast("int"),
         "hydrophobic_ratio": ratio(seq, HYDROPHOBIC),
         "aromatic_ratio": ratio(seq, AROMATIC),
@@ -120,14 +143,14 @@ def physicochemical(seq: Column) -> dict[str, Column]:
     }
 
 
-def structure_propensity(seq: Column) -> dict[str, Column]:
+def structure_propensity(seq: Column | Counted) -> dict[str, Column]:
     mean = mean_hydropathy(seq)
-    disorder = F.when(mean < -0.5, F.least(F.lit(1.0), -mean * 0.3 + F.abs(charge(seq)) / F.length(seq))).otherwise(F.lit(0.0))
+    disorder = F.when(mean < -0.5, F.least(F.lit(1.0), -mean * 0.3 + F.abs(charge(seq)) / F.length(text_of(seq)))).otherwise(F.lit(0.0))
     return {"helix": ratio(seq, HELIX), "sheet": ratio(seq, SHEET), "turn": ratio(seq, TURN), "disorder": disorder}
 
 
-def localization(seq: Column) -> dict[str, Column]:
-    h, run = ratio(seq, HYDROPHOBIC), longest_run(seq, HYDROPHOBIC)
+def localization(seq: Column | Counted) -> dict[str, Column]:
+    h, run = ratio(seq, HYDROPHOBIC), longest_run(text_of(seq), HYDROPHOBIC)
     return {
         "localization": F.when(h > 0.55, "Membrane").when(h > 0.4, "Cytoplasm/Membrane").otherwise("Cytoplasm"),
         "solubility": F.when(h > 0.55, 0.3).when(h > 0.4, 0.7).otherwise(0.9),
@@ -135,29 +158,29 @@ def localization(seq: Column) -> dict[str, Column]:
     }
 
 
-def novelty_score(seq: Column) -> Column:
-    n = F.length(seq)
+def novelty_score(seq: Column | Counted) -> Column:
+    n = F.length(text_of(seq))
     by_length = F.when(n.between(60, 100), 0.3).when(n.between(40, 120), 0.5).otherwise(0.8)
-    by_repeat = F.when(has_tandem(seq, 3, 2), 0.7).otherwise(0.3)
+    by_repeat = F.when(has_tandem(text_of(seq), 3, 2), 0.7).otherwise(0.3)
     return F.round(0.4 * by_length + 0.3 * F.least(F.lit(1.0), max_frequency(seq) * 3) + 0.3 * by_repeat, 3)
 
 
-def fold_score(seq: Column) -> Column:
+def fold_score(seq: Column | Counted) -> Column:
     """Without the random jitter that such heuristics sometimes add."""
-    n, h = F.length(seq), ratio(seq, FOLD_HYDROPHOBIC)
+    n, h = F.length(text_of(seq)), ratio(seq, FOLD_HYDROPHOBIC)
     base = F.when(n.between(60, 160), 0.85).when(n.between(40, 200), 0.70).otherwise(0.50)
     return F.round(F.least(F.lit(0.99), base + F.when(h.between(0.4, 0.6), 0.10).otherwise(0.0)), 2)
 
 
-def safety_score(seq: Column) -> Column:
+def safety_score(seq: Column | Counted) -> Column:
     h, c = ratio(seq, HYDROPHOBIC), ratio(seq, POSITIVE + NEGATIVE)
     solubility = F.when(h.between(0.3, 0.5), 0.85).when(h < 0.3, 0.75).otherwise(F.greatest(F.lit(0.3), 0.9 - h))
-    tendency = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), (h - c) * 20 + F.length(seq) / 100 * 2))
+    tendency = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), (h - c) * 20 + F.length(text_of(seq)) / 100 * 2))
     aggregated = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (tendency + 10) / 20))
     return F.least(F.lit(0.99), F.greatest(F.lit(0.0), 0.6 * solubility + 0.4 * (1 - aggregated)))
 
 
-def assembly_score(seq: Column) -> Column:
+def assembly_score(seq: Column | Counted) -> Column:
     plus, minus = count_of(seq, POSITIVE), count_of(seq, NEGATIVE)
     balance = 1.0 - F.abs(plus - minus) / F.greatest(plus + minus, F.lit(1))
     score = 0.5 + 0.3 * balance + 0.2 * (1.0 - F.abs(ratio(seq, HYDROPHOBIC) - 0.45) * 2.0)

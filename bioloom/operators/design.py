@@ -39,17 +39,20 @@ def conservation(rows: DataFrame, reference: DataFrame) -> DataFrame:
     head = R.letters(F.expr("substring(seq, 1, greatest(size(sets), 1))"))
     hits = F.aggregate(F.zip_with(head, "sets", lambda a, s: F.coalesce(F.instr(s, a) > 0, F.lit(False)).cast("int")), F.lit(0), lambda n, x: n + x)
     last = F.element_at("sets", -1)
-    kin = [R.count_of(F.col("tail_"), a) * F.greatest(*[F.when(F.instr(last, b) > 0, similarity(a, b)).otherwise(0.0) for b in R.AMINO]) for a in R.AMINO]
+    tail = R.Counted(F.col("tail_"), F.col("tail_n_"))
+    kin = [R.count_of(tail, a) * F.greatest(*[F.when(F.instr(last, b) > 0, similarity(a, b)).otherwise(0.0) for b in R.AMINO]) for a in R.AMINO]
     beyond = R.total(kin)
     score = F.when(F.col("seq") == "", 0.5).when(F.length(F.col("seq")) <= width, hits / F.length(F.col("seq"))).otherwise((hits + 0.5 * beyond) / F.length(F.col("seq")))
     # The rest of a sequence is cut off once, not for each of the twenty letters.
     cut = rows.crossJoin(F.broadcast(column_sets(reference))).withColumn("tail_", F.expr("substring(seq, size(sets) + 1, length(seq))"))
-    return cut.withColumn("conserv", score).drop("sets", "tail_")
+    return cut.withColumn("tail_n_", R.letter_counts("tail_")).withColumn("conserv", score).drop("sets", "tail_", "tail_n_")
 
 
 def score(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """All partial scores and the weighted ``overall``; a null or empty sequence scores one half throughout."""
-    made = conservation(rows.withColumn("seq", F.coalesce("seq", F.lit(""))), reference).withColumns({"fold": R.fold_score(F.col("seq")), "assembly": R.assembly_score(F.col("seq")), "novelty": R.novelty_score(F.col("seq")), "toxic": R.safety_score(F.col("seq"))})
+    made = conservation(rows.withColumn("seq", F.coalesce("seq", F.lit(""))), reference).withColumn("n_", R.letter_counts("seq"))
+    seq = R.Counted(F.col("seq"), F.col("n_"))
+    made = made.withColumns({"fold": R.fold_score(seq), "assembly": R.assembly_score(seq), "novelty": R.novelty_score(seq), "toxic": R.safety_score(seq)}).drop("n_")
     names = list(R.OVERALL_WEIGHTS)
     made = made.withColumns({n: F.when(F.col("seq") == "", F.lit(0.5)).otherwise(F.col(n)) for n in names})
     return made.withColumn("overall", F.round(R.overall_score({n: F.col(n) for n in names}), 10))
@@ -61,21 +64,22 @@ def _named(rules: list[tuple[str, Column]]) -> Column:
 
 def explain(scored: DataFrame) -> DataFrame:
     """Adds strengths, risks and recommendations by threshold rules, joined by a bar, and the conservation class."""
-    h, structure, local = R.ratio(F.col("seq"), R.HYDROPHOBIC), R.structure_propensity(F.col("seq")), R.localization(F.col("seq"))
+    seq = R.Counted(F.col("seq"), F.col("n_"))
+    h, structure, local = R.ratio(seq, R.HYDROPHOBIC), R.structure_propensity(seq), R.localization(seq)
     strengths = _named([
         ("stable_fold", F.col("fold") > 0.9), ("safe", F.col("toxic") > 0.85), ("novel", F.col("novelty") > 0.7), ("ideal_hydrophobicity", (h > 0.35) & (h < 0.55)),
         ("helical", structure["helix"] > 0.5), ("soluble", local["solubility"] > 0.7),
     ])
     risks = _named([
-        ("weak_fold", F.col("fold") < 0.7), ("unsafe", F.col("toxic") < 0.6), ("no_net_charge", R.charge(F.col("seq")).cast("int") == 0),
+        ("weak_fold", F.col("fold") < 0.7), ("unsafe", F.col("toxic") < 0.6), ("no_net_charge", R.charge(seq).cast("int") == 0),
         ("disordered", structure["disorder"] > 0.5), ("unusual_length", (F.length(F.col("seq")) < 50) | (F.length(F.col("seq")) > 200)),
     ])
     advice = _named([("verify_structure", F.col("fold") < 0.8), ("check_core_residues", F.col("conserv") < 0.5), ("missing_repeat_unit", ~F.col("seq").rlike(R.MOTIFS["repeat_variant"]))])
     advice = F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit("test_first")))
-    return scored.withColumns({
+    return scored.withColumn("n_", R.letter_counts("seq")).withColumns({
         "strengths": F.array_join(strengths, "|"), "risks": F.array_join(risks, "|"), "recommendations": F.array_join(advice, "|"),
         "conservation": F.when(F.col("conserv") > 0.8, "high").when(F.col("conserv") > 0.5, "medium").otherwise("low"),
-    })
+    }).drop("n_")
 
 
 def select_diverse(scored: DataFrame, key: str, k: int, max_identity: float, min_score: float) -> list[dict]:

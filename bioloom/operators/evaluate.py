@@ -37,7 +37,8 @@ def run_identity(generated: DataFrame, train: DataFrame, run: str, key: str, seq
 
 def composition(rows: DataFrame, run: str, seq: str) -> DataFrame:
     """Per run the share of each of the twenty letters among all characters."""
-    return rows.groupBy(run).agg(*[(F.sum(R.count_of(F.col(seq), a)) / F.sum(F.length(seq))).alias(f"p_{a}") for a in R.AMINO])
+    counted = rows.select(run, F.length(seq).alias("length_"), R.letter_counts(seq).alias("n_"))
+    return counted.groupBy(run).agg(*[(F.sum(F.col("n_")[i]) / F.sum("length_")).alias(f"p_{a}") for i, a in enumerate(R.AMINO)])
 
 
 def composition_l1(generated: DataFrame, train: DataFrame, run: str, seq: str) -> DataFrame:

@@ -75,8 +75,14 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def counted() -> R.Counted:
+    return R.Counted(F.col("seq"), F.col("n_"))
+
+
 def scalar(name: str, columns, sql: str, raw: bool = False) -> None:
-    view = views.raw_seqs if raw else views.seqs
+    def view(spark, d):
+        return (views.raw_seqs if raw else views.seqs)(spark, d).withColumn("n_", R.letter_counts("seq"))
+
     QUERIES[name] = lambda spark, d: r6(view(spark, d).select("doc_id", *[v.alias(k) for k, v in columns().items()]))
     ORACLES[name] = f"{with_views(RAW_SQL if raw else SEQS_SQL)} SELECT doc_id, {sql} FROM {'raw_seqs' if raw else '(SELECT *, ' + CHARS + ' AS c FROM seqs)'}"
 
@@ -86,7 +92,7 @@ scalar(
     f"regexp_full_match(seq, '[{A}]*') AS legal, array_to_string(list_sort(list_distinct(list_filter(string_split(translate(seq, '{A}', ''), ''), lambda x: x <> ''))), '') AS illegal", raw=True,
 )
 scalar(
-    "hard_filter", lambda: {"passes": R.passes_hard_filter(F.col("seq"))},
+    "hard_filter", lambda: {"passes": R.passes_hard_filter(counted())},
     f"CASE WHEN length(seq) BETWEEN 40 AND 300 THEN regexp_full_match(seq, '[{A}]*') AND {rat(R.HYDROPHOBIC)} <= 0.6 AND {MAXF} <= 0.3 AND NOT {tandem(3, 3)} AND NOT {tandem(4, 3)} AND NOT {tandem(5, 3)} ELSE false END AS passes", raw=True,
 )
 scalar("longest_hydrophobic_run", lambda: {"longest_run": R.longest_run(F.col("seq"), R.HYDROPHOBIC), "passes": R.longest_run(F.col("seq"), R.HYDROPHOBIC) <= 10}, f"{RUN}::INTEGER AS longest_run, {RUN} <= 10 AS passes")
@@ -114,27 +120,27 @@ scalar(
     "window_complexity", lambda: ops.window_complexity(F.col("seq"), 10),
     "round(list_avg(list_transform(range(1, length(seq) - 8), lambda i: len(list_distinct(c[i:i + 9])) / 10)), 10) AS mean_complexity, round(list_min(list_transform(range(1, length(seq) - 8), lambda i: len(list_distinct(c[i:i + 9])) / 10)), 10) AS min_complexity, greatest(0, length(seq) - 9)::INTEGER AS n_windows",
 )
-scalar("aa_composition", lambda: {f"f_{a}": R.ratio(F.col("seq"), a) for a in A}, ", ".join(f"round({rat(a)}, 10)::DOUBLE AS f_{a}" for a in A))
+scalar("aa_composition", lambda: {f"f_{a}": R.ratio(counted(), a) for a in A}, ", ".join(f"round({rat(a)}, 10)::DOUBLE AS f_{a}" for a in A))
 WEIGHT = " + ".join(f"{cnt(a)} * {v}" for a, v in R.SIZE.items())
 PHYS = (
     f"length(seq)::INTEGER AS length, ({WEIGHT} + 110 * {cnt('BJOUXZ')} - 18 * (length(seq) - 1))::INTEGER AS molecular_weight, trunc({CHARGE})::INTEGER AS charge,"
     f" round({rat(R.HYDROPHOBIC)}, 10)::DOUBLE AS hydrophobic_ratio, round({rat(R.AROMATIC)}, 10)::DOUBLE AS aromatic_ratio, round(7.0::DOUBLE + 0.3 * ({cnt('KRH')} - {cnt('DE')}), 10)::DOUBLE AS isoelectric_point"
 )
-scalar("physicochemical", lambda: R.physicochemical(F.col("seq")), PHYS, raw=True)
+scalar("physicochemical", lambda: R.physicochemical(counted()), PHYS, raw=True)
 DISORDER = f"(CASE WHEN {MEANH} < -0.5 THEN least(1.0, -{MEANH} * 0.3 + abs({CHARGE}) / length(seq)) ELSE 0.0 END)"
 scalar(
-    "structure_propensity", lambda: R.structure_propensity(F.col("seq")),
+    "structure_propensity", lambda: R.structure_propensity(counted()),
     f"round({rat(R.HELIX)}, 10)::DOUBLE AS helix, round({rat(R.SHEET)}, 10)::DOUBLE AS sheet, round({rat(R.TURN)}, 10)::DOUBLE AS turn, round({DISORDER}, 10)::DOUBLE AS disorder",
 )
 LOC = f"CASE WHEN {H} > 0.55 THEN 'Membrane' WHEN {H} > 0.4 THEN 'Cytoplasm/Membrane' ELSE 'Cytoplasm' END AS localization"
 SOL = f"(CASE WHEN {H} > 0.55 THEN 0.3 WHEN {H} > 0.4 THEN 0.7 ELSE 0.9 END)::DOUBLE"
 scalar(
-    "localization_aggregation", lambda: R.localization(F.col("seq")),
+    "localization_aggregation", lambda: R.localization(counted()),
     f"{LOC}, {SOL} AS solubility, CASE WHEN {H} > 0.6 OR {RUN} > 12 THEN 'high' WHEN {H} > 0.5 OR {RUN} > 8 THEN 'moderate' ELSE 'low' END AS aggregation",
 )
-scalar("score_novelty_heuristic", lambda: {"novelty": R.novelty_score(F.col("seq"))}, f"{NOVELTY} AS novelty")
-scalar("score_fold_heuristic", lambda: {"fold": R.fold_score(F.col("seq"))}, f"{FOLD} AS fold")
-scalar("score_safety", lambda: {"toxic": R.safety_score(F.col("seq"))}, f"round({SAFETY}, 10)::DOUBLE AS toxic")
+scalar("score_novelty_heuristic", lambda: {"novelty": R.novelty_score(counted())}, f"{NOVELTY} AS novelty")
+scalar("score_fold_heuristic", lambda: {"fold": R.fold_score(counted())}, f"{FOLD} AS fold")
+scalar("score_safety", lambda: {"toxic": R.safety_score(counted())}, f"round({SAFETY}, 10)::DOUBLE AS toxic")
 TOKENS = f"list_concat(list_concat([1], list_transform(list_filter({CHARS}, lambda x: x <> ''), lambda x: CASE WHEN strpos('{A}', x) > 0 THEN strpos('{A}', x) + 3 ELSE 3 END)), [2])"
 scalar(
     "tokenize", lambda: ops.tokenized(F.col("seq")),
