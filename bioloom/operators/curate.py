@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bioloom.functions import residues as R
+from bioloom.session import stored
 
 PASSES = "passes_strict_taxonomy_annotation_and_sequence_checks"
 DUPLICATE_SEQUENCE, DUPLICATE_ID = "exact_duplicate_sequence", "duplicate_sequence_id"
@@ -81,28 +82,31 @@ def _rank() -> Column:
     )
 
 
-def _mark(rows: DataFrame, keys: list[str], applies: Column, reason: str, pointer: str) -> DataFrame:
-    window = Window.partitionBy(*keys).orderBy(_rank())
-    loser = (F.row_number().over(window) > 1) & applies
+def _mark(rows: DataFrame, key: str, reason: str, pointer: str) -> DataFrame:
+    """Of rows that share ``key`` all but the best are excluded and point to it; the best is an aggregate, so no group meets in one task."""
+    shared = rows.groupBy(F.col(key).alias("of_")).agg(F.min(F.struct(_rank().alias("rank"), "sequence_id")).alias("best_"), F.count(F.lit(1)).alias("n_")).where("n_ > 1")
+    lost = F.coalesce(_rank() != F.col("best_.rank"), F.lit(False))
+    joined = rows.join(shared.drop("n_"), F.col(key).eqNullSafe(F.col("of_")), "left").withColumn("lost_", lost)
     kept = F.filter("reasons", lambda r: r != PASSES)
-    return (
-        rows.withColumn("best_", F.first("sequence_id").over(window)).withColumn("lost_", loser)
-        .withColumn("reasons", F.when(F.col("lost_"), F.array_sort(F.array_union(kept, F.array(F.lit(reason))))).otherwise(F.col("reasons")))
-        .withColumn("decision", F.when(F.col("lost_"), "exclude").otherwise(F.col("decision")))
-        .withColumn(pointer, F.when(F.col("lost_"), F.col("best_"))).drop("best_", "lost_")
-    )
+    return joined.withColumns({
+        "reasons": F.when(F.col("lost_"), F.array_sort(F.array_union(kept, F.array(F.lit(reason))))).otherwise(F.col("reasons")),
+        "decision": F.when(F.col("lost_"), "exclude").otherwise(F.col("decision")), pointer: F.when(F.col("lost_"), F.col("best_.sequence_id")),
+    }).drop("of_", "best_", "lost_")
 
 
 def resolve_duplicates(rows: DataFrame) -> DataFrame:
     """Keeps the best record of each sequence, then of each id as the first pass left them.
 
-    Best: included before reviewed before excluded, ``WP_`` ids first, then input order. Empty sequences are
-    no duplicates of each other. Sequences are grouped by a hash and length first, so shuffles stay narrow.
+    Best: included before reviewed before excluded, ``WP_`` ids first, then input order (``seq_order``, which no two records share).
+    Empty and null sequences are no duplicates of each other; records without an id share one. Only order, id, decision, reasons and a
+    digest of the sequence are compared; the other columns are joined at the end by their order.
     """
-    hashed = rows.withColumn("hash_", F.xxhash64("sequence")).withColumn("size_", F.length("sequence"))
     some = F.coalesce(F.col("sequence") != "", F.lit(False))
-    first = _mark(hashed, ["hash_", "size_", "sequence"], some, DUPLICATE_SEQUENCE, "duplicate_sequence_of").drop("hash_", "size_")
-    return _mark(first, ["sequence_id"], F.lit(True), DUPLICATE_ID, "duplicate_id_of")
+    copy = F.when(some, F.sha2("sequence", 256)).otherwise(F.concat(F.lit("row "), F.col("seq_order").cast("string")))
+    marks = stored(rows.select("seq_order", "sequence_id", "decision", "reasons", copy.alias("copy_")), "marks")
+    first = stored(_mark(marks, "copy_", DUPLICATE_SEQUENCE, "duplicate_sequence_of").drop("copy_"), "marks")
+    both = _mark(first, "sequence_id", DUPLICATE_ID, "duplicate_id_of")
+    return rows.drop("sequence_id", "decision", "reasons").join(both, "seq_order")
 
 
 def reason_counts(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from bioloom.session import cumulated, stored
+
 
 def as_flag(value: Column) -> Column:
     """true/false/1/0/yes/no in any case to a boolean, anything else to null."""
@@ -125,12 +127,28 @@ def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.array(*pairs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
+def quantiles(rows: DataFrame, columns: list[str], at: dict[str, float]) -> DataFrame:
+    """``column`` and an exact quantile, between neighbours in proportion, for each name in ``at``.
+
+    Equal values are counted first and then summed along ranges of values, so no task holds all values of a column.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    counts = rows.select(F.explode(cells).alias("x")).select("x.*").where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    summed = stored(cumulated(counts, "n", F.col("column"), F.col("value")), "summed")
+    ends = summed.groupBy(F.col("column").alias("of")).agg(F.min(F.col("upto") - F.col("n")).alias("start"), F.sum("n").alias("total"))
+    joined = summed.join(F.broadcast(ends), F.col("column") == F.col("of"))  # a row a column
+    place = {name: F.lit(q) * (F.col("total") - 1) for name, q in at.items()}
+    value = lambda rank: F.min(F.when(F.col("upto") > F.col("start") + rank, F.col("value")))
+    found = joined.groupBy("column").agg(
+        *[value(F.floor(p)).alias(f"{name}_low") for name, p in place.items()], *[value(F.ceil(p)).alias(f"{name}_high") for name, p in place.items()],
+        *[F.first(p - F.floor(p)).alias(f"{name}_part") for name, p in place.items()],
+    )
+    return found.select("column", *[((1 - F.col(f"{n}_part")) * F.col(f"{n}_low") + F.col(f"{n}_part") * F.col(f"{n}_high")).alias(n) for n in at])
+
+
 def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, deviation, least, exact quartiles and greatest of each column."""
-    stats = [
-        F.struct(
-            F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).cast("double").alias("min"),
-            *[F.percentile(c, F.lit(q)).alias(n) for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))], F.max(c).cast("double").alias("max"),
-        ) for c in columns
-    ]
-    return rows.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    stats = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")) for c in columns]
+    whole = rows.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    quarters = quantiles(rows, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return whole.join(quarters, "column", "left").select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max")

@@ -9,7 +9,7 @@ from bioloom.operators import curate, records
 from bioloom.plans import views
 from bioloom.plans.features import r6
 from bioloom.plans.views import DOCS_SQL, LOWER, SEQS_SQL, UPPER, with_views
-from bioloom.session import numbered, table
+from bioloom.session import numbered, stored, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -94,10 +94,10 @@ def resolve_duplicates(spark, d):
  UNION ALL SELECT 'organism', lang, count(*) FROM res WHERE decision = 'include' GROUP BY lang
  UNION ALL SELECT 'length', x, v FROM (SELECT unnest(['min', 'max', 'total']) AS x, unnest([min(length(seq)), max(length(seq)), sum(length(seq))])::BIGINT AS v FROM res WHERE decision = 'include')""")
 def cleaning_summary(spark, d):
-    rows = resolved(spark, d)
+    rows = stored(resolved(spark, d).select("decision", "reasons", "organism", F.length("sequence").cast("long").alias("n")), "resolved")
     kept = rows.where("decision = 'include'")
     organisms = kept.groupBy(F.col("organism").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("organism").alias("kind"), "name", "n")
-    n = F.length("sequence").cast("long")
+    n = F.col("n")
     lengths = kept.agg(F.array(F.struct(F.lit("min").alias("name"), F.min(n).alias("n")), F.struct(F.lit("max").alias("name"), F.max(n).alias("n")), F.struct(F.lit("total").alias("name"), F.sum(n).alias("n"))).alias("x"))
     lengths = lengths.select(F.explode("x").alias("x")).select(F.lit("length").alias("kind"), "x.*")
     return curate.reason_counts(rows).unionByName(organisms).unionByName(lengths)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -99,3 +99,17 @@ def numbered(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
     offsets = rows.sparkSession.createDataFrame(starts, "part_ long, before_ long")
     place = (F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name)
     return dealt.join(F.broadcast(offsets), part == F.col("part_")).select(*[F.col(f"`{c}`") for c in rows.columns], place)
+
+
+def cumulated(rows: DataFrame, weight: str, *order: Column, name: str = "upto") -> DataFrame:
+    """``rows`` with the sum of ``weight`` up to and with each, in one order over all of them; no task gets more than its range."""
+    dealt = stored(rows.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()), "ranges")
+    sums = sorted(map(tuple, dealt.groupBy("range_").agg(F.sum(weight).alias("n")).collect()))
+    before, starts = 0, []
+    for which, n in sums:
+        starts.append((which, before))
+        before += n
+    offsets = rows.sparkSession.createDataFrame(starts, "range_ int, before_ long")
+    inside = F.sum(weight).over(Window.partitionBy("range_").orderBy(*order))
+    summed = dealt.withColumn("inside_", inside).join(F.broadcast(offsets), "range_")
+    return summed.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("before_") + F.col("inside_")).alias(name))
