@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bioloom.operators.records import quantiles
 from bioloom.session import stored
 
 BLOCK = 1024
@@ -68,7 +69,7 @@ def median_bandwidth(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """One row: the exact median of positive squared distances over unordered pairs; 1 if there is none. Quadratic: give a sample of a large table."""
     other = rows.select(F.col(key).alias("k2"), F.col(vector).alias("v2"))
     pairs = rows.join(other, F.col(key) < F.col("k2")).select(squared_distances(F.col(vector).cast("array<double>"), F.col("v2").cast("array<double>")).alias("d"))
-    return pairs.where("d > 0").agg(F.coalesce(F.percentile("d", F.lit(0.5)), F.lit(1.0)).alias("bandwidth"))
+    return quantiles(pairs.where("d > 0"), ["d"], {"median": 0.5}).agg(F.coalesce(F.first("median"), F.lit(1.0)).alias("bandwidth"))
 
 
 def mmd2(rows: DataFrame, group: str, vector: str, real, bandwidth: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from bioloom.functions import residues as R
-from bioloom.operators import align, cluster, design, embed, evaluate, generate, msa
+from bioloom.operators import align, cluster, design, embed, evaluate, generate, msa, records
 from bioloom.plans import views
 from bioloom.plans.features import CHARS, SCORED_CTE, cnt, r6, rat, scored
 from bioloom.plans.views import RAW_SQL, REFERENCE_RUN, SEQS_SQL, SHORT_REFERENCE, SHORT_SQL, with_views
@@ -391,7 +391,7 @@ def nearest_embedding_distance(spark, d):
 @query("embedding_outliers", f"WITH {NEAR_SQL}, t AS (SELECT quantile_cont(distance, 0.95) AS threshold FROM n WHERE label = 1) SELECT label, count(*) AS n, round(any_value(threshold), 6) AS threshold, round(avg((label <> 0 AND distance > threshold)::INTEGER), 8) AS outlier_rate FROM n, t GROUP BY label")
 def embedding_outliers(spark, d):
     rows = stored(nearest(spark, d), "distances")
-    limit = rows.where("label = 1").agg(F.percentile("distance", F.lit(0.95)).alias("threshold"))
+    limit = records.quantiles(rows.where("label = 1"), ["distance"], {"threshold": 0.95}).select("threshold")
     flagged = rows.crossJoin(F.broadcast(limit)).withColumn("out", ((F.col("label") != 0) & (F.col("distance") > F.col("threshold"))).cast("int"))
     return flagged.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.first("threshold"), 6).alias("threshold"), F.round(F.avg("out"), 8).alias("outlier_rate"))
 

@@ -82,6 +82,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _before(ranges: DataFrame, part: str) -> DataFrame:
+    """``part, before_``: the sum of ``n_`` over the ranges before each. There is a row a shuffle partition, whatever the data."""
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.select(part, F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("before_"))
+
+
 def numbered(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
     """``rows`` with their place, from 1, in one order over all of them.
 
@@ -91,12 +97,7 @@ def numbered(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
     # The upper bits of these ids are the range, the lower 33 the place in it.
     dealt = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()), "ranges")
     part = F.shiftrightunsigned("at_", 33)
-    sizes = sorted(map(tuple, dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()))
-    before, starts = 0, []
-    for which, n in sizes:
-        starts.append((which, before))
-        before += n
-    offsets = rows.sparkSession.createDataFrame(starts, "part_ long, before_ long")
+    offsets = _before(dealt.groupBy(part.alias("part_")).agg(F.count(F.lit(1)).alias("n_")), "part_")
     place = (F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name)
     return dealt.join(F.broadcast(offsets), part == F.col("part_")).select(*[F.col(f"`{c}`") for c in rows.columns], place)
 
@@ -104,12 +105,7 @@ def numbered(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
 def cumulated(rows: DataFrame, weight: str, *order: Column, name: str = "upto") -> DataFrame:
     """``rows`` with the sum of ``weight`` up to and with each, in one order over all of them; no task gets more than its range."""
     dealt = stored(rows.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()), "ranges")
-    sums = sorted(map(tuple, dealt.groupBy("range_").agg(F.sum(weight).alias("n")).collect()))
-    before, starts = 0, []
-    for which, n in sums:
-        starts.append((which, before))
-        before += n
-    offsets = rows.sparkSession.createDataFrame(starts, "range_ int, before_ long")
+    offsets = _before(dealt.groupBy("range_").agg(F.sum(weight).alias("n_")), "range_")
     inside = F.sum(weight).over(Window.partitionBy("range_").orderBy(*order))
     summed = dealt.withColumn("inside_", inside).join(F.broadcast(offsets), "range_")
     return summed.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("before_") + F.col("inside_")).alias(name))
