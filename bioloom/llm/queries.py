@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bioloom.llm import bpe, chroma, ctw, digest, langid, mixing, simhash, suffix, urls, whiten, wordpiece
+from bioloom.llm import bpe, chroma, ctw, digest, langid, mixing, secrets, simhash, suffix, urls, whiten, wordpiece
 from bioloom.session import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -57,6 +57,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_chroma": op10_chroma,
     "op11_whitening": op11_whitening,
+    "op12_secrets": op12_secrets,
 }
 
 ORACLES: dict[str, str] = {"op4_mixing": mixing.MIX_SQL}
