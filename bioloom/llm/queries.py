@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bioloom.llm import bpe, chroma, ctw, digest, langid, mixing, secrets, simhash, suffix, urls, whiten, wordpiece
+from bioloom.llm import bpe, chroma, ctw, digest, langid, mixing, runs, secrets, simhash, suffix, urls, whiten, wordpiece
 from bioloom.session import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -61,6 +61,10 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chroma": op10_chroma,
     "op11_whitening": op11_whitening,
     "op12_secrets": op12_secrets,
+    "op13_runs": op13_runs,
 }
 
 ORACLES: dict[str, str] = {"op4_mixing": mixing.MIX_SQL}
