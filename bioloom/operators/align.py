@@ -20,11 +20,16 @@ BLOCK = 1024
 PLAIN, STRICT = (1, -1, -1), (2, -1, -2)
 
 
-def align_batch(queries: list[str], targets: list[str], scoring: tuple[int, int, int] = PLAIN) -> tuple[np.ndarray, np.ndarray]:
+#: The score of a cell that no path in the band reaches.
+NOWHERE = -(1 << 28)
+
+
+def align_batch(queries: list[str], targets: list[str], scoring: tuple[int, int, int] = PLAIN, band: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Matches and paired residues of the best global alignment of each pair; ties take diagonal, then up, then left.
 
     Cells hold the score and what the path to them matched and paired, so no traceback is needed. All pairs of
-    the batch take each step together.
+    the batch take each step together. With a ``band`` paths keep within so many unpaired residues of the query and of the target:
+    alignments of no more come out as without one.
     """
     match, mismatch, gap = scoring
     n = len(queries)
@@ -35,24 +40,29 @@ def align_batch(queries: list[str], targets: list[str], scoring: tuple[int, int,
     for i, (a, b) in enumerate(zip(queries, targets, strict=True)):
         q[: len(a), i] = np.frombuffer(a.encode("utf-32-le"), np.uint32)
         t[: len(b), i] = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    down, across = (rows, cols) if band is None else band
     score = np.repeat((np.arange(cols + 1) * gap)[:, None], n, 1).astype(np.int32)
+    score[across + 1 :] = NOWHERE
     stats = np.zeros((cols + 1, n), np.int64)
     out = np.zeros(n, np.int64)
     ended = lq == 0
     for i in range(1, rows + 1):
         new_score, new_stats = np.empty_like(score), np.empty_like(stats)
-        new_score[0], new_stats[0] = i * gap, 0
-        same = t == q[i - 1]
-        diagonal = score[:-1] + np.where(same, match, mismatch)
-        diagonal_stats = stats[:-1] + np.where(same, (1 << 32) + 1, 1)
-        up = score[1:] + gap
+        lo, hi = max(1, i - down), min(cols, i + across)
+        new_score[:lo], new_score[hi + 1 :], new_stats[:lo] = NOWHERE, NOWHERE, 0
+        if i <= down:
+            new_score[0] = i * gap
+        same = t[lo - 1 : hi] == q[i - 1]
+        diagonal = score[lo - 1 : hi] + np.where(same, match, mismatch)
+        diagonal_stats = stats[lo - 1 : hi] + np.where(same, (1 << 32) + 1, 1)
+        up = score[lo : hi + 1] + gap
         take_up = up > diagonal
-        best, best_stats = np.where(take_up, up, diagonal), np.where(take_up, stats[1:], diagonal_stats)
-        for j in range(1, cols + 1):
+        best, best_stats = np.where(take_up, up, diagonal), np.where(take_up, stats[lo : hi + 1], diagonal_stats)
+        for j in range(lo, hi + 1):
             left = new_score[j - 1] + gap
-            go_left = left > best[j - 1]
-            new_score[j] = np.where(go_left, left, best[j - 1])
-            new_stats[j] = np.where(go_left, new_stats[j - 1], best_stats[j - 1])
+            go_left = left > best[j - lo]
+            new_score[j] = np.where(go_left, left, best[j - lo])
+            new_stats[j] = np.where(go_left, new_stats[j - 1], best_stats[j - lo])
         score, stats = new_score, new_stats
         here = np.flatnonzero((lq == i) & ~ended)
         out[here] = stats[lt[here], here]
@@ -84,11 +94,12 @@ def common_lengths(queries: list[str], targets: list[str]) -> np.ndarray:
     return (64 * words - np.bitwise_count(row).sum(axis=1, dtype=np.int64)).astype(np.int64)
 
 
-def global_identity(pairs: DataFrame, query: str, target: str, scoring: tuple[int, int, int] = PLAIN, least_full: float = 0.0) -> DataFrame:
+def global_identity(pairs: DataFrame, query: str, target: str, scoring: tuple[int, int, int] = PLAIN, least_full: float = 0.0, least_coverage: float = 0.0) -> DataFrame:
     """Adds ``identity`` (matches over paired residues), ``qcov``, ``tcov`` and ``full_identity`` (matches over the longer length).
 
     Nothing paired gives zeros. Pairs are sorted by length within a batch, which bounds padding. Pairs that can't reach a
-    ``full_identity`` of ``least_full``, as their longest common subsequence is shorter, are left out without an alignment.
+    ``full_identity`` of ``least_full``, as their longest common subsequence is shorter, are left out without an alignment. Of pairs
+    with less than ``least_coverage`` on a side, those are left out that a band as wide as it allows shows.
     """
     kept = [f for f in pairs.schema.fields if f.name not in ("identity", "qcov", "tcov", "full_identity")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "identity double, qcov double, tcov double, full_identity double"])
@@ -106,8 +117,15 @@ def global_identity(pairs: DataFrame, query: str, target: str, scoring: tuple[in
                 if least_full > 0:
                     longest = np.maximum(part[query].str.len().to_numpy(), part[target].str.len().to_numpy())
                     part = part[common_lengths(part[query].tolist(), part[target].tolist()) >= least_full * longest - 1e-9]
-                    if part.empty:
-                        continue
+                if least_coverage > 0 and len(part):
+                    # A pair that is covered well enough has the same alignment in the band; in the band others may have a better one than theirs.
+                    lq, lt = part[query].str.len().to_numpy(), part[target].str.len().to_numpy()
+                    longest = np.maximum(lq, lt)
+                    least = np.ceil(least_coverage * longest - 1e-9).astype(np.int64)
+                    band = tuple(int(np.maximum(x - least, 0).max()) for x in (lq, lt))
+                    part = part[align_batch(part[query].tolist(), part[target].tolist(), scoring, band)[1] >= least]
+                if part.empty:
+                    continue
                 matches, paired = align_batch(part[query].tolist(), part[target].tolist(), scoring)
                 lq, lt = part[query].str.len().to_numpy(), part[target].str.len().to_numpy()
                 some = np.maximum(paired, 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from bioloom.functions import residues as R
-from bioloom.operators import align, cluster, design, embed, evaluate, generate, msa, records
+from bioloom.operators import align, cluster, design, embed, evaluate, generate, msa, neighbours, records
 from bioloom.plans import views
 from bioloom.plans.features import CHARS, SCORED_CTE, cnt, r6, rat, scored
 from bioloom.plans.views import RAW_SQL, REFERENCE_RUN, SEQS_SQL, SHORT_REFERENCE, SHORT_SQL, with_views
@@ -304,6 +304,45 @@ def pairwise_diversity(spark, d):
     return r6(align.pairwise_diversity(views.short(spark, d), "run", "page_id", "seq"))
 
 
+@query("near_duplicates_seeded")
+def near_duplicates_seeded(spark, d):
+    return r6(neighbours.seeded_neighbours(views.short(spark, d), "page_id", "seq", 0.95, 0.8))
+
+
+#: Clusters, splits and leaks go by edit distance: similar are sequences that differ by at most so large a part of the longer one.
+SIMILAR, RELATED = 0.95, 0.85
+EDIT_SQL = f"""{SHORT_SQL}, nodes AS (SELECT seq AS s, min(page_id) AS k, length(seq) AS n FROM short WHERE seq <> '' GROUP BY seq),
+ e AS (SELECT a.k AS query, b.k AS target, levenshtein(a.s, b.s) AS distance, greatest(a.n, b.n) AS longest, least(a.n, b.n) / a.n AS qcov, least(a.n, b.n) / b.n AS tcov FROM nodes a JOIN nodes b ON a.k < b.k),
+ pairs AS (SELECT query, target, distance, 1 - distance / longest AS identity, qcov, tcov FROM e WHERE distance <= floor((1 - {RELATED}) * longest + 1e-9))"""
+NODE_COMPS_SQL = f"""{EDIT_SQL}, links AS (SELECT query AS a, target AS b FROM e WHERE distance <= floor((1 - {SIMILAR}) * longest + 1e-9)),
+ walk AS (SELECT page_id AS node, page_id AS seen FROM short UNION SELECT walk.node, l.b FROM walk JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = walk.seen),
+ of AS (SELECT node, min(seen) AS component FROM walk GROUP BY node),
+ comps AS (SELECT page_id, component FROM short JOIN (SELECT s, k FROM nodes UNION ALL SELECT seq, min(page_id) FROM short WHERE seq = '' GROUP BY seq) x ON x.s = short.seq JOIN of ON of.node = x.k)"""
+
+
+def split_sql(comps: str) -> str:
+    """``parts(component, size, split)`` of a table of components: the first totals' lists of places, and the least of those nearest half."""
+    return f"""z AS (SELECT component, count(*) AS size FROM {comps} GROUP BY component),
+ bef AS (SELECT *, coalesce(sum(size) OVER (ORDER BY size DESC, component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z),
+ tr AS (SELECT component, size, before < (SELECT round_even(sum(size) * 0.7, 0) FROM z) AS train FROM bef),
+ h AS (SELECT component, size, row_number() OVER (ORDER BY size DESC, component) AS i FROM tr WHERE NOT train),
+ t AS (SELECT 0::BIGINT AS i, 0::BIGINT AS total UNION SELECT h.i, t.total + h.size * k FROM t JOIN h ON h.i = t.i + 1 CROSS JOIN (VALUES (0), (1)) AS v(k)),
+ f AS (SELECT total, min(i) AS i FROM t WHERE total > 0 AND total < (SELECT sum(size) FROM h) GROUP BY total),
+ near AS (SELECT total FROM f WHERE abs(2 * total - (SELECT sum(size) FROM h)) = (SELECT min(abs(2 * total - (SELECT sum(size) FROM h))) FROM f)),
+ made AS (SELECT total AS goal, total AS rest, []::BIGINT[] AS places FROM near UNION ALL SELECT goal, rest - h.size, list_prepend(h.i, places) FROM made JOIN f ON f.total = made.rest JOIN h ON h.i = f.i WHERE rest > 0),
+ chosen AS (SELECT places FROM made WHERE rest = 0 ORDER BY places LIMIT 1),
+ parts AS (SELECT tr.component, tr.size, CASE WHEN train THEN 'train' WHEN list_contains((SELECT places FROM chosen), h.i) THEN 'valid' ELSE 'test' END AS split FROM tr LEFT JOIN h ON h.component = tr.component)"""
+
+
+@query("edit_neighbours", f"WITH {EDIT_SQL} SELECT query, target, distance, round(identity, 10) AS identity, round(qcov, 10) AS qcov, round(tcov, 10) AS tcov FROM pairs")
+def edit_neighbours(spark, d):
+    return r6(neighbours.edit_neighbours(views.short(spark, d), "page_id", "seq", RELATED))
+
+
+def similar_pairs(spark, d):
+    return stored(neighbours.edit_neighbours(views.short(spark, d), "page_id", "seq", SIMILAR), "pairs")
+
+
 def short_nodes(spark, d):
     rows = views.short(spark, d)
     return rows.join(rows.groupBy("seq").agg(F.min("page_id").alias("node")), "seq").select("page_id", "seq", "run", "node")
@@ -315,36 +354,30 @@ def short_components(spark, d, pairs):
     return nodes.join(comps, "node").select("page_id", "component")
 
 
-@query("cluster_components")
+@query("cluster_components", f"WITH RECURSIVE {NODE_COMPS_SQL} SELECT page_id, component FROM comps")
 def cluster_components(spark, d):
-    return short_components(spark, d, short_pairs(spark, d))
+    return short_components(spark, d, similar_pairs(spark, d))
 
 
-@query("representatives")
+@query("representatives", f"WITH RECURSIVE {NODE_COMPS_SQL}, r AS (SELECT component, page_id, row_number() OVER (PARTITION BY component ORDER BY length(seq) DESC, page_id) AS p, count(*) OVER (PARTITION BY component) AS size FROM comps JOIN short USING (page_id)) SELECT component, page_id AS representative, size FROM r WHERE p = 1")
 def representatives(spark, d):
-    return cluster.representatives(views.short(spark, d), "page_id", "seq", short_components(spark, d, short_pairs(spark, d)))
-
-
-TEXT_COMPS = "c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, lang) AS component FROM documents), z AS (SELECT component, count(*) AS size FROM c GROUP BY component), b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY size DESC, component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z)"
+    return cluster.representatives(views.short(spark, d), "page_id", "seq", short_components(spark, d, similar_pairs(spark, d)))
 
 
-@query("leakfree_split", f"""WITH RECURSIVE {TEXT_COMPS}, s AS (SELECT component, size, CASE WHEN before < (SELECT round_even(sum(size) * 0.7, 0) FROM z) THEN 'train' ELSE 'held' END AS split FROM b),
- h AS (SELECT size, row_number() OVER (ORDER BY component) AS i FROM s WHERE split = 'held'), t AS (SELECT 0::BIGINT AS i, 0::BIGINT AS total UNION SELECT h.i, t.total + h.size * k FROM t JOIN h ON h.i = t.i + 1 CROSS JOIN (VALUES (0), (1)) AS v(k))
- SELECT component, size, split, (SELECT max(total) FROM t WHERE total <= (SELECT sum(size) // 2 FROM h))::BIGINT AS n_valid FROM s""")
+@query("leakfree_split", f"WITH RECURSIVE c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, lang) AS component FROM documents), {split_sql('c')} SELECT component, size, split FROM parts")
 def leakfree_split(spark, d):
-    comps = table(spark, d, "documents").select("doc_id", F.min("doc_id").over(Window.partitionBy("source", "lang")).alias("component"))
-    parts = stored(cluster.leakfree_split(comps), "splits")
-    # Which components are valid is free among equal totals; how many rows they hold is not.
-    n_valid = parts.agg(F.sum(F.when(F.col("split") == "valid", F.col("size")).otherwise(0)).alias("n_valid"))
-    return parts.withColumn("split", F.when(F.col("split") == "train", "train").otherwise("held")).join(F.broadcast(n_valid))
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
+    first = docs.groupBy("source", "lang").agg(F.min("doc_id").alias("component"))
+    same = docs["source"].eqNullSafe(first["source"]) & docs["lang"].eqNullSafe(first["lang"])
+    return cluster.leakfree_split(docs.join(first, same).select("doc_id", "component"))
 
 
-@query("leakage_check")
+@query("leakage_check", f"WITH RECURSIVE {NODE_COMPS_SQL}, {split_sql('comps')}, sp AS (SELECT page_id, split FROM comps JOIN parts USING (component)), x AS (SELECT CASE WHEN least(qcov, tcov) >= 0.8 THEN identity END AS identity FROM pairs JOIN sp a ON a.page_id = query JOIN sp b ON b.page_id = target WHERE a.split <> b.split) SELECT count(*) AS n_cross_pairs, round(max(identity), 10) AS max_identity, count(*) FILTER (identity >= 0.95) AS n_leaks FROM x")
 def leakage_check(spark, d):
-    pairs = short_pairs(spark, d)
-    comps = stored(short_components(spark, d, pairs), "comps")
+    comps = stored(short_components(spark, d, similar_pairs(spark, d)), "comps")
     splits = comps.join(cluster.leakfree_split(comps), "component").select("page_id", "split")
-    return r6(cluster.leakage_check(pairs, splits, "page_id", 0.8, 0.95))
+    related = neighbours.edit_neighbours(views.short(spark, d), "page_id", "seq", RELATED)
+    return r6(cluster.leakage_check(related, splits, "page_id", 0.8, 0.95))
 
 
 HITS_SQL = f"{with_views(SHORT_SQL)}, h AS (SELECT a.page_id AS query, b.page_id AS target, len(list_filter(range(1, least(length(a.seq), length(b.seq)) + 1), lambda i: a.seq[i] = b.seq[i])) / least(length(a.seq), length(b.seq)) AS identity, least(length(a.seq), length(b.seq)) / length(a.seq) AS qcov, least(length(a.seq), length(b.seq)) / length(b.seq) AS tcov FROM short a JOIN short b ON a.run <> '{SHORT_REFERENCE}' AND b.run = '{SHORT_REFERENCE}' AND a.seq <> '' AND b.seq <> '')"
