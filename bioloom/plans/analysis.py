@@ -413,7 +413,7 @@ NEAR_SQL = f"n AS (SELECT a.vec_id, any_value(a.label) AS label, min({DIST}) AS
 
 def nearest(spark, d):
     rows = table(spark, d, "embeddings")
-    return embed.nearest_distance(rows, rows.where("label = 0"), "vec_id", "embedding").join(rows.select("vec_id", "label"), "vec_id")
+    return embed.nearest_distance(rows, rows.where("label = 0"), "vec_id", "embedding").drop("computed").join(rows.select("vec_id", "label"), "vec_id")
 
 
 @query("nearest_embedding_distance", f"WITH {NEAR_SQL} SELECT vec_id, round(CASE WHEN distance < 1e-6 THEN 0 ELSE distance END, 6) AS distance FROM n")
@@ -423,6 +423,10 @@ def nearest_embedding_distance(spark, d):
 
 @query("embedding_outliers", f"WITH {NEAR_SQL}, t AS (SELECT quantile_cont(distance, 0.95) AS threshold FROM n WHERE label = 1) SELECT label, count(*) AS n, round(any_value(threshold), 6) AS threshold, round(avg((label <> 0 AND distance > threshold)::INTEGER), 8) AS outlier_rate FROM n, t GROUP BY label")
 def embedding_outliers(spark, d):
+    return outlier_rates(spark, d)
+
+
+def outlier_rates(spark, d):
     rows = stored(nearest(spark, d), "distances")
     limit = records.quantiles(rows.where("label = 1"), ["distance"], {"threshold": 0.95}).select("threshold")
     flagged = rows.crossJoin(F.broadcast(limit)).withColumn("out", ((F.col("label") != 0) & (F.col("distance") > F.col("threshold"))).cast("int"))
@@ -451,7 +455,10 @@ def mmd2(spark, d):
 @query("mmd_bootstrap")
 def mmd_bootstrap(spark, d):
     rows = table(spark, d, "embeddings")
-    return embed.mmd_bootstrap(rows.where("label = 0"), rows.where("label = 2"), "embedding", bandwidth(spark, d).first()[0], repeats=100)
+    found = embed.mmd_bootstrap(rows, "label", "embedding", 0, bandwidth(spark, d).first()[0])
+    rates = outlier_rates(spark, d).select(F.col("label").alias("of"), "outlier_rate")
+    judged = found.join(rates, F.col("label") == F.col("of")).drop("of")
+    return r6(judged.withColumn("assessment", embed.assess(F.col("median"), F.col("real_q95"), F.col("outlier_rate"))))
 
 
 @query("project_pca")

@@ -84,25 +84,91 @@ def test_drift(spark, monkeypatch):
         a, b = v[r["g"]], v[0]
         assert r["mmd2"] == pytest.approx(kernel(a, a).mean() + kernel(b, b).mean() - 2 * kernel(a, b).mean(), abs=1e-9)
     assert embed.mmd2(df, "g", "v", 9, 2.0).collect() == []
-    shifted, same = (embed.mmd_bootstrap(df.where("g = 0"), df.where(f"g = {g}"), "v", 2.0, 40).first() for g in (2, 0))
-    assert shifted["assessment"] == "shifted" and same["assessment"] != "shifted" and shifted["median"] > same["median"]
-    assert embed.mmd_bootstrap(df.where("g = 0"), df.where("g = 2"), "v", 2.0, 40).first() == shifted
 
 
-def test_bootstrap_sums_by_plain_subsamples(spark, monkeypatch):
+def test_nearest_distances_skip_most_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embed, "BLOCK", 20)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 20, (40, 6))
+    train = [np.float32(centres[i % 40] + rng.normal(0, 0.3, 6)).tolist() for i in range(2000)]
+    asked = [np.float32(centres[i % 40] + rng.normal(0, 0.3, 6)).tolist() for i in range(150)] + [[0.0] * 6, [1000.0] * 6, train[5], train[5]]
+    frame = lambda x: spark.createDataFrame(list(enumerate(x)), "id long, v array<float>")
+    found = embed.nearest_distance(frame([*asked, None]), frame([*train, train[0], None]), "id", "v").collect()
+    assert len(found) == len(asked)
+    points = np.array(train)
+    for r in found:
+        assert r["distance"] == pytest.approx(np.sqrt(((points - asked[r["id"]]) ** 2).sum(1).min()), abs=1e-9)
+    assert sum(r["computed"] for r in found) < 0.2 * len(asked) * len(train)
+    assert embed.nearest_distance(frame(asked), frame([None]), "id", "v").collect() == []
+
+
+@pytest.mark.parametrize("gathered", [1 << 16, 3, 0])
+def test_median_by_counting(spark, monkeypatch, gathered):
+    monkeypatch.setattr(embed, "GATHERED", gathered)
+    monkeypatch.setattr(embed, "BLOCK", 6)
+    rng = np.random.default_rng(8)
+    some = [[float(np.float32(x)) for x in rng.normal(0, 1, 3)] for _ in range(24)]
+    cases = {1 << 16: (some + some[:5], some[:3], [[1.0, 2.0]] * 4, []), 3: (some + some[:5], [None, [1.0], [4.0]]), 0: ([[float(i)] for i in range(9)] * 2,)}
+    for vectors in cases[gathered]:
+        present = np.array([v for v in vectors if v is not None])
+        squares = [float(((a - b) ** 2).sum()) for i, a in enumerate(present) for b in present[:i]]
+        positive = [x for x in squares if x > 0]
+        df = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<float>")
+        assert embed.median_bandwidth(df, "id", "v").first()[0] == pytest.approx(float(np.median(positive)) if positive else 1.0, rel=1e-12)
+
+
+def test_draws_are_exact_in_size_and_without_replacement():
+    rng = np.random.default_rng(9)
+    numbers = [rng.integers(1, 9, rng.integers(1, 6)) for _ in range(11)] + [np.array([400])]
+    sizes = np.array([int(n.sum()) for n in numbers])
+    seen = np.zeros(12)
+    for seed in range(20):
+        drawn = [embed.members(n, sizes, b, 120, 50, 10, [seed]) for b, n in enumerate(numbers)]
+        for run in range(10):
+            assert sum(one[run].sum() for one, _ in drawn) == 50 and sum(two[run].sum() for _, two in drawn) == 70
+        assert all((one + two <= n).all() for (one, two), n in zip(drawn, numbers, strict=True))
+        seen += [(one + two).sum() for one, two in drawn]
+    # Each block gets its share of all draws.
+    assert np.abs(seen / (120 * 200) - sizes / sizes.sum()).max() < 0.01
+
+
+def test_bootstrap_is_that_of_plain_subsamples(spark, monkeypatch):
     monkeypatch.setattr(embed, "BLOCK", 5)
     rng = np.random.default_rng(6)
-    real, made = ([tuple([float(np.float32(x)) for x in rng.normal(0, 1, 3)]) for _ in range(n)] for n in (24, 12))
-    frame = lambda x: spark.createDataFrame([(list(v),) for v in x], "v array<float>")
-    found = embed.mmd_bootstrap(frame(real), frame(made), "v", 1.5, 30, 3).first()
-    kernel = lambda a, b: np.exp(-((np.array(a)[:, None] - np.array(b)[None]) ** 2).sum(2) / 3.0)
-    values = []
-    for run in range(30):
-        pick = lambda x, lo, hi: [v for v in x if embed._members([{"v": v, "n": 1}], 30, 3, lo, hi)[run, 0]]  # noqa: B023, E731
-        x, y = pick(real, 0.0, 0.5), pick(made, 0.0, 1.0)
-        if x and y:
-            values.append(kernel(x, x).mean() + kernel(y, y).mean() - 2 * kernel(x, y).mean())
-    assert found["median"] == pytest.approx(float(np.median(values)), abs=1e-6)
+    groups = {g: [[float(np.float32(x)) for x in rng.normal(g / 2, 1, 3)] for _ in range(n)] for g, n in ((0, 25), (1, 7), (2, 40))}
+    groups[0] += groups[0][:4]
+    df = spark.createDataFrame([(g, v) for g, x in groups.items() for v in x] + [(None, [0.0] * 3), (1, None)], "g int, v array<float>")
+    found = {r["g"]: r for r in embed.mmd_bootstrap(df, "g", "v", 0, 1.5, 12, 3).collect()}
+    assert {g: (r["n"], r["size"]) for g, r in found.items()} == {1: (7, 7), 2: (40, 14)}
+    held = {g: {r["a_block"]: r["a"] for r in embed.blocks(df.where(f"g = {g} AND v IS NOT NULL"), "v", "a").collect()} for g in groups}
+    sizes = {g: np.array([sum(e["n"] for e in h.get(b, [])) for b in range(max(h) + 1)]) for g, h in held.items()}
+
+    def sample(g, drawn, first, purpose):
+        """The rows of each repeat, the first and the others."""
+        picked = [([], []) for _ in range(12)]
+        for b, entries in held[g].items():
+            for which, counts in enumerate(embed.members(np.array([e["n"] for e in entries]), sizes[g], b, drawn, first, 12, purpose)):
+                for run in range(12):
+                    picked[run][which].extend(e["v"] for e, n in zip(entries, counts[run], strict=True) for _ in range(int(n)))
+        return picked
+
+    kernel = lambda a, b: np.exp(-((np.array(a)[:, None] - np.array(b)[None]) ** 2).sum(2) / 3.0).mean()
+    apart = lambda a, b: kernel(a, a) + kernel(b, b) - 2 * kernel(a, b)
+    halves = sample(0, 28, 14, [3, embed.HALVES])
+    assert all(len(x) == len(z) == 14 for x, z in halves)
+    baseline = [apart(x, z) for x, z in halves]
+    for g, size in ((1, 7), (2, 14)):
+        order = sorted(groups).index(g)
+        values = [apart(x, y) for (x, _), (y, _) in zip(sample(0, size, size, [3, embed.REAL, order]), sample(g, size, size, [3, embed.MADE, order]), strict=True)]
+        expected = [*np.quantile(values, [0.5, 0.025, 0.975]), np.median(baseline), np.quantile(baseline, 0.95), (np.array(values) > np.quantile(baseline, 0.95)).mean()]
+        assert list(found[g])[3:] == pytest.approx(expected, abs=1e-9)
+    assert found[2]["exceeds"] > 0.9
+    assert embed.mmd_bootstrap(df.where("g != 0"), "g", "v", 0, 1.5).collect() == []
+
+
+def test_assessments(spark):
+    rows = spark.createDataFrame([(0.1, 0.2, 0.05), (0.1, 0.2, 0.1), (0.1, 0.2, 0.3), (0.3, 0.2, 0.0)], "m double, q double, r double")
+    assert [r[0] for r in rows.select(embed.assess(F.col("m"), F.col("q"), F.col("r"))).collect()] == ["compatible", "partial", "outliers", "partial"]
 
 
 def test_readonly_sql(spark):
