@@ -8,7 +8,7 @@ from bioloom.functions import residues as R
 from bioloom.operators import align, cluster, design, embed, evaluate, generate, msa, neighbours, records
 from bioloom.plans import views
 from bioloom.plans.features import CHARS, SCORED_CTE, cnt, r6, rat, scored
-from bioloom.plans.views import RAW_SQL, REFERENCE_RUN, SEQS_SQL, SHORT_REFERENCE, SHORT_SQL, with_views
+from bioloom.plans.views import RAW_SQL, REFERENCE_RUN, SEQS_SQL, SHORT_REFERENCE, SHORT_SQL, split_sql, with_views
 from bioloom.session import stored, table
 
 QUERIES: dict = {}
@@ -320,20 +320,6 @@ NODE_COMPS_SQL = f"""{EDIT_SQL}, links AS (SELECT query AS a, target AS b FROM e
  comps AS (SELECT page_id, component FROM short JOIN (SELECT s, k FROM nodes UNION ALL SELECT seq, min(page_id) FROM short WHERE seq = '' GROUP BY seq) x ON x.s = short.seq JOIN of ON of.node = x.k)"""
 
 
-def split_sql(comps: str) -> str:
-    """``parts(component, size, split)`` of a table of components: the first totals' lists of places, and the least of those nearest half."""
-    return f"""z AS (SELECT component, count(*) AS size FROM {comps} GROUP BY component),
- bef AS (SELECT *, coalesce(sum(size) OVER (ORDER BY size DESC, component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z),
- tr AS (SELECT component, size, before < (SELECT round_even(sum(size) * 0.7, 0) FROM z) AS train FROM bef),
- h AS (SELECT component, size, row_number() OVER (ORDER BY size DESC, component) AS i FROM tr WHERE NOT train),
- t AS (SELECT 0::BIGINT AS i, 0::BIGINT AS total UNION SELECT h.i, t.total + h.size * k FROM t JOIN h ON h.i = t.i + 1 CROSS JOIN (VALUES (0), (1)) AS v(k)),
- f AS (SELECT total, min(i) AS i FROM t WHERE total > 0 AND total < (SELECT sum(size) FROM h) GROUP BY total),
- near AS (SELECT total FROM f WHERE abs(2 * total - (SELECT sum(size) FROM h)) = (SELECT min(abs(2 * total - (SELECT sum(size) FROM h))) FROM f)),
- made AS (SELECT total AS goal, total AS rest, []::BIGINT[] AS places FROM near UNION ALL SELECT goal, rest - h.size, list_prepend(h.i, places) FROM made JOIN f ON f.total = made.rest JOIN h ON h.i = f.i WHERE rest > 0),
- chosen AS (SELECT places FROM made WHERE rest = 0 ORDER BY places LIMIT 1),
- parts AS (SELECT tr.component, tr.size, CASE WHEN train THEN 'train' WHEN list_contains((SELECT places FROM chosen), h.i) THEN 'valid' ELSE 'test' END AS split FROM tr LEFT JOIN h ON h.component = tr.component)"""
-
-
 @query("edit_neighbours", f"WITH {EDIT_SQL} SELECT query, target, distance, round(identity, 10) AS identity, round(qcov, 10) AS qcov, round(tcov, 10) AS tcov FROM pairs")
 def edit_neighbours(spark, d):
     return r6(neighbours.edit_neighbours(views.short(spark, d), "page_id", "seq", RELATED))

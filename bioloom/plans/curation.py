@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from bioloom.functions import residues as R
-from bioloom.operators import curate, records
+from bioloom.operators import cluster, curate, freeze, records
 from bioloom.plans import views
 from bioloom.plans.features import r6
-from bioloom.plans.views import DOCS_SQL, LOWER, SEQS_SQL, UPPER, with_views
-from bioloom.session import numbered, stored, table
+from bioloom.plans.views import DOCS_SQL, LOWER, SEQS_SQL, UPPER, split_sql, with_views
+from bioloom.session import numbered, shared_dir, stored, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -251,9 +253,25 @@ def id_set_checks(spark, d):
     return joined.select("doc_id", bad.alias("v")).where(F.size("v") > 0).select("doc_id", F.array_join("v", ";").alias("violations"))
 
 
-@query("freeze_dataset", f"{with_views(SEQS_SQL)} SELECT source AS split, count(*) AS n_records, sum(length(seq))::BIGINT AS n_residues, min(md5(seq)) AS least_digest, max(md5(seq)) AS greatest_digest FROM seqs GROUP BY source")
+SPLIT_SQL = split_sql("c")
+FROZEN = ("dataset_version", "doc_id", "frozen", "lang", "seq", "source", "split")
+CELLS = " || '|' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in FROZEN)
+FIGURES = "count(*) AS n_records, sum(length(seq))::BIGINT AS n_residues, min(length(seq)) AS min_length, max(length(seq)) AS max_length, bit_xor(digest) AS hash_xor, sum(digest)::VARCHAR AS hash_sum, max(dataset_version) AS dataset_version FROM x"
+
+
+@query("freeze_dataset", f"""WITH RECURSIVE {SEQS_SQL}, c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, lang) AS component FROM documents), {SPLIT_SQL}, one AS (SELECT min(doc_id) AS doc_id FROM seqs WHERE seq <> '' GROUP BY seq),
+ r AS (SELECT doc_id, source, lang, seq, split, 'v1' AS dataset_version, true AS frozen FROM one JOIN seqs USING (doc_id) JOIN c USING (doc_id) JOIN parts USING (component)), x AS (SELECT *, ('0x' || substr(md5({CELLS}), 1, 15))::BIGINT AS digest FROM r)
+ SELECT split, {FIGURES} GROUP BY split UNION ALL SELECT 'all', {FIGURES}""")
 def freeze_dataset(spark, d):
-    return views.seqs(spark, d).groupBy(F.col("source").alias("split")).agg(F.count(F.lit(1)).alias("n_records"), F.sum(F.length("seq")).alias("n_residues"), F.min(F.md5(F.col("seq").cast("binary"))).alias("least_digest"), F.max(F.md5(F.col("seq").cast("binary"))).alias("greatest_digest"))
+    """One record of each sequence, split without leaks, frozen in a new folder: what its manifest says."""
+    seqs = views.seqs(spark, d)
+    once = seqs.where("seq != ''").groupBy("seq").agg(F.min_by(F.struct("doc_id", "source", "lang"), "doc_id").alias("r")).select("r.*", "seq")
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
+    first = docs.groupBy("source", "lang").agg(F.min("doc_id").alias("component"))
+    in_group = lambda rows: rows.join(first.select(F.col("source").alias("s"), F.col("lang").alias("l"), "component"), F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l"))).drop("s", "l")
+    splits = stored(cluster.leakfree_split(in_group(docs).select("doc_id", "component")), "splits").select("component", "split")
+    rows = stored(in_group(once).join(splits, "component").drop("component"), "rows")
+    return freeze.freeze(rows, f"{shared_dir(spark)}/frozen-{uuid.uuid4().hex}", "v1", "doc_id", "seq")
 
 
 # --- record database ------------------------------------------------------------------------------------------
