@@ -2,27 +2,70 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bioloom.functions import residues as R
 from bioloom.operators import align
+from bioloom.session import shuffle_partitions, stored
+
+
+#: Fixed statuses of the profile search, the fidelity screen and how a run is read.
+PROFILE_RUN, PROFILE_NOT_RUN = "run", "not_run"
+SCREEN_PASS, SCREEN_INVALID, SCREEN_UNASSESSED, SCREEN_PROFILE = "pass", "fail_invalid", "unassessed", "fail_profile"
+NOT_COMPARABLE, DRIFTED, CONSERVATIVE, ELIGIBLE = "not_comparable", "drifted", "conservative", "eligible"
+
+
+def _weighted(n: Column, ok: Column) -> Column:
+    """The share of rows, given by their numbers, of which a flag is true; null flags are left out, and nothing has no share."""
+    known = F.sum(F.when(ok.isNotNull(), n))
+    return F.sum(F.when(ok, n).when(ok.isNotNull(), 0)) / F.nullif(known, F.lit(0))
+
 
+def evaluate_run(generated: DataFrame, train: DataFrame, run: str, seq: str, real: DataFrame | None = None, runs: DataFrame | None = None, hits: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """Per run all that needs no alignment: numbers, legality, lengths against the training set, copies of training and of any ``real``
+    sequences, unique share, largest group of equals, distance of compositions and the profile hit rate.
 
-def evaluate_run(generated: DataFrame, train: DataFrame, run: str, seq: str) -> DataFrame:
-    """Per run: legality, lengths in the training range, mean length, copies, unique share and the largest group of equals."""
-    scalars = train.agg(F.min(F.length(seq)).alias("lo"), F.max(F.length(seq)).alias("hi"))
-    known = train.select(F.xxhash64(seq).alias("h"), F.col(seq).alias("s")).distinct().withColumn("hit", F.lit(1))
+    ``runs`` names the runs that there should be: one without sequences has nulls. ``hits`` has the ``key`` of a sequence and ``hit``, null
+    where the search has no answer, which counts for neither side; without hits the rate is null. Null sequences count as empty.
+    """
+    generated = generated.withColumn(seq, F.coalesce(seq, F.lit("")))
+    scalars = train.agg(F.min(F.length(seq)).cast("long").alias("train_length_min"), F.max(F.length(seq)).cast("long").alias("train_length_max"))
+    known = train.select(F.col(seq).alias("s"), F.lit(True).alias("in_train")).unionByName((train if real is None else real).select(F.col(seq).alias("s"), F.lit(False).alias("in_train")))
+    known = known.where("s IS NOT NULL").groupBy("s").agg(F.max("in_train").alias("in_train"))
     # One row for each distinct sequence of a run, with its number: all rates are weighted sums over these.
-    groups = generated.groupBy(run, seq).agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64(seq))
-    joined = groups.join(known.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & (F.col(seq) == F.col("s")), "left")
-    made = joined.crossJoin(F.broadcast(scalars))
-    total = F.sum("n")
-    rate = lambda ok: F.round(F.sum(F.when(ok, F.col("n")).otherwise(0)) / total, 8)
-    return made.groupBy(run).agg(
-        total.alias("n"), rate((F.col(seq) != "") & R.is_legal(F.col(seq))).alias("legal_rate"), rate(F.length(seq).between(F.col("lo"), F.col("hi"))).alias("length_rate"),
-        F.round(F.sum(F.length(seq) * F.col("n")) / total, 8).alias("mean_length"), rate(F.col("hit").isNotNull()).alias("copy_rate"),
-        F.round(F.count(F.lit(1)) / total, 8).alias("unique_ratio"), F.round(F.max("n") / total, 8).alias("max_duplicate"),
+    if hits is None:
+        marked = generated.withColumn("hit", F.lit(None).cast("boolean"))
+    else:
+        answers = hits.groupBy(F.col(key).alias("of")).agg(F.max("hit").alias("hit"))
+        marked = generated.join(answers, F.col(key) == F.col("of"), "left")
+    groups = marked.groupBy(run, seq).agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("n_hit"), F.count("hit").alias("n_answered"))
+    joined = groups.join(known, F.col(seq) == F.col("s"), "left").crossJoin(F.broadcast(scalars))
+    n, rate = F.col("n"), lambda ok: F.round(_weighted(F.col("n"), ok), 8)
+    made = joined.groupBy(F.col(run).alias("run_")).agg(
+        F.sum(n).alias("n_generated"), rate((F.col(seq) != "") & R.is_legal(F.col(seq))).alias("legal_char_rate"),
+        rate(F.length(seq).between(F.col("train_length_min"), F.col("train_length_max"))).alias("length_in_train_range_rate"), F.round(F.sum(F.length(seq) * n) / F.sum(n), 8).alias("mean_length"),
+        rate(F.coalesce("in_train", F.lit(False))).alias("exact_copy_train_rate"), rate(F.col("in_train").isNotNull()).alias("exact_copy_any_real_rate"),
+        F.round(F.count(F.lit(1)) / F.sum(n), 8).alias("unique_ratio"), F.round(F.max("n") / F.sum(n), 8).alias("max_duplicate_fraction"),
+        F.round(F.sum("n_hit") / F.nullif(F.sum("n_answered"), F.lit(0)), 8).alias("family_profile_hit_rate"),
     )
+    apart = composition_l1(generated, train, run, seq).select(F.col(run).alias("l1_of"), F.col("l1").alias("aa_composition_l1_distance"))
+    names = (generated.select(run) if runs is None else runs.select(run)).distinct()
+    full = names.join(made, F.col(run) == F.col("run_"), "left").join(apart, F.col(run) == F.col("l1_of"), "left").crossJoin(F.broadcast(scalars))
+    return full.drop("run_", "l1_of").withColumn("n_generated", F.coalesce("n_generated", F.lit(0))).withColumn("family_profile_status", F.lit(PROFILE_NOT_RUN if hits is None else PROFILE_RUN))
+
+
+def run_report(generated: DataFrame, train: DataFrame, run: str, key: str, seq: str, real: DataFrame | None = None, runs: DataFrame | None = None, hits: DataFrame | None = None, novel: float = 0.95) -> DataFrame:
+    """All figures of a run: those of ``evaluate_run``, identity to the nearest training sequence, the share below ``novel`` and the mean
+    diversity of its pairs. A run without sequences has nulls."""
+    plain = evaluate_run(generated, train, run, seq, real, runs, hits, key)
+    near = run_identity(generated, train, run, key, seq, novel).select(
+        F.col(run).alias("near_of"), F.col("mean_identity").alias("mean_nearest_train_identity"), F.col("max_identity").alias("max_nearest_train_identity"), F.col("novel_rate").alias("novel_sequence_rate")
+    )
+    diverse = align.pairwise_diversity(generated, run, key, seq).select(F.col(run).alias("pairs_of"), F.col("diversity").alias("mean_pairwise_diversity"))
+    joined = plain.join(near, F.col(run) == F.col("near_of"), "left").join(diverse, F.col(run) == F.col("pairs_of"), "left").drop("near_of", "pairs_of")
+    return joined.withColumn("novelty_threshold", F.lit(novel))
 
 
 def run_identity(generated: DataFrame, train: DataFrame, run: str, key: str, seq: str, novel: float = 0.95) -> DataFrame:
@@ -104,26 +147,76 @@ def logo(rows: DataFrame, group: str, seq: str, most: int) -> DataFrame:
     return shares.withColumn("ic", ic).select(group, "pos", "aa", F.round("ic", 8).alias("ic"), F.round(F.col("p") * F.col("ic"), 8).alias("height"))
 
 
-def integrated(generated: DataFrame, reference: DataFrame, run: str, key: str, seq: str, coverage: float = 0.8) -> DataFrame:
-    """Per run: legality, share without a reference of identity at least .90, .95, .98 at that coverage, and mean full-length identity.
+def valid_candidates(generated: DataFrame, reference: DataFrame, seq: str) -> DataFrame:
+    """``generated`` with ``valid``: not empty, legal, and no shorter or longer than all reference sequences."""
+    ends = reference.agg(F.min(F.length(seq)).alias("least_"), F.max(F.length(seq)).alias("most_"))
+    ok = (F.col(seq) != "") & R.is_legal(F.col(seq)) & F.length(seq).between(F.col("least_"), F.col("most_"))
+    return generated.crossJoin(F.broadcast(ends)).withColumn("valid", F.coalesce(ok, F.lit(False))).drop("least_", "most_")
+
+
+def fidelity_screen(valid_rate: Column, profile_rate: Column) -> Column:
+    """Whether a run may be compared: all its sequences are valid and 0.95 of them hit the profile, if that was searched."""
+    return F.when(F.coalesce(valid_rate, F.lit(0.0)) != 1, SCREEN_INVALID).when(profile_rate.isNull(), SCREEN_UNASSESSED).when(profile_rate < 0.95, SCREEN_PROFILE).otherwise(SCREEN_PASS)
 
-    One strict alignment pass of the candidates that can reach the lowest threshold gives all three.
+
+def interpretation(screen: Column, l1: Column, novel: Column) -> Column:
+    """How a run reads: by the screen, then composition, then the share of novel sequences at 0.95."""
+    return F.when(screen != SCREEN_PASS, NOT_COMPARABLE).when(l1 > 0.12, DRIFTED).when(novel < 0.10, CONSERVATIVE).otherwise(ELIGIBLE)
+
+
+def screened(generated: DataFrame, reference: DataFrame, run: str, key: str, seq: str, hits: DataFrame | None = None) -> DataFrame:
+    """Per run the share of valid candidates, the profile hit rate, the distance of compositions and the screen."""
+    judged = valid_candidates(generated, reference, seq)
+    rates = judged.groupBy(F.col(run).alias("of")).agg(F.avg(F.col("valid").cast("double")).alias("valid_candidate_rate"))
+    plain = evaluate_run(generated, reference, run, seq, None, None, hits, key).select(run, "n_generated", "family_profile_hit_rate", "aa_composition_l1_distance", "exact_copy_any_real_rate", "unique_ratio", "max_duplicate_fraction")
+    made = plain.join(rates, F.col(run) == F.col("of")).drop("of")
+    return made.withColumn("fidelity_screen", fidelity_screen(F.col("valid_candidate_rate"), F.col("family_profile_hit_rate")))
+
+
+#: References of a block that the sequences without a near one meet.
+REFERENCE_BLOCK = 1024
+
+
+def best_references(nodes: DataFrame, references: DataFrame, coverage: float) -> DataFrame:
+    """``s, best, full``: of each distinct ``s`` the greatest identity to a reference ``t`` that covers and is covered by at least
+    ``coverage`` (null without one), and the greatest full-length identity to any.
+
+    Lengths that differ more can't be covered, so pairs meet by classes of lengths, their own and both neighbours. The full-length identity of others is below
+    ``coverage`` too: only sequences that have found none of as much meet the rest, in blocks.
     """
-    both = generated.select(F.concat(F.lit("g"), F.col(key).cast("string")).alias("k"), F.col(seq).alias("s"))
-    refs = reference.select(F.col(seq).alias("t")).where("t != ''").distinct()
-    nodes = both.where("s != ''").select("s").distinct()
-    fits = F.least(F.length("s"), F.length("t")) >= coverage * F.greatest(F.length("s"), F.length("t"))
-    pairs = align.global_identity(nodes.join(refs, fits), "s", "t", align.STRICT)
-    near = pairs.where((F.col("qcov") >= coverage) & (F.col("tcov") >= coverage)).groupBy(F.col("s").alias("of")).agg(F.max("identity").alias("best"))
-    longest = pairs.groupBy(F.col("s").alias("of2")).agg(F.max("full_identity").alias("full"))
-    rows = generated.join(near, F.col(seq) == F.col("of"), "left").join(longest, F.col(seq) == F.col("of2"), "left")
-    best = F.coalesce("best", F.lit(0.0))
-    novel = lambda t: F.avg((best < t).cast("double"))
-    made = rows.groupBy(run).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(((F.col(seq) != "") & R.is_legal(F.col(seq))).cast("double")).alias("valid_rate"),
-        novel(0.90).alias("novel_90"), novel(0.95).alias("novel_95"), novel(0.98).alias("novel_98"), F.avg(F.coalesce("full", F.lit(0.0))).alias("mean_full_identity"),
-    )
-    return made.withColumn("reading", F.when(F.col("valid_rate") < 1, "fails_screen").when(F.col("novel_95") >= 0.5, "novel").otherwise("memorised"))
+    step = F.lit(-math.log(coverage))
+    level = lambda c: F.floor(F.log(F.length(c).cast("double")) / step)
+    refs = stored(references.select(F.col("t")).where("t != ''").distinct().withColumn("level", level("t")).withColumn("block", F.pmod(F.xxhash64("t"), F.lit(REFERENCE_BLOCK))), "references")
+    asked = nodes.withColumn("level", F.explode(F.array(level("s") - 1, level("s"), level("s") + 1)))
+    fits = F.least(F.length("s"), F.length("t")) >= coverage * F.greatest(F.length("s"), F.length("t")) - 1e-9
+    tasks = shuffle_partitions(nodes.sparkSession)
+    near = asked.join(refs, "level").where(fits).select("s", "t").repartition(tasks, "s", "t")
+    covered = (F.col("qcov") >= coverage) & (F.col("tcov") >= coverage)
+    first = align.global_identity(near, "s", "t", align.STRICT).groupBy("s").agg(F.max(F.when(covered, F.col("identity"))).alias("best"), F.max("full_identity").alias("full"))
+    found = stored(nodes.join(first, "s", "left"), "near")
+    blocks = refs.select("block").distinct()
+    open_ = found.where(F.coalesce("full", F.lit(0.0)) < coverage).select("s")
+    # Few sequences are left; each is sent once to each block of references and meets those whose length didn't fit.
+    sent = open_.withColumn("all", F.lit(1)).join(blocks.withColumn("all", F.lit(1)), "all").drop("all")
+    rest = sent.join(refs.select("t", "block"), "block").where(~fits).select("s", "t").repartition(tasks, "s", "t")
+    other = align.global_identity(rest, "s", "t", align.STRICT).groupBy("s").agg(F.max("full_identity").alias("other"))
+    return found.join(other, "s", "left").select("s", "best", F.coalesce(F.greatest("full", "other"), F.lit(0.0)).alias("full"))
+
+
+def integrated(generated: DataFrame, reference: DataFrame, run: str, key: str, seq: str, hits: DataFrame | None = None, coverage: float = 0.8) -> DataFrame:
+    """Per run: the screen and its figures, and of the valid candidates the mean full-length identity to the nearest reference, the shares
+    without a reference of identity at least .90, .95, .98 at that coverage, and how the run reads. Runs without a valid candidate have nulls there.
+
+    One strict alignment pass gives all three thresholds; the mean diversity of pairs is that of ``run_report``.
+    """
+    plain = screened(generated, reference, run, key, seq, hits)
+    valid = valid_candidates(generated, reference, seq).where("valid")
+    best = best_references(valid.select(F.col(seq).alias("s")).distinct(), reference.select(F.col(seq).alias("t")), coverage)
+    rows = valid.join(best, F.col(seq) == F.col("s"))
+    novel = lambda t: F.avg((F.coalesce("best", F.lit(0.0)) < t).cast("double"))
+    found = rows.groupBy(F.col(run).alias("of")).agg(F.avg("full").alias("mean_full_identity"), novel(0.90).alias("novel_90"), novel(0.95).alias("novel_95"), novel(0.98).alias("novel_98"))
+    made = plain.join(found, F.col(run) == F.col("of"), "left").drop("of")
+    return made.withColumn("interpretation", interpretation(F.col("fidelity_screen"), F.col("aa_composition_l1_distance"), F.col("novel_95")))
 
 
 def simple_paths(edges: DataFrame, max_length: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from bioloom.functions import residues as R
@@ -9,7 +11,8 @@ from bioloom.operators import align, cluster, design, embed, evaluate, generate,
 from bioloom.plans import views
 from bioloom.plans.features import CHARS, SCORED_CTE, cnt, r6, rat, scored
 from bioloom.plans.views import RAW_SQL, REFERENCE_RUN, SEQS_SQL, SHORT_REFERENCE, SHORT_SQL, split_sql, with_views
-from bioloom.session import stored, table
+from bioloom.session import shared_dir, stored, table
+from bioloom.sources import sequences
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -137,19 +140,45 @@ def window_position_profile(spark, d):
 
 # --- evaluation of runs -----------------------------------------------------------------------------------------
 
-RUN_SQL = f"""{with_views(RAW_SQL, SEQS_SQL)}, t AS (SELECT min(length(seq)) AS lo, max(length(seq)) AS hi FROM raw_seqs WHERE source = '{REFERENCE_RUN}'), ref AS (SELECT DISTINCT seq FROM raw_seqs WHERE source = '{REFERENCE_RUN}'),
- g AS (SELECT * FROM raw_seqs WHERE source <> '{REFERENCE_RUN}'), dup AS (SELECT source, max(n) AS m FROM (SELECT source, seq, count(*) AS n FROM g GROUP BY ALL) GROUP BY source)
- SELECT g.source, count(*) AS n, round(avg((seq <> '' AND regexp_full_match(seq, '[{A}]*'))::INTEGER), 8) AS legal_rate, round(avg((length(seq) BETWEEN lo AND hi)::INTEGER), 8) AS length_rate, round(avg(length(seq)), 8) AS mean_length,
- round(avg((seq IN (SELECT seq FROM ref))::INTEGER), 8) AS copy_rate, round(count(DISTINCT seq) / count(*), 8) AS unique_ratio, round(any_value(m) / count(*), 8) AS max_duplicate FROM g CROSS JOIN t JOIN dup ON dup.source = g.source GROUP BY g.source"""
+COMP = ", ".join(f"sum({cnt(a)}) / sum(length(seq)) AS p_{a}" for a in A)
+L1 = " + ".join(f"abs(p.p_{a} - q.p_{a})" for a in A)
+#: The second run that counts as real, beside the training one, and a run that was asked for and has no sequences.
+HELD_OUT_RUN, MISSING_RUN = "src1", "src_none"
+
+
+def run_sql(rows: str, key: str, run: str, train: str, real: str, extra: str = "") -> str:
+    """Tables that make ``er``, a row a run, of ``rows(run, key, seq)`` and ``hits(key, hit)``; ``real`` is a condition on runs."""
+    return f"""t AS (SELECT min(length(seq)) AS lo, max(length(seq)) AS hi FROM {rows} WHERE {run} = '{train}'), g AS (SELECT {rows}.*, hit FROM {rows} LEFT JOIN hits USING ({key}) WHERE {run} <> '{train}' {extra}),
+ dup AS (SELECT {run}, max(n) AS m FROM (SELECT {run}, seq, count(*) AS n FROM g GROUP BY ALL) GROUP BY {run}), q AS (SELECT {COMP} FROM {rows} WHERE {run} = '{train}'), p AS (SELECT {run} AS of, {COMP} FROM g GROUP BY {run}),
+ ag AS (SELECT g.{run}, count(*) AS n_generated, round(avg((seq <> '' AND regexp_full_match(seq, '[{A}]*'))::INTEGER), 8) AS legal_char_rate, round(avg((length(seq) BETWEEN lo AND hi)::INTEGER), 8) AS length_in_train_range_rate, round(avg(length(seq)), 8) AS mean_length,
+ round(avg((seq IN (SELECT seq FROM {rows} WHERE {run} = '{train}'))::INTEGER), 8) AS exact_copy_train_rate, round(avg((seq IN (SELECT seq FROM {rows} WHERE {run} = '{train}' OR {real}))::INTEGER), 8) AS exact_copy_any_real_rate,
+ round(count(DISTINCT seq) / count(*), 8) AS unique_ratio, round(any_value(m) / count(*), 8) AS max_duplicate_fraction, round(avg(hit::INTEGER), 8) AS family_profile_hit_rate FROM g CROSS JOIN t JOIN dup ON dup.{run} = g.{run} GROUP BY g.{run}),
+ er AS (SELECT ag.*, round({L1}, 10) AS aa_composition_l1_distance, lo AS train_length_min, hi AS train_length_max, 'run' AS family_profile_status FROM ag JOIN p ON p.of = ag.{run} CROSS JOIN q CROSS JOIN t)"""
+
+
+RUN_FIELDS = ["n_generated", "legal_char_rate", "length_in_train_range_rate", "mean_length", "exact_copy_train_rate", "exact_copy_any_real_rate", "unique_ratio", "max_duplicate_fraction", "family_profile_hit_rate", "aa_composition_l1_distance", "train_length_min", "train_length_max", "family_profile_status"]
+RUN_SQL = f"""{with_views(RAW_SQL)}, hits AS (SELECT doc_id, quality = 1 AS hit FROM labels), {run_sql('raw_seqs', 'doc_id', 'source', REFERENCE_RUN, f"source = '{HELD_OUT_RUN}'")}
+ SELECT source, {', '.join(RUN_FIELDS)} FROM er UNION ALL SELECT '{MISSING_RUN}', 0, {', '.join('NULL' for _ in range(9))}, lo, hi, 'run' FROM t"""
+
+
+def profile_hits(spark, d, rows, column: str):
+    """Answers of a profile search over labelled rows: a table of hits is written as the search writes it, and read by its reader."""
+    lines = F.concat_ws(" ", F.col(column).cast("string"), F.lit("- family PF -"), F.lit("1e-20 80.5 0.1"))
+    path = f"{shared_dir(spark)}/hits-{uuid.uuid4().hex}"
+    rows.where("hit").select(lines.alias("value")).unionByName(spark.createDataFrame([("# target name",), ("",)], "value string")).write.text(path)
+    found = sequences.read_profile_hits(spark, path).select(F.col("target").cast("long").alias("found")).distinct()
+    return rows.join(found, F.col(column) == F.col("found"), "left").select(column, F.col("found").isNotNull().alias("hit"))
 
 
 @query("evaluate_run", RUN_SQL)
 def evaluate_run(spark, d):
     rows = views.raw_seqs(spark, d)
-    return evaluate.evaluate_run(rows.where(F.col("source") != REFERENCE_RUN), rows.where(F.col("source") == REFERENCE_RUN), "source", "seq")
-
-
-COMP = ", ".join(f"sum({cnt(a)}) / sum(length(seq)) AS p_{a}" for a in A)
+    labels = table(spark, d, "labels").where("quality IS NOT NULL").select("doc_id", (F.col("quality") == 1).alias("hit"))
+    train, real = rows.where(F.col("source") == REFERENCE_RUN), rows.where(F.col("source").isin(REFERENCE_RUN, HELD_OUT_RUN))
+    generated = rows.where(F.col("source") != REFERENCE_RUN)
+    runs = generated.select("source").unionByName(spark.createDataFrame([(MISSING_RUN,)], "source string"))
+    found = evaluate.evaluate_run(generated, train, "source", "seq", real, runs, profile_hits(spark, d, labels, "doc_id"), "doc_id")
+    return found.select("source", *RUN_FIELDS)
 
 
 @query("aa_composition_l1", f"{with_views(SEQS_SQL)}, p AS (SELECT source, {COMP} FROM seqs GROUP BY source), q AS (SELECT * FROM p WHERE source = '{REFERENCE_RUN}') SELECT p.source, round({' + '.join(f'abs(p.p_{a} - q.p_{a})' for a in A)}, 10) AS l1 FROM p, q WHERE p.source <> q.source")
@@ -378,10 +407,33 @@ def best_heldout_hit(spark, d):
     return r6(cluster.best_hits(hits))
 
 
+SCREEN_SQL = f"""{with_views(SHORT_SQL)}, hits AS (SELECT page_id, length(html) % 10 <> 0 AS hit FROM pages), {run_sql('short', 'page_id', 'run', SHORT_REFERENCE, 'false')},
+ v AS (SELECT run, avg((seq <> '' AND regexp_full_match(seq, '[{A}]*') AND length(seq) BETWEEN lo AND hi)::INTEGER) AS valid FROM g CROSS JOIN t GROUP BY run)
+ SELECT run, n_generated, family_profile_hit_rate, aa_composition_l1_distance, exact_copy_any_real_rate, unique_ratio, max_duplicate_fraction, round(valid, 10) AS valid_candidate_rate,
+ CASE WHEN valid <> 1 THEN 'fail_invalid' WHEN family_profile_hit_rate IS NULL THEN 'unassessed' WHEN family_profile_hit_rate < 0.95 THEN 'fail_profile' ELSE 'pass' END AS fidelity_screen FROM er JOIN v USING (run)"""
+
+
+def short_hits(spark, d):
+    pages = table(spark, d, "pages").select("page_id", (F.length("html") % 10 != 0).alias("hit"))
+    return profile_hits(spark, d, pages.where("hit IS NOT NULL"), "page_id")
+
+
+@query("fidelity_screen", SCREEN_SQL)
+def fidelity_screen(spark, d):
+    made, ref = split_short(spark, d)
+    return r6(evaluate.screened(made, ref, "run", "page_id", "seq", short_hits(spark, d)))
+
+
 @query("integrated_evaluation")
 def integrated_evaluation(spark, d):
     made, ref = split_short(spark, d)
-    return r6(evaluate.integrated(made, ref, "run", "page_id", "seq"))
+    return r6(evaluate.integrated(made, ref, "run", "page_id", "seq", short_hits(spark, d)))
+
+
+@query("run_report")
+def run_report(spark, d):
+    made, ref = split_short(spark, d)
+    return r6(evaluate.run_report(made, ref, "run", "page_id", "seq", hits=short_hits(spark, d)))
 
 
 # --- embeddings: label 0 is the real training set, label 1 held-out real vectors ------------------------------------
