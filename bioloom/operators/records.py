@@ -128,22 +128,27 @@ def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, columns: list[str], at: dict[str, float]) -> DataFrame:
-    """``column`` and an exact quantile, between neighbours in proportion, for each name in ``at``.
+    """``column`` and an exact quantile, between neighbours in proportion, for each name in ``at``."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    return grouped_quantiles(rows.select(F.explode(cells).alias("x")).select("x.*"), "column", "value", at)
+
+
+def grouped_quantiles(rows: DataFrame, group: str, column: str, at: dict[str, float]) -> DataFrame:
+    """``group`` and an exact quantile of its values, between neighbours in proportion, for each name in ``at``; nulls are left out.
 
-    Equal values are counted first and then summed along ranges of values, so no task holds all values of a column.
+    Equal values are counted first and then summed along ranges of groups and values, so no task holds all values of a group.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-    counts = rows.select(F.explode(cells).alias("x")).select("x.*").where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    summed = stored(cumulated(counts, "n", F.col("column"), F.col("value")), "summed")
-    ends = summed.groupBy(F.col("column").alias("of")).agg(F.min(F.col("upto") - F.col("n")).alias("start"), F.sum("n").alias("total"))
-    joined = summed.join(F.broadcast(ends), F.col("column") == F.col("of"))  # a row a column
+    counts = rows.select(F.col(group).alias("of_"), F.col(column).cast("double").alias("value")).where("value IS NOT NULL").groupBy("of_", "value").agg(F.count(F.lit(1)).alias("n"))
+    summed = stored(cumulated(counts, "n", F.col("of_"), F.col("value")), "summed")
+    ends = summed.groupBy(F.col("of_").alias("of2")).agg(F.min(F.col("upto") - F.col("n")).alias("start"), F.sum("n").alias("total"))
+    joined = summed.join(ends, F.col("of_").eqNullSafe(F.col("of2")))
     place = {name: F.lit(q) * (F.col("total") - 1) for name, q in at.items()}
     value = lambda rank: F.min(F.when(F.col("upto") > F.col("start") + rank, F.col("value")))
-    found = joined.groupBy("column").agg(
+    found = joined.groupBy(F.col("of_").alias(group)).agg(
         *[value(F.floor(p)).alias(f"{name}_low") for name, p in place.items()], *[value(F.ceil(p)).alias(f"{name}_high") for name, p in place.items()],
         *[F.first(p - F.floor(p)).alias(f"{name}_part") for name, p in place.items()],
     )
-    return found.select("column", *[((1 - F.col(f"{n}_part")) * F.col(f"{n}_low") + F.col(f"{n}_part") * F.col(f"{n}_high")).alias(n) for n in at])
+    return found.select(group, *[((1 - F.col(f"{n}_part")) * F.col(f"{n}_low") + F.col(f"{n}_part") * F.col(f"{n}_high")).alias(n) for n in at])
 
 
 def describe(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -38,13 +38,17 @@ METRICS = f"""{STATS}, w AS (SELECT grp, max(pos) AS width FROM st GROUP BY grp)
  mt AS (SELECT *, array_to_string(list_filter([CASE WHEN identity < 0.75 THEN 'low_identity' END, CASE WHEN length NOT BETWEEN 50 AND 100 THEN 'length' END], lambda x: x IS NOT NULL), ';') AS outlier FROM rm)"""
 
 
-def long(spark, d):
-    return msa.long_form(views.seqs(spark, d).withColumn("aligned", F.translate("seq", "QH", "--")), "lang", "doc_id", "aligned")
+def aligned(spark, d):
+    return views.seqs(spark, d).withColumn("aligned", F.translate("seq", "QH", "--"))
+
+
+def residues(spark, d):
+    return msa.residue_counts(aligned(spark, d), "lang", "doc_id", "aligned")
 
 
 def stats(spark, d):
     rows = views.seqs(spark, d).groupBy(F.col("lang").alias("grp")).agg(F.count(F.lit(1)).alias("n_rows"))
-    return msa.column_stats(msa.residue_counts(long(spark, d)), rows)
+    return msa.column_stats(residues(spark, d), rows)
 
 
 @query("msa_column_stats", f"{STATS} SELECT * FROM st")
@@ -53,7 +57,7 @@ def msa_column_stats(spark, d):
 
 
 def metrics(spark, d):
-    return msa.row_metrics(long(spark, d), stored(stats(spark, d), "columns"))
+    return msa.row_metrics(aligned(spark, d), "lang", "doc_id", "aligned", stored(stats(spark, d), "columns"))
 
 
 @query("msa_row_metrics", f"{METRICS} SELECT * FROM mt")
@@ -64,20 +68,20 @@ def msa_row_metrics(spark, d):
 @query("msa_summary", f"{METRICS} SELECT a.grp, n90, n50, lo, mid, hi, n_outliers FROM (SELECT grp, count(*) FILTER (coverage >= 0.9) AS n90, count(*) FILTER (coverage >= 0.5) AS n50 FROM st GROUP BY grp) a JOIN (SELECT grp, min(identity) AS lo, quantile_cont(identity, 0.5) AS mid, max(identity) AS hi, count(*) FILTER (outlier <> '') AS n_outliers FROM mt GROUP BY grp) b USING (grp)")
 def msa_summary(spark, d):
     columns = stats(spark, d).groupBy("grp").agg(F.count_if(F.col("coverage") >= 0.9).alias("n90"), F.count_if(F.col("coverage") >= 0.5).alias("n50"))
-    rows = metrics(spark, d).groupBy("grp").agg(F.min("identity").alias("lo"), F.percentile("identity", F.lit(0.5)).alias("mid"), F.max("identity").alias("hi"), F.count_if(F.col("outlier") != "").alias("n_outliers"))
-    return columns.join(rows, "grp")
+    found = stored(metrics(spark, d), "metrics")
+    rows = found.groupBy("grp").agg(F.min("identity").alias("lo"), F.max("identity").alias("hi"), F.count_if(F.col("outlier") != "").alias("n_outliers"))
+    return columns.join(rows, "grp").join(records.grouped_quantiles(found, "grp", "identity", {"mid": 0.5}), "grp")
 
 
 @query("truncate_msa", f"{with_views(SEQS_SQL)} SELECT doc_id, n::INTEGER AS width, substr(seq, 1, n) AS cut FROM (SELECT *, min(length(seq)) OVER (PARTITION BY lang) AS n FROM seqs)")
 def truncate_msa(spark, d):
-    cut = views.seqs(spark, d).withColumn("width", F.min(F.length("seq")).over(Window.partitionBy("lang")))
-    return cut.select("doc_id", "width", F.expr("substring(seq, 1, width)").alias("cut"))
+    return msa.truncated(views.seqs(spark, d), "lang", "seq").select("doc_id", "width", "cut")
 
 
 @query("column_frequencies", f"{LONG} SELECT grp, pos, {', '.join(f"round(coalesce(sum(n) FILTER (aa = '{a}'), 0) / sum(n), 10) AS f_{a}" for a in A)} FROM c GROUP BY grp, pos")
 def column_frequencies(spark, d):
     share = lambda a: (F.sum(F.when(F.col("aa") == a, F.col("n")).otherwise(0)) / F.sum("n")).alias(f"f_{a}")
-    return r6(msa.residue_counts(long(spark, d)).groupBy("grp", "pos").agg(*[share(a) for a in A]))
+    return r6(residues(spark, d).groupBy("grp", "pos").agg(*[share(a) for a in A]))
 
 
 def share_sql(alphabet: str) -> str:
@@ -95,7 +99,7 @@ ENTROPY = f"""{LONG}, sh AS (SELECT *, n / sum(n) OVER (PARTITION BY grp, pos) A
 
 
 def entropy(spark, d):
-    return msa.position_entropy(msa.residue_counts(long(spark, d)))
+    return msa.position_entropy(residues(spark, d))
 
 
 @query("position_entropy", f"{ENTROPY} SELECT grp, pos, consensus, round(entropy, 8) + 0.0 AS entropy, round(top_share, 10) AS top_share, property, conserved, hypervariable, novel FROM pe")
@@ -117,15 +121,31 @@ def conserved_blocks(spark, d):
     return found.select("grp", "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-@query("functional_regions", f"{ENTROPY}, s AS (SELECT *, lag(property) OVER (PARTITION BY grp ORDER BY pos) AS before FROM pe) SELECT grp, 'adaptive' AS kind, pos, consensus AS note FROM pe WHERE entropy > 1.5 AND entropy < 3.0 AND top_share > 0.5 AND top_share < 0.9 UNION ALL SELECT grp, 'switch', pos, before || ' -> ' || property FROM s WHERE before <> property AND starts_with(property, 'strong') AND entropy > 1.0")
+TENTHS = "CASE aa " + " ".join(f"WHEN '{a}' THEN {round(10 * v)}" for a, v in R.HYDROPATHY.items()) + " ELSE 0 END"
+
+
+def disordered_sql(rows: str, key: str) -> str:
+    """Tables that make ``pick(key, i)``: windows of fifteen, taken from the left, of the sequences in ``rows(key, seq)``."""
+    return f"""ch AS (SELECT {key}, unnest(range(1, length(seq) + 1)) AS pos, unnest({CHARS}) AS aa FROM {rows} WHERE seq <> ''), su AS (SELECT {key}, pos, sum({TENTHS}) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS v, max(pos) OVER (PARTITION BY {key}) AS len FROM ch),
+ low AS (SELECT {key}, pos - 15 AS i FROM su WHERE pos >= 15 AND pos < len AND v < -150), nx AS (SELECT {key}, i, min(i) OVER (PARTITION BY {key} ORDER BY i RANGE BETWEEN 16 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM low),
+ pick AS (SELECT {key}, min(i) AS i FROM low GROUP BY {key} UNION ALL SELECT nx.{key}, nx.after FROM pick JOIN nx ON nx.{key} = pick.{key} AND nx.i = pick.i WHERE nx.after IS NOT NULL)"""
+
+
+REGIONS_SQL = f"""{blocks_sql(4).replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT grp, kind, start::BIGINT", " , bl AS (SELECT grp, kind, start::BIGINT")}), ex AS (SELECT lang AS grp, arg_min(seq, doc_id) AS seq FROM seqs WHERE seq <> '' GROUP BY lang),
+ s AS (SELECT *, lag(property) OVER (PARTITION BY grp ORDER BY pos) AS before FROM pe), {disordered_sql('ex', 'grp')}
+ SELECT bl.grp, 'block' AS kind, start + 1 AS start, "end" + 1 AS "end", kind AS note, substr(seq, start + 1, "end" - start + 1) AS sequence FROM bl JOIN ex USING (grp)
+ UNION ALL SELECT grp, 'adaptive', pos, pos, consensus, NULL FROM pe WHERE entropy > 1.5 AND entropy < 3.0 AND top_share > 0.5 AND top_share < 0.9
+ UNION ALL SELECT grp, 'switch', pos, pos, before || ' -> ' || property, NULL FROM s WHERE before <> property AND starts_with(property, 'strong') AND entropy > 1.0
+ UNION ALL SELECT pick.grp, 'disordered', i + 1, i + 15, NULL, substr(seq, i::BIGINT + 1, 15) FROM pick JOIN ex USING (grp)"""
+
+
+@query("functional_regions", REGIONS_SQL)
 def functional_regions(spark, d):
-    s = stored(entropy(spark, d), "entropy")
-    adaptive = s.where((F.col("entropy") > 1.5) & (F.col("entropy") < 3.0) & (F.col("top_share") > 0.5) & (F.col("top_share") < 0.9))
-    switches = msa.property_switches(s)
-    return adaptive.select("grp", F.lit("adaptive").alias("kind"), "pos", F.col("consensus").alias("note")).unionByName(switches.select("grp", F.lit("switch").alias("kind"), "pos", F.concat("before", F.lit(" -> "), "property").alias("note")))
+    examples = views.seqs(spark, d).where("seq != ''").groupBy(F.col("lang").alias("grp")).agg(F.min_by("seq", "doc_id").alias("example"))
+    return msa.functional_regions(stored(entropy(spark, d), "entropy"), examples)
 
 
-@query("disordered_windows")
+@query("disordered_windows", f"WITH RECURSIVE {SHORT_SQL}, {disordered_sql('short', 'page_id')}, li AS (SELECT page_id, list(i::INTEGER ORDER BY i) AS starts FROM pick GROUP BY page_id) SELECT page_id, coalesce(starts, []) AS starts FROM short LEFT JOIN li USING (page_id)")
 def disordered_windows(spark, d):
     return views.short(spark, d).select("page_id", msa.low_hydropathy_windows(F.col("seq"), 15).alias("starts"))
 

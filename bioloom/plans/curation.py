@@ -328,10 +328,13 @@ def readonly_sql(spark, d):
 
 @query("record_statistics", f"{with_views(DOCS_SQL)} SELECT source, count(*) AS n, count(quality) AS n_labelled, count(*) FILTER (toxic = 1) AS n_toxic, round(avg(n_chars), 6) AS mean_chars, min(n_chars) AS min_chars, max(n_chars) AS max_chars, quantile_cont(n_chars, 0.5) AS median_chars FROM docs GROUP BY source")
 def record_statistics(spark, d):
-    return views.docs(spark, d).groupBy("source").agg(
+    docs = views.docs(spark, d)
+    found = docs.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.count("quality").alias("n_labelled"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.round(F.avg("n_chars"), 6).alias("mean_chars"),
-        F.min("n_chars").alias("min_chars"), F.max("n_chars").alias("max_chars"), F.percentile("n_chars", F.lit(0.5)).alias("median_chars"),
+        F.min("n_chars").alias("min_chars"), F.max("n_chars").alias("max_chars"),
     )
+    middle = records.grouped_quantiles(table(spark, d, "documents"), "source", "n_chars", {"median_chars": 0.5}).withColumnRenamed("source", "of")
+    return found.join(middle, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
 
 @query("record_totals", f"{with_views(DOCS_SQL)} SELECT count(*) AS n, count(DISTINCT source) AS n_sources, count(DISTINCT lang) AS n_languages, count(quality) AS n_labelled, round(avg(quality), 8) AS mean_quality, sum(n_chars)::BIGINT AS chars FROM docs")
