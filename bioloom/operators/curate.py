@@ -185,3 +185,33 @@ def map_problems(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """``key, problem``: records that a cluster map does not name (missing) and members that are no record (extra)."""
     ids, named = rows.select(key).distinct(), members.select(F.col("member").alias(key)).distinct()
     return ids.join(named, key, "left_anti").withColumn("problem", F.lit("missing")).unionByName(named.join(ids, key, "left_anti").withColumn("problem", F.lit("extra")))
+
+
+#: Fixed names of what ``id_set_checks`` finds.
+NOT_IN, REPEATED_ID, REPEATED_SEQUENCE, NOT_DEGAPPED, ILLEGAL, BAD_LENGTH = "not_in_", "repeated_id", "repeated_sequence", "msa_sequence_differs", "illegal_letters", "length"
+ID_SETS = ("fasta", "msa", "metadata", "profile")
+
+
+def id_set_checks(fasta: DataFrame, alignment: DataFrame, metadata: DataFrame, profile: DataFrame, key: str, seq: str, aligned: str, least: int, most: int) -> DataFrame:
+    """``key, violations``: every id that breaks a rule of a dataset to be frozen, with the names of what is wrong, sorted.
+
+    The four sets must hold the same ids, each sequence id once; no other id may have the same sequence; a sequence must be its aligned row without
+    gaps, legal, and of a length in the limits. All sources are one tagged union, reduced once by id; sequences meet by digest in a second, small
+    reduction. Null ids belong to no set. No rows mean that the sets are sound.
+    """
+    none = F.lit(None).cast("string")
+
+    def tagged(rows: DataFrame, name: str, sequence: Column, row: Column) -> DataFrame:
+        return rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.lit(name).alias("set"), sequence.alias("s"), row.alias("a"))
+
+    every = tagged(fasta, "fasta", F.coalesce(seq, F.lit("")), none).unionByName(tagged(alignment, "msa", none, F.replace(aligned, F.lit("-"))))
+    every = every.unionByName(tagged(metadata, "metadata", none, none)).unionByName(tagged(profile, "profile", none, none))
+    by_id = every.groupBy("id").agg(*[F.count_if(F.col("set") == n).alias(f"in_{n}") for n in ID_SETS], F.max("s").alias("s"), F.max("a").alias("a"))
+    # Of one sequence all ids but the first repeat it.
+    owners = every.where("set = 'fasta' AND s != ''").groupBy(F.sha2("s", 256).alias("digest")).agg(F.min("id").alias("owner"), F.count_distinct("id").alias("ids")).where("ids > 1")
+    joined = by_id.join(owners, F.sha2("s", 256) == F.col("digest"), "left")
+    rules = [F.when(F.col(f"in_{n}") == 0, NOT_IN + n) for n in ID_SETS]
+    rules += [F.when(F.col("in_fasta") > 1, REPEATED_ID), F.when(F.col("id") != F.col("owner"), REPEATED_SEQUENCE), F.when(F.col("s") != F.col("a"), NOT_DEGAPPED)]
+    rules += [F.when(~R.is_legal(F.col("s")), ILLEGAL), F.when(~F.length("s").between(least, most), BAD_LENGTH)]
+    found = F.array_sort(F.array_compact(F.array(*rules)))
+    return joined.select(F.col("id").alias(key), F.array_join(found, ";").alias("violations")).where("violations != ''")

@@ -23,20 +23,41 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def sample_letters(spark: SparkSession, counts: DataFrame, n: int, length: int, seed: int) -> DataFrame:
-    """``idx, seq``: independent letters by their frequencies, a lookup in twenty cumulative shares."""
-    rows = counts.orderBy("aa").collect()
-    total, acc, ends = sum(r["n"] for r in rows), 0, []
-    for r in rows:
-        acc += r["n"]
-        ends.append((r["aa"], acc / total))
-    pick = F.lit(ends[-1][0])
+def length_counts(rows: DataFrame, seq: str) -> DataFrame:
+    """``length, n``: how many sequences have each length above zero."""
+    return rows.where(F.length(seq) > 0).groupBy(F.length(seq).cast("long").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _ends(counts: DataFrame, what: str) -> tuple[list, np.ndarray]:
+    """The values of a small table of counts, in order, and the share of all up to each."""
+    rows = counts.where("n > 0").orderBy(what).collect()
+    n = [r["n"] for r in rows]
+    return [r[what] for r in rows], np.cumsum(n) / max(1, sum(n))
+
+
+def sample_letters(spark: SparkSession, counts: DataFrame, lengths: DataFrame, n: int, seed: int) -> DataFrame:
+    """``idx, seq``: each of a length drawn as often as ``lengths`` has it, of independent letters by their frequencies.
+
+    Every draw is a number made from seed, index and place, so the result is the same however rows are dealt. The driver holds one number for each
+    letter and each different length. Without letters or lengths there is no sequence.
+    """
+    letters, letter_ends = _ends(counts, "aa")
+    sizes, size_ends = _ends(lengths, "length")
+    if not letters or not sizes:
+        return spark.createDataFrame([], "idx long, seq string")
+
+    @F.pandas_udf("long")
+    def length_of(u: pd.Series) -> pd.Series:
+        return pd.Series(np.array(sizes)[np.minimum(np.searchsorted(size_ends, u.to_numpy(), "right"), len(sizes) - 1)])
+
+    pick = F.lit(letters[-1])
     u = uniform(seed, F.col("idx"), F.col("pos"))
-    for aa, end in reversed(ends[:-1]):
+    for aa, end in reversed(list(zip(letters[:-1], letter_ends[:-1].tolist(), strict=True))):
         pick = F.when(u < end, aa).otherwise(pick)
-    cells = spark.range(n).select(F.col("id").alias("idx"), F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("pos"))
-    letters = cells.select("idx", F.struct("pos", pick.alias("aa")).alias("c")).groupBy("idx").agg(F.array_sort(F.collect_list("c")).alias("c"))
-    return letters.select("idx", F.array_join(F.transform("c", lambda x: x["aa"]), "").alias("seq"))
+    drawn = spark.range(n).select(F.col("id").alias("idx"), length_of(uniform(seed, F.col("id"), F.lit("length"))).alias("size"))
+    cells = drawn.select("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("pos"))
+    made = cells.select("idx", F.struct("pos", pick.alias("aa")).alias("c")).groupBy("idx").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    return made.select("idx", F.array_join(F.transform("c", lambda x: x["aa"]), "").alias("seq"))
 
 
 def kmer_counts(rows: DataFrame, seq: str, k: int) -> DataFrame:
@@ -81,4 +102,4 @@ def sample_kmers(spark: SparkSession, counts: DataFrame, n: int, length: int, k:
                 out.append((idx, "".join(made)))
             yield pd.DataFrame(out, columns=["idx", "seq"])
 
-    return spark.range(n).repartition(4).mapInPandas(run, "idx long, seq string")
+    return spark.range(n).mapInPandas(run, "idx long, seq string")

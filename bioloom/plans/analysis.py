@@ -540,9 +540,12 @@ def fit_aa_frequency(spark, d):
 CUM = f"{with_views(SEQS_SQL)}, k AS (" + " UNION ALL ".join(f"SELECT '{a}' AS aa, sum({cnt(a)})::BIGINT AS n FROM seqs" for a in A) + "), cum AS (SELECT aa, sum(n) OVER (ORDER BY aa) / sum(n) OVER () AS hi, coalesce(sum(n) OVER (ORDER BY aa ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER () AS lo FROM k)"
 
 
-@query("sample_aa_frequency", f"{CUM}, u AS (SELECT i AS idx, p AS pos, (('0x' || substr(md5('42:' || i || ':' || p), 1, 8))::UBIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u FROM range(200) a(i), range(60) b(p)) SELECT idx, string_agg(aa, '' ORDER BY pos) AS seq FROM u JOIN cum ON u.u >= lo AND u.u < hi GROUP BY idx")
+@query("sample_aa_frequency", f"""{CUM}, ln AS (SELECT length(seq)::BIGINT AS size, count(*) AS n FROM seqs WHERE seq <> '' GROUP BY 1), lc AS (SELECT size, sum(n) OVER (ORDER BY size) / sum(n) OVER () AS hi FROM ln),
+ d AS (SELECT i AS idx, (SELECT min(size) FROM lc WHERE hi > (('0x' || substr(md5('42:' || i || ':length'), 1, 8))::UBIGINT)::DOUBLE / 4294967296.0::DOUBLE) AS size FROM range(200) a(i)),
+ u AS (SELECT idx, p AS pos, (('0x' || substr(md5('42:' || idx || ':' || p), 1, 8))::UBIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u FROM (SELECT idx, unnest(range(0, size)) AS p FROM d)) SELECT idx, string_agg(aa, '' ORDER BY pos) AS seq FROM u JOIN cum ON u.u >= lo AND u.u < hi GROUP BY idx""")
 def sample_aa_frequency(spark, d):
-    return generate.sample_letters(spark, generate.letter_counts(views.seqs(spark, d), "seq"), 200, 60, 42)
+    seqs = views.seqs(spark, d)
+    return generate.sample_letters(spark, generate.letter_counts(seqs, "seq"), generate.length_counts(seqs, "seq"), 200, 42)
 
 
 KMER_SQL = f"{with_views(SEQS_SQL)}, p AS (SELECT string_split('^^' || seq || '$', '') AS c FROM seqs), g AS (SELECT unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS g FROM p), t AS (SELECT substr(g, 1, 2) AS context, substr(g, 3, 1) AS next, count(*) AS n FROM g GROUP BY ALL UNION ALL SELECT '', aa, n FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS aa, sum({cnt(a)})::BIGINT AS n FROM seqs" for a in A) + ") WHERE n > 0) SELECT context, next, n FROM t"

@@ -10,7 +10,7 @@ from bioloom.functions import residues as R
 from bioloom.operators import cluster, curate, freeze, records
 from bioloom.plans import views
 from bioloom.plans.features import r6
-from bioloom.plans.views import DOCS_SQL, LOWER, SEQS_SQL, UPPER, split_sql, with_views
+from bioloom.plans.views import DOCS_SQL, LOWER, RAW_SQL, SEQS_SQL, UPPER, split_sql, with_views
 from bioloom.session import numbered, shared_dir, stored, table
 
 QUERIES: dict = {}
@@ -244,13 +244,24 @@ def source_set_ops(spark, d):
     return curate.set_relations(sets, "doc_id").withColumn("in_both", F.col("in_lang") & F.col("in_quality"))
 
 
-@query("id_set_checks", f"""{with_views(SEQS_SQL)} SELECT coalesce(s.doc_id, l.doc_id) AS doc_id, list_filter([CASE WHEN s.doc_id IS NULL THEN 'not_in_fasta' END, CASE WHEN l.doc_id IS NULL THEN 'not_in_metadata' END,
- CASE WHEN length(seq) NOT BETWEEN 50 AND 20000 THEN 'length' END], lambda x: x IS NOT NULL) AS v FROM seqs s FULL OUTER JOIN labels l ON s.doc_id = l.doc_id""".replace("SELECT coalesce", "SELECT doc_id, array_to_string(v, ';') AS violations FROM (SELECT coalesce") + ") WHERE len(v) > 0")
+ID_SETS_SQL = f"""{with_views(RAW_SQL)}, fa AS (SELECT doc_id, seq FROM raw_seqs UNION ALL SELECT doc_id, seq FROM raw_seqs WHERE length(seq) % 10 = 3), al AS (SELECT doc_id, CASE WHEN length(seq) % 10 = 7 THEN substr(seq, 2) ELSE seq END AS a FROM raw_seqs WHERE length(seq) % 10 <> 5),
+ ids AS (SELECT doc_id FROM fa UNION SELECT doc_id FROM al UNION SELECT doc_id + 1 FROM labels UNION SELECT doc_id FROM labels WHERE quality = 1), f AS (SELECT doc_id, count(*) AS n, any_value(seq) AS seq FROM fa GROUP BY doc_id),
+ own AS (SELECT seq, min(doc_id) AS owner FROM fa WHERE seq <> '' GROUP BY seq HAVING count(DISTINCT doc_id) > 1),
+ v AS (SELECT ids.doc_id, list_sort(list_filter([CASE WHEN f.n IS NULL THEN 'not_in_fasta' END, CASE WHEN al.a IS NULL THEN 'not_in_msa' END, CASE WHEN ids.doc_id NOT IN (SELECT doc_id + 1 FROM labels) THEN 'not_in_metadata' END, CASE WHEN ids.doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'not_in_profile' END,
+  CASE WHEN n > 1 THEN 'repeated_id' END, CASE WHEN owner <> ids.doc_id THEN 'repeated_sequence' END, CASE WHEN f.seq <> al.a THEN 'msa_sequence_differs' END, CASE WHEN NOT regexp_full_match(f.seq, '[{A}]*') THEN 'illegal_letters' END, CASE WHEN length(f.seq) NOT BETWEEN 50 AND 20000 THEN 'length' END], lambda x: x IS NOT NULL)) AS v
+  FROM ids LEFT JOIN f USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN own ON own.seq = f.seq)
+ SELECT doc_id, array_to_string(v, ';') AS violations FROM v WHERE len(v) > 0"""
+
+
+@query("id_set_checks", ID_SETS_SQL)
 def id_set_checks(spark, d):
-    s = views.seqs(spark, d).select("doc_id", "seq", F.lit(1).alias("a"))
-    joined = s.join(table(spark, d, "labels").select("doc_id", F.lit(1).alias("b")), "doc_id", "full_outer")
-    bad = F.array_compact(F.array(F.when(F.col("a").isNull(), "not_in_fasta"), F.when(F.col("b").isNull(), "not_in_metadata"), F.when(~F.length("seq").between(50, 20000), "length")))
-    return joined.select("doc_id", bad.alias("v")).where(F.size("v") > 0).select("doc_id", F.array_join("v", ";").alias("violations"))
+    """Sources made from the documents so that every rule is broken by some: rows twice, missing and shortened aligned rows, shifted metadata."""
+    rows, labels = views.raw_seqs(spark, d).select("doc_id", "seq"), table(spark, d, "labels")
+    last = F.length("seq") % 10
+    fasta = rows.unionByName(rows.where(last == 3))
+    alignment = rows.where(last != 5).select("doc_id", F.concat(F.lit("-"), F.when(last == 7, F.expr("substring(seq, 2)")).otherwise(F.col("seq")), F.lit("--")).alias("aligned"))
+    metadata, profile = labels.select((F.col("doc_id") + 1).alias("doc_id")), labels.where("quality = 1").select("doc_id")
+    return curate.id_set_checks(fasta, alignment, metadata, profile, "doc_id", "seq", "aligned", 50, 20000)
 
 
 SPLIT_SQL = split_sql("c")
