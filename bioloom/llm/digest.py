@@ -1,15 +1,11 @@
 """Improbable-feature digests of texts and their likeness.
 
-Every window of 64 bytes has an entropy, and an entropy is the rarer the fewer windows of the corpus have it.
-A window that is the rarest of 32 neighbours for at least 8 of the ranges it lies in is a feature. Features
-go, in order and each once, into a chain of Bloom filters of 2,048 bits, up to 160 in each. Two digests are
-as like as the bits of their filters overlap beyond chance: each filter of the shorter chain takes its best
-partner, weighted by its features.
-
-Texts of under 512 bytes have too few windows for that; all their windows of eight bytes are features (the
-whole text, if it is shorter than that). Texts from 512 to 767 bytes get both kinds, so texts on either side
-of a limit stay comparable. A longer text without a popular window, as one that repeats a few bytes, falls back on
-windows of eight bytes, and so does any longer text that it is compared with. A text without bytes has no feature: two such are alike, and unlike any other.
+Every window of 16 bytes has an entropy, and an entropy is the rarer the fewer windows of the corpus have it. A window that is the rarest of
+32 neighbours, or of all where there are fewer, is a feature (of equally rare ones that of the least hash, then the leftmost). A text of under 16 bytes
+is one feature as a whole. The same holds for texts of every length, so any two digests compare. Features go, in order and each once, into a chain of
+Bloom filters of 2,048 bits, up to 64 in each. Two digests are as like as the bits of their filters overlap beyond chance: each filter of
+the shorter chain takes its best partner, weighted by its features. A text without bytes has no feature: two such are alike, and
+unlike any other.
 """
 
 from __future__ import annotations
@@ -22,23 +18,18 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
-from bioloom.llm.blocks import SubstringHashes, mix64, text_blocks
+from bioloom.llm.blocks import SubstringHashes, mix64, text_pieces
 from bioloom.session import shuffle_partitions
 
-WINDOW = 64
+WINDOW = 16
 NEIGHBOURS = 32
-POPULAR = 8
-LONG_FROM, SHORT_TO = 512, 768
-SHORT_WINDOW = 8
 BITS = 2048
 PROBES = 5
-PER_FILTER = 160
+PER_FILTER = 64
 #: Share of the span between chance and full overlap that counts as unlike.
 CUTOFF = 0.1
 LEVELS = 1001
-#: Windows below this entropy, of 1,000, are fillers and not features.
-LOWEST = 100
-NEVER = np.uint16(65535)
+NEVER = np.uint64(2**64 - 1)
 CHUNK = 1 << 19
 
 
@@ -65,8 +56,9 @@ def entropy_levels(buf: np.ndarray) -> np.ndarray:
     sums[0] = weight[np.bincount(buf[:WINDOW], minlength=256)].sum()
     sums[1:] = step[behind[WINDOW:]] - step[ahead[: n - 1]]
     np.cumsum(sums, out=sums)
-    # The counts ahead are those of the window itself; the entropy is 6 - sums / 64 bits.
-    return np.clip(np.rint((6 - sums / (WINDOW * 65536)) * ((LEVELS - 1) / 6)), 0, LEVELS - 1).astype(np.int64)
+    # The counts ahead are those of the window itself; the entropy is log2(WINDOW) - sums / WINDOW bits.
+    most = np.log2(WINDOW)
+    return np.clip(np.rint((most - sums / (WINDOW * 65536)) * ((LEVELS - 1) / most)), 0, LEVELS - 1).astype(np.int64)
 
 
 def _window_starts(bounds: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -85,7 +77,7 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEVELS, np.int64)
         for batch in batches:
-            for block in text_blocks(batch.column(0), CHUNK):
+            for block in text_pieces(batch.column(0), CHUNK, WINDOW - 1):
                 levels = entropy_levels(block.buf)
                 total += np.bincount(levels[_window_starts(block.bounds, WINDOW, len(levels))], minlength=LEVELS)
         at = np.flatnonzero(total)
@@ -97,31 +89,49 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
         counts[row["level"]] = row["n"]
     ranks = np.empty(LEVELS, np.uint16)
     ranks[np.argsort(counts, kind="stable")] = np.arange(LEVELS)
-    ranks[:LOWEST] = NEVER
     return ranks
 
 
-def _popular(ranks: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Positions that are the leftmost rarest of their neighbours often enough."""
-    value, offset, span = ranks, np.zeros(len(ranks), np.uint8), 1
+def _rarest(value: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The place of the leftmost least value among the ``NEIGHBOURS`` from each start."""
+    offset, span = np.zeros(len(value), np.uint8), 1
     while span < NEIGHBOURS:
         left, right = value[:-span], value[span:]
         less = right < left
         offset = np.where(less, offset[span:] + np.uint8(span), offset[:-span])
         value = np.where(less, right, left)
         span *= 2
-    starts = starts[value[starts] != NEVER]
-    votes = np.bincount(starts + offset[starts], minlength=len(ranks))
-    return np.flatnonzero(votes >= POPULAR)
+    return starts + offset[starts]
+
+
+def features_at(buf: np.ndarray, bounds: np.ndarray, ranks: np.ndarray, hashes: SubstringHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Where features of joined texts start and end."""
+    lengths = np.diff(bounds)
+    tiny = (lengths > 0) & (lengths < WINDOW)
+    starts, ends = [bounds[:-1][tiny]], [bounds[1:][tiny]]
+    if (lengths >= WINDOW).any():
+        value = ranks[entropy_levels(buf)].astype(np.uint64) << np.uint64(48) | hashes.windows(WINDOW) >> np.uint64(16)
+        value[~_window_starts(bounds, WINDOW, len(value))] = NEVER
+        # A text with fewer windows than a neighbourhood is one of its own.
+        few = (lengths >= WINDOW) & (lengths < WINDOW + NEIGHBOURS - 1)
+        at = [np.flatnonzero(_window_starts(bounds, WINDOW + NEIGHBOURS - 1, len(value)))]
+        if len(at[0]):
+            at[0] = np.unique(_rarest(value, at[0]))
+        for lo, n in zip(bounds[:-1][few].tolist(), lengths[few].tolist(), strict=True):
+            at.append(np.array([lo + int(value[lo : lo + n - WINDOW + 1].argmin())]))
+        at = np.concatenate(at)
+        starts.append(at)
+        ends.append(at + WINDOW)
+    return np.concatenate(starts), np.concatenate(ends)
 
 
 class Digest:
-    """A chain of filters with the number of features in each, and whether short and long windows are among them."""
+    """A chain of filters with the number of features in each."""
 
-    __slots__ = ("filters", "features", "short", "long")
+    __slots__ = ("filters", "features")
 
-    def __init__(self, filters: np.ndarray, features: np.ndarray, short: bool = True, long: bool = True):
-        self.filters, self.features, self.short, self.long = filters, features, short, long
+    def __init__(self, filters: np.ndarray, features: np.ndarray):
+        self.filters, self.features = filters, features
 
     def __str__(self) -> str:
         last = int(self.features[-1]) if len(self.features) else 0
@@ -143,36 +153,12 @@ class Digest:
         return float(min(1.0, (score.max(1) * few.features).sum() / few.features.sum()))
 
 
-def compared(a: Digest, b: Digest, text_a: bytes, text_b: bytes, ranks: np.ndarray) -> float:
-    """The likeness of two texts with these digests; if they have no kind of window in common, that of all their short windows."""
-    if text_a and text_b and not (a.short and b.short) and not (a.long and b.long):
-        a, b = digests([text_a, text_b], ranks, short_only=True)
-    return a.likeness(b)
-
-
-def digests(texts: list[bytes], ranks: np.ndarray, short_only: bool = False) -> list[Digest]:
-    """Digests of several texts at once, by short windows only if asked."""
+def digests(texts: list[bytes], ranks: np.ndarray) -> list[Digest]:
+    """Digests of several texts at once."""
     buf = np.frombuffer(b"".join(texts), np.uint8)
-    lengths = np.array([len(x) for x in texts], np.int64)
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in texts], dtype=np.int64)])
     hashes = SubstringHashes(buf)
-    short, long = (lengths < SHORT_TO) | short_only, (lengths >= LONG_FROM) & (not short_only)
-    picked: list[tuple[np.ndarray, np.ndarray]] = []
-    if long.any():
-        levels = entropy_levels(buf)
-        fits = _window_starts(bounds, WINDOW + NEIGHBOURS - 1, len(levels))
-        fits &= np.repeat(long, lengths)[: len(fits)]
-        at = _popular(ranks[levels], np.flatnonzero(fits))
-        picked.append((at, at + WINDOW))
-        long = np.bincount(np.searchsorted(bounds, at, "right") - 1, minlength=len(texts)) > 0
-        short |= ~long
-    if short.any():
-        inside = _window_starts(bounds, SHORT_WINDOW, len(buf)) & np.repeat(short, lengths)
-        at = np.flatnonzero(inside)
-        picked.append((at, at + SHORT_WINDOW))
-        tiny = (lengths > 0) & (lengths < SHORT_WINDOW)
-        picked.append((bounds[:-1][tiny], bounds[1:][tiny]))
-    starts, ends = (np.concatenate(x) for x in zip(*picked, strict=True))
+    starts, ends = features_at(buf, bounds, ranks, hashes)
     doc = np.searchsorted(bounds, starts, "right") - 1
     feature = hashes.of(starts, ends)
     order = np.lexsort((starts, feature, doc))
@@ -197,7 +183,7 @@ def digests(texts: list[bytes], ranks: np.ndarray, short_only: bool = False) ->
         features = np.full(k, PER_FILTER)
         if k:
             features[-1] = n - (k - 1) * PER_FILTER
-        out.append(Digest(filters[first_filter[i] : first_filter[i] + k], features, bool(short[i]), bool(long[i])))
+        out.append(Digest(filters[first_filter[i] : first_filter[i] + k], features))
     return out
 
 
@@ -267,8 +253,8 @@ def compare_edits(docs: DataFrame) -> DataFrame:
                 pa.array([hashlib.sha256(x).hexdigest() for x in edited], pa.string()),
                 pa.array([str(own[i]) for i in at], pa.string()),
                 pa.array([str(x) for x in of_edit], pa.string()),
-                pa.array([compared(own[i], x, raw[i], e, ranks) for i, x, e in zip(at, of_edit, edited, strict=True)], pa.float64()),
-                pa.array([compared(own[i], own[i + 1], raw[i], raw[i + 1], ranks) for i in at], pa.float64()),
+                pa.array([own[i].likeness(x) for i, x in zip(at, of_edit, strict=True)], pa.float64()),
+                pa.array([own[i].likeness(own[i + 1]) for i in at], pa.float64()),
             ],
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )

@@ -1,5 +1,6 @@
 """URL rules, digests, mixing and language ID on small tables."""
 
+import base64
 import functools
 import hashlib
 import random
@@ -67,8 +68,8 @@ def test_suffix_statistics_leave_out_the_own_label(spark):
 def test_entropy_of_every_window():
     buf = np.frombuffer(("abab" * 40 + "the quick brown fox" * 9 + "z" * 90).encode(), np.uint8)
     for i, level in enumerate(digest.entropy_levels(buf)):
-        share = np.bincount(buf[i : i + 64])[np.bincount(buf[i : i + 64]) > 0] / 64
-        assert level == round(float(-(share * np.log2(share)).sum()) * 1000 / 6) or abs(level - float(-(share * np.log2(share)).sum()) * 1000 / 6) <= 0.51
+        share = np.bincount(buf[i : i + digest.WINDOW])[np.bincount(buf[i : i + digest.WINDOW]) > 0] / digest.WINDOW
+        assert abs(level - float(-(share * np.log2(share)).sum()) * 1000 / np.log2(digest.WINDOW)) <= 0.51
 
 
 def words(seed, n):
@@ -96,6 +97,72 @@ def test_digests_tell_edits_from_strangers(spark):
     assert digest.compare_edits(docs.limit(0)).collect() == []
 
 
+def plain_features(raw, ranks):
+    """The rarest window of every neighbourhood, by the definition."""
+    if len(raw) < digest.WINDOW:
+        return [raw] if raw else []
+    one = np.frombuffer(raw, np.uint8)
+    value = [(int(ranks[level]), int(h) >> 16) for level, h in zip(digest.entropy_levels(one), digest.SubstringHashes(one).windows(digest.WINDOW), strict=True)]
+    width = min(digest.NEIGHBOURS, len(value))
+    at = {min(range(i, i + width), key=lambda j: (value[j], j)) for i in range(len(value) - width + 1)}
+    return list(dict.fromkeys(raw[i : i + digest.WINDOW] for i in sorted(at)))
+
+
+def plain_digest(raw, ranks):
+    """The chain of filters, bit by bit, as its text."""
+    found = plain_features(raw, ranks)
+    chain = []
+    for lo in range(0, len(found), digest.PER_FILTER):
+        bits = [0] * digest.BITS
+        for f in found[lo : lo + digest.PER_FILTER]:
+            mixed = int(digest.mix64(digest.SubstringHashes(np.frombuffer(f, np.uint8)).of(np.array([0]), np.array([len(f)])))[0])
+            for i in range(digest.PROBES):
+                bits[mixed >> (11 * i) & (digest.BITS - 1)] = 1
+        chain.append(int("".join(map(str, bits)), 2).to_bytes(digest.BITS // 8, "big"))
+    last = len(found) - digest.PER_FILTER * (len(chain) - 1) if chain else 0
+    return f"{len(chain)}:{last}:{base64.b64encode(b''.join(chain)).decode()}"
+
+
+def plain_likeness(one, other):
+    """From the two fingerprints and nothing else."""
+
+    def parsed(text):
+        k, last, packed = text.split(":")
+        raw = base64.b64decode(packed)
+        chain = [int.from_bytes(raw[i : i + digest.BITS // 8], "big") for i in range(0, len(raw), digest.BITS // 8)]
+        return chain, [digest.PER_FILTER] * (int(k) - 1) + [int(last)] * (int(k) > 0)
+
+    (a, n), (b, m) = sorted((parsed(one), parsed(other)), key=lambda d: sum(d[1]))
+    if not a or not b:
+        return float(len(a) == len(b))
+    if a == b:
+        return 1.0
+    total = 0.0
+    for x, weight in zip(a, n, strict=True):
+        best = 0.0
+        for y in b:
+            most, chance = min(x.bit_count(), y.bit_count()), x.bit_count() * y.bit_count() / digest.BITS
+            floor = chance + digest.CUTOFF * (most - chance)
+            best = max(best, min(1.0, ((x & y).bit_count() - floor) / max(most - floor, 1e-9)))
+        total += best * weight
+    return min(1.0, total / sum(n))
+
+
+def test_digests_by_definition_and_likeness_by_the_fingerprints_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ranks = digest.rarity(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = {r["doc_id"]: r for r in digest.compare_edits(docs).collect()}
+    order = sorted(texts, reverse=True)
+    assert len(rows) == 1000
+    for i, key in enumerate(order):
+        row, following = rows[key], rows[order[(i + 1) % len(order)]]
+        assert row["near_edited"] == pytest.approx(plain_likeness(row["fingerprint"], row["edited_fingerprint"]), abs=1e-12)
+        assert row["near_next"] == pytest.approx(plain_likeness(row["fingerprint"], following["fingerprint"]), abs=1e-12)
+    for raw in [texts[k].encode() for k in order[::40] if len(texts[k]) < 6000] + [b"", b"x", b"a" * 15, b"a" * 16, b"ab" * 12, b"abc" * 30, bytes(range(40))]:
+        assert str(digest.digests([b"zz", raw, b"q" * 40], ranks)[1]) == plain_digest(raw, ranks)
+
+
 @pytest.mark.parametrize("period", [1, 5, 8, 64])
 def test_digests_of_repetitive_texts(spark, period):
     """Texts that repeat a few bytes differ from each other and are like their edited selves, at any length."""
