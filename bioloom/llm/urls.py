@@ -20,6 +20,8 @@ from bioloom.session import stored
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 SAMPLE = 20_000
+#: Least number of rows of each label among them.
+LEAST_OF_LABEL = 100
 TREES, DEPTH, SEED = 20, 4, 11
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = (
@@ -93,12 +95,14 @@ def with_suffix_statistics(rows: DataFrame, counts: DataFrame, own_label: Column
 def fit(labelled: DataFrame, key: str, sample: int = SAMPLE) -> Callable[[DataFrame], DataFrame]:
     """What adds ``model_score``, the chance that a row is to be blocked, to rows with features; learned from rows with ``label``.
 
-    Suffix statistics count all labelled rows; the trees see about ``sample`` of them, drawn by a hash of key and url.
+    Suffix statistics count all labelled rows; the trees see about ``sample`` of them, drawn by a hash of key and url. A label too rare to
+    have ``LEAST_OF_LABEL`` among these is drawn that often, or whole where it has fewer rows, so no label of the table is missed.
     """
     counts = stored(suffix_counts(labelled.select("suffix", "label")), "suffixes")
-    n = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    n, blocked = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
     draw = F.xxhash64(F.col(key).cast("string"), "url") / F.lit(2.0**64) + 0.5
-    drawn = stored(labelled.where(draw * n < sample).select("label", "suffix", *FEATURES[:-2]), "urls")
+    share = [max(sample / max(n, 1), LEAST_OF_LABEL / max(k, 1)) for k in (n - blocked, blocked)]
+    drawn = stored(labelled.where(draw < F.when(F.col("label") == 1, share[1]).otherwise(share[0])).select("label", "suffix", *FEATURES[:-2]), "urls")
     # The sample is small and read many times; the scan that drew it ran on all tasks.
     training = with_suffix_statistics(drawn, counts, F.col("label")).coalesce(4)
     kinds = [r["label"] for r in drawn.select("label").distinct().collect()]

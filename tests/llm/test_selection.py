@@ -38,6 +38,13 @@ def test_rules_and_verdicts(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_a_rare_label_is_drawn(spark):
+    rows = [(i, f"http://net/{i}") for i in range(3000)] + [(5000 + i, f"http://x{i}.example.net/en/{'9' * 40}") for i in range(3)] + [(9000, f"http://free.org/{'9' * 40}")]
+    found = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), sample=20).collect()}
+    # Of some twenty rows drawn by chance none would be one of the three; with one label the model would know no other score than one.
+    assert found[9000]["block_score"] < 1.0
+
+
 def test_trees_learn_from_labelled_urls(spark):
     random.seed(3)
     rows = [(i, f"https://{random.choice('abcd')}{i % 7}.{'net' if i % 2 else 'example.org'}/{'de' if i % 2 else 'fr'}/{i}") for i in range(300)]
