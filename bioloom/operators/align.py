@@ -134,6 +134,17 @@ def global_identity(pairs: DataFrame, query: str, target: str, scoring: tuple[in
     return pairs.select(*[f.name for f in kept]).mapInPandas(run, schema)
 
 
+def with_every(rows: DataFrame, references: DataFrame, hashed: str) -> DataFrame:
+    """Each row beside each reference, met on the number of the reference's block: an equi-join, dealt over as many tasks as there are blocks.
+
+    All pairs by definition; ``hashed`` is the reference's column by which blocks of about ``BLOCK`` are dealt.
+    """
+    n_blocks = max(1, math.ceil(references.count() / BLOCK))
+    dealt = references.withColumn("block_", F.pmod(F.xxhash64(hashed), F.lit(n_blocks)))
+    sent = rows.withColumn("block_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    return sent.join(dealt, "block_").drop("block_")
+
+
 def nearest_reference(queries: DataFrame, references: DataFrame, key: str, seq: str) -> DataFrame:
     """``key, reference, identity, qcov, tcov``: the most identical reference of each query; ties go to the least reference id.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bioloom.functions import residues as R
 from bioloom.session import stored
@@ -153,8 +153,9 @@ def adjudicate(review: DataFrame, official: DataFrame, core: DataFrame, strict:
 def join_clusters(rows: DataFrame, maps: dict[str, DataFrame], key: str) -> DataFrame:
     """Adds representative, size and balancing weight for each named map of ``representative, member``."""
     for name, cluster in maps.items():
-        size = F.count(F.lit(1)).over(Window.partitionBy("representative"))
-        sized = cluster.select(F.col("member").alias(key), F.col("representative").alias(f"{name}_representative"), size.alias(f"{name}_size"))
+        # Members are counted before they are shuffled, so a huge cluster is no task of its own.
+        sizes = cluster.groupBy(F.col("representative").alias("of_")).agg(F.count(F.lit(1)).alias(f"{name}_size"))
+        sized = cluster.join(sizes, F.col("representative").eqNullSafe(F.col("of_"))).select(F.col("member").alias(key), F.col("representative").alias(f"{name}_representative"), f"{name}_size")
         rows = rows.join(sized, key, "left").withColumn(f"{name}_weight", F.round(1 / F.col(f"{name}_size"), 8))
     return rows
 

@@ -6,9 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bioloom.functions import residues as R
+from bioloom.session import numbered, stored
 
 
 def window_complexity(seq: Column, window: int) -> dict[str, Column]:
@@ -30,13 +31,18 @@ def tokenized(seq: Column) -> dict[str, Column]:
 
 
 def pad_batches(rows: DataFrame, ids: str, group: str, order: str, size: int) -> DataFrame:
-    """Adds ``batch, width, padded, mask``: rows of a group in order, ``size`` to a batch, padded to its longest."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    batched = rows.withColumn("batch", F.floor(place / size).cast("int"))
-    width = F.max(F.size(ids)).over(Window.partitionBy(group, "batch"))
+    """Adds ``batch, width, padded, mask``: rows of a group in order, ``size`` to a batch, padded to its longest.
+
+    Places come from ranges over all groups, less what stands before a group; widths are reduced a batch at a time. No task holds a group.
+    """
+    placed = stored(numbered(rows, F.col(group), F.col(order), name="place_"), "places")
+    first = placed.groupBy(F.col(group).alias("of_")).agg(F.min("place_").alias("first_"))
+    batched = placed.join(first, F.col(group).eqNullSafe(F.col("of_"))).withColumn("batch", F.floor((F.col("place_") - F.col("first_")) / size).cast("int")).drop("of_", "first_", "place_")
+    widths = batched.groupBy(F.col(group).alias("of_"), F.col("batch").alias("batch_")).agg(F.max(F.size(ids)).alias("width"))
+    joined = batched.join(widths, F.col(group).eqNullSafe(F.col("of_")) & (F.col("batch") == F.col("batch_"))).drop("of_", "batch_")
     fill = F.array_repeat(F.lit(R.PAD), F.col("width") - F.size(ids))
     real = F.array_repeat(F.lit(1), F.size(ids))
-    return batched.withColumn("width", width).withColumn("padded", F.concat(ids, fill)).withColumn("mask", F.concat(real, F.array_repeat(F.lit(0), F.col("width") - F.size(ids))))
+    return joined.withColumn("padded", F.concat(ids, fill)).withColumn("mask", F.concat(real, F.array_repeat(F.lit(0), F.col("width") - F.size(ids))))
 
 
 def find_motifs(rows: DataFrame, key: str, seq: str, motifs: dict[str, str]) -> DataFrame:

@@ -342,8 +342,7 @@ POS_SQL = f"""{with_views(SHORT_SQL)}, g AS (SELECT * FROM short WHERE run <> '{
 @query("positional_identity", POS_SQL)
 def positional_identity(spark, d):
     made, ref = split_short(spark, d)
-    # A stated set of designs against all references; references are few and sent whole only below Spark's broadcast limit.
-    pairs = made.select("page_id", "seq").join(ref.select(F.col("page_id").alias("ref_id"), F.col("seq").alias("ref")))
+    pairs = align.with_every(made.select("page_id", "seq"), ref.select(F.col("page_id").alias("ref_id"), F.col("seq").alias("ref")), "ref_id")
     best = pairs.withColumn("v", design.positional_identity(F.col("seq"), F.col("ref"))).groupBy("page_id").agg(F.max_by(F.struct("v", "ref_id"), F.struct("v", -F.col("ref_id"))).alias("b"))
     return best.select("page_id", F.round("b.v", 10).alias("identity"), F.when(F.col("b.v") > 0, F.col("b.ref_id")).alias("reference"))
 
@@ -421,7 +420,7 @@ HITS_SQL = f"{with_views(SHORT_SQL)}, h AS (SELECT a.page_id AS query, b.page_id
 @query("best_heldout_hit", f"{HITS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY identity DESC, least(qcov, tcov) DESC, target DESC) AS p FROM h) SELECT query, target, round(identity, 10) AS identity, round(qcov, 10) AS qcov, round(tcov, 10) AS tcov, identity >= 0.8 AND least(qcov, tcov) >= 0.8 AS blocked FROM r WHERE p = 1")
 def best_heldout_hit(spark, d):
     made, ref = (x.where("seq != ''") for x in split_short(spark, d))
-    pairs = made.select(F.col("page_id").alias("query"), "seq").join(ref.select(F.col("page_id").alias("target"), F.col("seq").alias("ref")))
+    pairs = align.with_every(made.select(F.col("page_id").alias("query"), "seq"), ref.select(F.col("page_id").alias("target"), F.col("seq").alias("ref")), "target")
     n = F.least(F.length("seq"), F.length("ref"))
     hits = pairs.select("query", "target", design.positional_identity(F.col("seq"), F.col("ref")).alias("identity"), (n / F.length("seq")).alias("qcov"), (n / F.length("ref")).alias("tcov"))
     return r6(cluster.best_hits(hits))
