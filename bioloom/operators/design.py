@@ -82,26 +82,45 @@ def explain(scored: DataFrame) -> DataFrame:
     }).drop("n_")
 
 
+#: Rows of a chunk for each row that is wanted.
+CHUNK = 32
+
+
 def select_diverse(scored: DataFrame, key: str, k: int, max_identity: float, min_score: float) -> list[dict]:
-    """Greedy: best first, each less than ``max_identity`` alike (shared prefix positions) to all taken, until ``k``.
+    """Greedy: best first (ties: least key), each less than ``max_identity`` alike (shared prefix positions) to all taken, until ``k``.
 
-    ``k`` rounds, each taking one row to the driver; candidates that fall out stay out. If nothing reaches
-    ``min_score``, the best ``3 * k`` rows are the candidates.
+    Candidates come to the driver in chunks of ``CHUNK * k``, best first; a chunk begins behind the last one and leaves out what is too like any
+    already taken, in one comparison with all of them. Mostly the first chunk holds ``k`` that differ, and the pool is read once. If nothing
+    reaches ``min_score``, the best ``3 * k`` rows are the candidates. Null scores are no candidates; null sequences are alike to none.
     """
+    ordered = [F.col("overall").desc(), F.col(key)]
     pool = scored.where(F.col("overall") >= min_score)
     if pool.isEmpty():
-        pool = scored.orderBy(F.col("overall").desc(), key).limit(3 * k)
+        pool = scored.where(F.col("overall").isNotNull()).orderBy(*ordered).limit(3 * k)
     taken: list[dict] = []
+    seqs: list[str | None] = []
+    last = None
     while len(taken) < k:
-        best = pool.orderBy(F.col("overall").desc(), key).first()
-        if best is None:
+        rest = pool if last is None else pool.where((F.col("overall") < last["overall"]) | ((F.col("overall") == last["overall"]) & (F.col(key) > last[key])))
+        known = [s for s in seqs if s is not None]
+        if known:
+            rest = rest.where(~F.exists(F.array(*[F.lit(s) for s in known]), lambda t: F.coalesce(positional_identity(F.col("seq"), t) >= max_identity, F.lit(False))))
+        chunk = rest.select(key, "seq", "overall").orderBy(*ordered).limit(CHUNK * k).collect()
+        for row in chunk:
+            if len(taken) < k and all(_alike(row["seq"], s) < max_identity for s in seqs):
+                taken.append({key: row[key], "overall": row["overall"], "rank": len(taken) + 1})
+                seqs.append(row["seq"])
+        if len(chunk) < CHUNK * k:
             break
-        taken.append({key: best[key], "overall": best["overall"], "rank": len(taken) + 1})
-        alike = positional_identity(F.col("seq"), F.lit(best["seq"]))
-        pool = pool.where(alike < max_identity)
+        last = chunk[-1]
     return taken
 
 
+def _alike(a: str | None, b: str | None) -> float:
+    n = min(len(a or ""), len(b or ""))
+    return sum(x == y for x, y in zip(a, b, strict=False)) / n if n else 0.0
+
+
 def positional_identity(a: Column, b: Column) -> Column:
     """Share of equal residues over the common prefix; 0 if there is none."""
     n = F.least(F.length(a), F.length(b))
