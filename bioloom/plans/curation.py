@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Window, functions as F
 
-from bioloom.functions import residues as R
+from bioloom.functions import headers, residues as R
 from bioloom.operators import cluster, curate, freeze, records
 from bioloom.plans import views
 from bioloom.plans.features import r6
@@ -140,6 +140,31 @@ def parse_species_chain(spark, d):
     return table(spark, d, "documents").select("doc_id", F.split_part("source", F.lit("c"), F.lit(1)).alias("species"), F.when(F.col("lang") == "en", F.upper(F.substring("source", 4, 1))).otherwise("?").alias("chain"))
 
 
+DESCRIBED_SQL = "SELECT doc_id, 'id run_id=' || source || ' model=' || lang || '=x ' || CASE WHEN doc_id % 3 = 0 THEN '[old] [' || lang || ' ' || source || ' ] ' WHEN doc_id % 3 = 1 THEN '=none model=second' ELSE '[open' END AS h FROM documents"
+
+
+@query("header_tags", f"WITH t AS ({DESCRIBED_SQL}) SELECT doc_id, regexp_extract(h, 'run_id=([^ ]*)', 1) AS run_id, regexp_extract(h, 'model=([^ ]*)', 1) AS model, len(regexp_extract_all(h, '(^| )[^ =]+=')) AS n_tags, trim(regexp_extract(h, '\\[([^\\[\\]]+)\\]\\s*$', 1)) AS organism FROM t")
+def header_tags(spark, d):
+    last = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("[old] ["), "lang", F.lit(" "), "source", F.lit(" ] "))).when(F.col("doc_id") % 3 == 1, "=none model=second").otherwise("[open")
+    h = F.concat(F.lit("id run_id="), "source", F.lit(" model="), "lang", F.lit("=x "), last)
+    rows = table(spark, d, "documents").select("doc_id", h.alias("h"))
+    return rows.select("doc_id", headers.tag(F.col("h"), "run_id").alias("run_id"), headers.tag(F.col("h"), "model").alias("model"), F.size(headers.tags(F.col("h"))).cast("long").alias("n_tags"), headers.trailing_organism(F.col("h")).alias("organism"))
+
+
+NAMES_SQL = "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'sp|P' || doc_id || '|GVP' || upper(substr(source, 4)) || 'M2_' || upper(lang) WHEN 1 THEN 'WP_' || doc_id WHEN 2 THEN 'Gvp' || lang || '_' || source || '_' || lang WHEN 3 THEN 'tr|A|' || lang ELSE source END AS h FROM documents"
+
+
+@query("species_chain", f"""WITH t AS ({NAMES_SQL}), p AS (SELECT *, split_part(h, '|', -1) AS e FROM t) SELECT doc_id,
+ CASE WHEN doc_id % 5 IN (0, 3) THEN CASE WHEN contains(e, '_') THEN split_part(e, '_', -1) ELSE 'unknown' END WHEN doc_id % 5 = 1 THEN 'unknown' WHEN contains(h, '_') THEN substr(h, strpos(h, '_') + 1) ELSE 'unknown' END AS species,
+ CASE WHEN doc_id % 5 = 0 THEN substr(e, 4, 1) WHEN doc_id % 5 = 2 THEN upper(lang_) END AS chain FROM (SELECT p.*, d.lang AS lang_ FROM p JOIN documents d USING (doc_id))""")
+def species_chain(spark, d):
+    by = F.col("doc_id") % 5
+    named = F.concat(F.lit("sp|P"), F.col("doc_id").cast("string"), F.lit("|GVP"), F.upper(F.col("source").substr(4, 99)), F.lit("M2_"), F.upper("lang"))
+    h = F.when(by == 0, named).when(by == 1, F.concat(F.lit("WP_"), F.col("doc_id").cast("string"))).when(by == 2, F.concat(F.lit("Gvp"), "lang", F.lit("_"), "source", F.lit("_"), "lang")).when(by == 3, F.concat(F.lit("tr|A|"), "lang")).otherwise(F.col("source"))
+    rows = table(spark, d, "documents").select("doc_id", h.alias("h"))
+    return rows.select("doc_id", headers.species(F.col("h")).alias("species"), headers.chain(F.col("h")).alias("chain"))
+
+
 @query("write_fasta", f"{with_views(SEQS_SQL)} SELECT doc_id, md5('>' || doc_id || ' run_id=' || source || chr(10) || rtrim(regexp_replace(seq, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10))) AS record_md5 FROM seqs WHERE seq <> ''")
 def write_fasta(spark, d):
     from bioloom.sources import sequences
