@@ -420,10 +420,8 @@ HITS_SQL = f"{with_views(SHORT_SQL)}, h AS (SELECT a.page_id AS query, b.page_id
 @query("best_heldout_hit", f"{HITS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY identity DESC, least(qcov, tcov) DESC, target DESC) AS p FROM h) SELECT query, target, round(identity, 10) AS identity, round(qcov, 10) AS qcov, round(tcov, 10) AS tcov, identity >= 0.8 AND least(qcov, tcov) >= 0.8 AS blocked FROM r WHERE p = 1")
 def best_heldout_hit(spark, d):
     made, ref = (x.where("seq != ''") for x in split_short(spark, d))
-    pairs = align.with_every(made.select(F.col("page_id").alias("query"), "seq"), ref.select(F.col("page_id").alias("target"), F.col("seq").alias("ref")), "target")
-    n = F.least(F.length("seq"), F.length("ref"))
-    hits = pairs.select("query", "target", design.positional_identity(F.col("seq"), F.col("ref")).alias("identity"), (n / F.length("seq")).alias("qcov"), (n / F.length("ref")).alias("tcov"))
-    return r6(cluster.best_hits(hits))
+    best = align.nearest_by_place(made, ref, "page_id", "seq", covered=True, latest=True)
+    return r6(cluster.best_hits(best.withColumnsRenamed({"page_id": "query", "reference": "target"})))
 
 
 SCREEN_SQL = f"""{with_views(SHORT_SQL)}, hits AS (SELECT page_id, length(html) % 10 <> 0 AS hit FROM pages), {run_sql('short', 'page_id', 'run', SHORT_REFERENCE, 'false')},
