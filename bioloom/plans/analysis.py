@@ -342,9 +342,8 @@ POS_SQL = f"""{with_views(SHORT_SQL)}, g AS (SELECT * FROM short WHERE run <> '{
 @query("positional_identity", POS_SQL)
 def positional_identity(spark, d):
     made, ref = split_short(spark, d)
-    pairs = align.with_every(made.select("page_id", "seq"), ref.select(F.col("page_id").alias("ref_id"), F.col("seq").alias("ref")), "ref_id")
-    best = pairs.withColumn("v", design.positional_identity(F.col("seq"), F.col("ref"))).groupBy("page_id").agg(F.max_by(F.struct("v", "ref_id"), F.struct("v", -F.col("ref_id"))).alias("b"))
-    return best.select("page_id", F.round("b.v", 10).alias("identity"), F.when(F.col("b.v") > 0, F.col("b.ref_id")).alias("reference"))
+    best = align.nearest_by_place(made, ref, "page_id", "seq")
+    return best.select("page_id", F.round("identity", 10).alias("identity"), F.when(F.col("identity") > 0, F.col("reference")).alias("reference"))
 
 
 @query("pairwise_diversity")
