@@ -172,10 +172,12 @@ def set_relations(sets: dict[str, DataFrame], key: str) -> DataFrame:
 def candidates(rows: DataFrame, only: str, ignored: str, checks: dict[str, Column]) -> DataFrame:
     """Rows whose one reason, those that start with ``ignored`` apart, is ``only``; with ``unique_id``, ``unique_sequence`` and each check.
 
-    Sequences are compared by hash and length, so none is shuffled.
+    Sequences are compared by hash and length, so none is shuffled. All is worked out once and stored: a filter on reasons that
+    are still an expression would work out every rule, on the whole text, wherever they are named.
     """
     left = F.filter("reasons", lambda r: ~r.startswith(ignored))
-    found = rows.where(left == F.array(F.lit(only))).withColumns({**checks, "hash_": F.xxhash64("sequence"), "length_": F.length("sequence")})
+    judged = stored(rows.withColumns({**checks, "hash_": F.xxhash64("sequence"), "length_": F.length("sequence"), "only_": left == F.array(F.lit(only))}), "judged")
+    found = judged.where("only_").drop("only_")
     ids = found.groupBy(F.col("sequence_id").alias("of_id")).agg((F.count(F.lit(1)) == 1).alias("unique_id"))
     texts = found.groupBy(F.col("hash_").alias("of_hash"), F.col("length_").alias("of_length")).agg((F.count(F.lit(1)) == 1).alias("unique_sequence"))
     joined = found.join(ids, F.col("sequence_id") == F.col("of_id")).join(texts, (F.col("hash_") == F.col("of_hash")) & (F.col("length_") == F.col("of_length")))

@@ -110,7 +110,8 @@ def cleaning_summary(spark, d):
 def candidate_selection(spark, d):
     # The invented texts hold every letter, so the reason of illegal letters is not counted here.
     checks = {"legal": R.is_legal(F.col("sequence")), "region": F.upper("region_names") == RULES.region, "xref": F.upper("cdd_xrefs").contains(RULES.xref), "length_ok": F.length("sequence").between(200, 4000)}
-    return curate.candidates(classified(spark, d), "domain_not_confirmed", "invalid_amino_acids", checks).select(F.col("seq_order").alias("doc_id"), "unique_id", "unique_sequence", *checks)
+    rows = classified(spark, d).select("seq_order", "sequence_id", "sequence", "reasons", "region_names", "cdd_xrefs")
+    return curate.candidates(rows, "domain_not_confirmed", "invalid_amino_acids", checks).select(F.col("seq_order").alias("doc_id"), "unique_id", "unique_sequence", *checks)
 
 
 @query("domain_counts", f"{with_views(DOCS_SQL)} SELECT CASE WHEN trim(split_part(text, ' ', 1)) = '' THEN 'Unclassified' ELSE split_part(text, ' ', 1) END AS domain, count(*) AS n FROM docs GROUP BY 1")
