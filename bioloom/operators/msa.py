@@ -127,9 +127,10 @@ def row_metrics(aligned: DataFrame, group: str, key: str, column: str, stats: Da
 
 
 def truncated(aligned: DataFrame, group: str, column: str) -> DataFrame:
-    """Adds ``width``, the length of the shortest row of the group, and ``cut``, the row up to there. Lengths are reduced and sent back to the rows."""
+    """Adds ``width``, the length of the shortest row of the group, and ``cut``, the row up to there. Lengths are reduced and go to all tasks: rows
+    dealt by group would meet in as few tasks as there are groups."""
     widths = aligned.groupBy(F.col(group).alias("grp_")).agg(F.min(F.length(column)).alias("width"))
-    joined = aligned.join(widths, F.col(group).eqNullSafe(F.col("grp_"))).drop("grp_")
+    joined = aligned.join(F.broadcast(widths), F.col(group).eqNullSafe(F.col("grp_"))).drop("grp_")
     return joined.withColumn("cut", F.col(column).substr(F.lit(1), F.col("width")))
 
 
