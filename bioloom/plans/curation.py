@@ -257,7 +257,9 @@ ADJ_SQL = f"""{CLASSIFIED}, rv AS (SELECT * FROM cl WHERE decision = 'review'),
 
 @query("adjudicate_profile", ADJ_SQL)
 def adjudicate_profile(spark, d):
-    rows = classified(spark, d).withColumn("sequence_id", F.col("seq_order")).withColumn("annotation_support", F.lower("source").contains("1"))
+    # Filtered only when stored, as each filter would work out all rules anew; excluded sequences aren't looked at again.
+    judged = classified(spark, d).select(F.col("seq_order").alias("sequence_id"), "lang", "decision", F.lower("source").contains("1").alias("annotation_support"), F.when(F.col("decision") != "exclude", F.col("sequence")).alias("sequence"))
+    rows = stored(judged, "judged")
     review = rows.where("decision = 'review'")
     hits = lambda df: df.select("sequence_id", F.length("sequence").cast("double").alias("score"))
     out = curate.adjudicate(review, hits(review.where("lang = 'en'")), hits(review), hits(rows.where("decision = 'include'")), 300, 3000)
