@@ -284,7 +284,7 @@ ID_SETS_SQL = f"""{with_views(RAW_SQL)}, fa AS (SELECT doc_id, seq FROM raw_seqs
 @query("id_set_checks", ID_SETS_SQL)
 def id_set_checks(spark, d):
     """Sources made from the documents so that every rule is broken by some: rows twice, missing and shortened aligned rows, shifted metadata."""
-    rows, labels = views.raw_seqs(spark, d).select("doc_id", "seq"), table(spark, d, "labels")
+    rows, labels = stored(views.raw_seqs(spark, d).select("doc_id", "seq"), "sequences"), table(spark, d, "labels")
     last = F.length("seq") % 10
     fasta = rows.unionByName(rows.where(last == 3))
     alignment = rows.where(last != 5).select("doc_id", F.concat(F.lit("-"), F.when(last == 7, F.expr("substring(seq, 2)")).otherwise(F.col("seq")), F.lit("--")).alias("aligned"))
