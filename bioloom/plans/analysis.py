@@ -56,8 +56,9 @@ def msa_column_stats(spark, d):
     return r6(stats(spark, d))
 
 
-def metrics(spark, d):
-    return msa.row_metrics(aligned(spark, d), "lang", "doc_id", "aligned", stored(stats(spark, d), "columns"))
+def metrics(spark, d, columns=None):
+    columns = stored(stats(spark, d), "columns") if columns is None else columns
+    return msa.row_metrics(aligned(spark, d), "lang", "doc_id", "aligned", columns)
 
 
 @query("msa_row_metrics", f"{METRICS} SELECT * FROM mt")
@@ -67,8 +68,9 @@ def msa_row_metrics(spark, d):
 
 @query("msa_summary", f"{METRICS} SELECT a.grp, n90, n50, lo, mid, hi, n_outliers FROM (SELECT grp, count(*) FILTER (coverage >= 0.9) AS n90, count(*) FILTER (coverage >= 0.5) AS n50 FROM st GROUP BY grp) a JOIN (SELECT grp, min(identity) AS lo, quantile_cont(identity, 0.5) AS mid, max(identity) AS hi, count(*) FILTER (outlier <> '') AS n_outliers FROM mt GROUP BY grp) b USING (grp)")
 def msa_summary(spark, d):
-    columns = stats(spark, d).groupBy("grp").agg(F.count_if(F.col("coverage") >= 0.9).alias("n90"), F.count_if(F.col("coverage") >= 0.5).alias("n50"))
-    found = stored(metrics(spark, d), "metrics")
+    counted = stored(stats(spark, d), "columns")
+    columns = counted.groupBy("grp").agg(F.count_if(F.col("coverage") >= 0.9).alias("n90"), F.count_if(F.col("coverage") >= 0.5).alias("n50"))
+    found = stored(metrics(spark, d, counted), "metrics")
     rows = found.groupBy("grp").agg(F.min("identity").alias("lo"), F.max("identity").alias("hi"), F.count_if(F.col("outlier") != "").alias("n_outliers"))
     return columns.join(rows, "grp").join(records.grouped_quantiles(found, "grp", "identity", {"mid": 0.5}), "grp")
 
@@ -265,8 +267,10 @@ def top_overall(spark, d):
 @query("recommended_set", f"{SCORED_CTE} SELECT doc_id, overall FROM overall WHERE {' AND '.join(FUNNEL)}")
 def recommended_set(spark, d):
     """Candidates that pass all five filters of the funnel."""
-    n, rows = F.length("seq"), scored(spark, d)
-    return rows.where((n >= 40) & (n <= 3000) & (R.ratio(F.col("seq"), R.HYDROPHOBIC) <= 0.6) & (F.col("fold") >= 0.5) & (F.col("toxic") >= 0.6)).select("doc_id", "overall")
+    n = F.length("seq")
+    passed = (n >= 40) & (n <= 3000) & (R.ratio(F.col("seq"), R.HYDROPHOBIC) <= 0.6) & (F.col("fold") >= 0.5) & (F.col("toxic") >= 0.6)
+    # Filtered only when stored: a filter on scores that are still expressions would work them out on its own.
+    return stored(scored(spark, d).select("doc_id", "overall", passed.alias("passed")), "scored").where("passed").select("doc_id", "overall")
 
 
 @query("length_counts", f"{with_views(SEQS_SQL)} SELECT length(seq)::INTEGER AS length, count(*) AS n FROM seqs GROUP BY 1")
