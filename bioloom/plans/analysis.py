@@ -291,7 +291,9 @@ LOGO_SQL = f"""{SCORED_CTE}, t AS (SELECT source, seq, row_number() OVER (PARTIT
 
 @query("logo_information", LOGO_SQL)
 def logo_information(spark, d):
-    top = evaluate.top_per_group(scored(spark, d).where("seq != ''").select("source", "doc_id", "seq", "overall"), "source", "overall", "doc_id", 20)
+    # Ranked are heads as long as the logo, which are as short as their sequences are; no whole sequence is stored or sorted.
+    heads = stored(scored(spark, d).select("source", "doc_id", F.left("seq", F.lit(50)).alias("seq"), "overall"), "scored")
+    top = evaluate.top_per_group(heads.where("seq != ''"), "source", "overall", "doc_id", 20)
     return evaluate.logo(top, "source", "seq", 50)
 
 
