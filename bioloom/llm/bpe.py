@@ -17,6 +17,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
+from bioloom.llm.blocks import lean
+
 PIECE_CHARS = 1 << 16
 #: A cut goes before this: a space or line feed after a character that is white space in no Unicode version.
 SAFE = regex.compile(r"(?<=[^\s\x1c-\x1f\x85᠎​⁠﻿])[ \n]")
@@ -61,8 +63,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ou
     A null or empty text gives an empty list. Other columns pass through; one named ``out`` is replaced.
     """
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out or c == text])
-    schema = _extended(rest.drop(text), out, "array<int>")
+    return rest.mapInArrow(_encoder(rank_file, pattern, text, out), _extended(rest.drop(text), out, "array<int>"))
+
 
+def _encoder(rank_file: str, pattern: str, text: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for batch in batches:
@@ -73,7 +77,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ou
                 ids = pa.array([encode_text(enc, x) for x in part.column(at).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in others), ids], [*(batch.schema.names[i] for i in others), out])
 
-    return rest.mapInArrow(run, schema)
+    return run
 
 
 def decode(docs: DataFrame, rank_file: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -82,8 +86,10 @@ def decode(docs: DataFrame, rank_file: str, pattern: str, ids: str = "token_ids"
     Bytes, not a string: an id may hold part of a character. An id that is not in the rank file fails the job.
     """
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out])
-    schema = _extended(rest, out, "binary")
+    return rest.mapInArrow(_decoder(rank_file, pattern, ids, out), _extended(rest, out, "binary"))
+
 
+def _decoder(rank_file: str, pattern: str, ids: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for batch in batches:
@@ -93,15 +99,19 @@ def decode(docs: DataFrame, rank_file: str, pattern: str, ids: str = "token_ids"
                 raw = pa.array([enc.decode_bytes(x) if x else b"" for x in part.column(at).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, raw], [*batch.schema.names, out])
 
-    return rest.mapInArrow(run, schema)
+    return run
 
 
 def round_trip_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """Per document: the number of ids and digests of the ids and of the bytes they decode to.
 
-    Null texts count as empty, repeated rows give repeated results, an empty table gives no rows.
+    Null texts count as empty, repeated rows give repeated results, an empty table gives no rows. One worker a task does both ways:
+    two steps would each have their own, with its own ranks.
     """
-    coded = decode(encode(docs.select("doc_id", "text"), rank_file, pattern), rank_file, pattern)
+    rest = docs.select("doc_id", "text")
+    to, back = _encoder(rank_file, pattern, "text", "token_ids"), _decoder(rank_file, pattern, "token_ids", "decoded")
+    kind = rest.schema["doc_id"].dataType.simpleString()
+    coded = rest.mapInArrow(lean(lambda batches: back(to(batches))), f"doc_id {kind}, token_ids array<int>, decoded binary")
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from bioloom.llm.blocks import Block, mix64, text_pieces
+from bioloom.llm.blocks import Block, lean, mix64, text_pieces
 from bioloom.session import stored
 
 GRAM = 4
@@ -230,7 +230,7 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
                     best[i], score[i] = len(model.languages), 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
-    return rest.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return rest.mapInArrow(lean(run), f"{kinds}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

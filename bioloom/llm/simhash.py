@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bioloom.llm.blocks import SPACES, SubstringHashes, lower_ascii, mix64, text_pieces, word_spans
+from bioloom.llm.blocks import SPACES, SubstringHashes, lean, lower_ascii, mix64, text_pieces, word_spans
 from bioloom.operators.graph import components
 from bioloom.session import stored
 
@@ -383,7 +383,7 @@ def similar_links(nodes: DataFrame, tile: int = TILE, set_bytes: int = SET_BYTES
         if held:
             yield emit()
 
-    return dealt_out.mapInArrow(search, "a long, b long")
+    return dealt_out.mapInArrow(lean(search), "a long, b long")
 
 
 def wide_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -417,7 +417,7 @@ def wide_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text")
                 given = [batch.column(i).slice(begin, size) for i in (0, 2)]
                 yield pa.RecordBatch.from_arrays([*given, *(pa.array(x.view(np.int64)) for x in lanes), lists, sets], [key, "text_hash", *WIDE, "bands", "shingles"])
 
-    return docs.select(key, text, F.xxhash64(text).alias("text_hash")).mapInArrow(run, f"`{key}` {kind}, text_hash long, {', '.join(f'{c} long' for c in WIDE)}, bands array<long>, shingles binary")
+    return docs.select(key, text, F.xxhash64(text).alias("text_hash")).mapInArrow(lean(run), f"`{key}` {kind}, text_hash long, {', '.join(f'{c} long' for c in WIDE)}, bands array<long>, shingles binary")
 
 
 def keepers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,10 +7,7 @@ need pass through it under any name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bioloom.llm import bpe, langid, mixing, simhash, suffix
@@ -66,16 +63,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     bounded_batches(spark)
     own = apart(docs, "doc_id", "text", "n_chars")
-    left = suffix.remove_repeats(own)
-    kinds = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in own.columns if c != "text")
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [suffix.kept_text(x.as_py()) for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "text"])
-
-    some = left.where((F.length("kept") > 0) | (F.size("removed") == 0))
-    texts = some.select(*[c for c in own.columns if c != "text"], "kept").mapInArrow(decode, f"{kinds}, text string")
+    # Decoded where they are cut: a step of its own would be a second Python worker beside each task's first.
+    left = suffix.remove_repeats(own, decoded=True)
+    texts = left.where((suffix.lost() < F.col("n_bytes")) | (F.size("removed") == 0)).withColumnRenamed("kept", "text")
     if "n_chars" in docs.columns:
         texts = texts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return texts.select(*own.columns).toDF(*docs.columns)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import public_tokenizers as vocab
 import pytest
@@ -114,3 +115,11 @@ def test_rows_of_null_and_repeated_ids(spark, corpus):
     assert abs(sum(len(r["text"].split()) for r in mixed) - words) <= 2
     assert len(whole) > 2 and whole <= {r["text"] for r in mixed}
     kept.unpersist()
+
+
+@pytest.mark.parametrize("name", ["suffix-array dedup", "byte-level BPE encoding and decoding"])
+def test_a_task_has_one_python_worker(spark, corpus, name):
+    """Two Python steps without a shuffle between them run in two workers beside each other, twice the memory."""
+    docs = spark.createDataFrame(corpus[0], "doc_id long, text string, lang string, source string, n_chars long")
+    plan = dict(corpus_pipeline.STAGES)[name](spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("MapInArrow|FlatMapCoGroupsInArrow", plan.split("Exchange")[0])) == 1
