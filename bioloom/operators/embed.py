@@ -32,12 +32,26 @@ def blocks(rows: DataFrame, vector: str, name: str, *others: str) -> DataFrame:
     return dealt.groupBy(F.col("block_").alias(f"{name}_block")).agg(F.array_sort(F.collect_list(F.struct(*others, F.col(vector).alias("v"), "n"))).alias(name))
 
 
-def tiles(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Every block of ``left`` beside every block of ``right``: one row, and so a bounded piece of work, for each two."""
-    last = right.agg(F.max(f"{b}_block")).first()[0]
-    to = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-1 if last is None else last).cast("long")))
-    sent = left.withColumn("to", to) if last is not None else left.withColumn("to", F.lit(None).cast("long"))
-    return sent.join(right, F.col("to") == F.col(f"{b}_block")).select(f"{a}_block", f"{b}_block", a, b)
+#: Tiles of a task at most, where there are more than the cores need.
+TILES = 256
+
+
+def tiles(left: DataFrame, right: DataFrame, a: str, b: str, half: bool = False) -> DataFrame:
+    """Every block of ``left`` beside every block of ``right``: one row, and so a bounded piece of work, for each two; of two equal
+    sides that are met by ``half`` only those of no lesser number. Tiles are dealt over all cores by their numbers: small blocks lie in few files,
+    and whoever reads one of these would have all its tiles.
+    """
+    last, here = right.agg(F.max(f"{b}_block")).first()[0], left.count()
+    if last is None:
+        return left.join(right, F.lit(False))
+    number = here * (last + 1)
+    tasks = min(max(1, number), max(3 * left.sparkSession.sparkContext.defaultParallelism, math.ceil(number / TILES)))
+    # So many copies of a right block that there are keys enough for all tasks.
+    copies = min(max(1, here), math.ceil(4 * tasks / (last + 1)))
+    to = F.explode(F.sequence(F.col(f"{a}_block") if half else F.lit(0).cast("long"), F.lit(last).cast("long")))
+    sent = left.withColumn("to", to).withColumn("copy", F.pmod(f"{a}_block", F.lit(copies).cast("long"))).repartition(tasks, "to", "copy")
+    met = right.withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long")))).repartition(tasks, f"{b}_block", "of")
+    return sent.join(met, (F.col("to") == F.col(f"{b}_block")) & (F.col("copy") == F.col("of"))).drop("to", "copy", "of")
 
 
 def _stack(entries) -> np.ndarray:
@@ -177,7 +191,7 @@ def median_bandwidth(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """
     held = stored(blocks(rows.where(F.col(vector).isNotNull()), vector, "a"), "blocks")
     other = held.select(F.col("a_block").alias("b_block"), F.col("a").alias("b"))
-    met = tiles(held, other, "a", "b").where("a_block <= b_block").select((F.col("a_block") == F.col("b_block")).alias("same"), "a", "b")
+    met = tiles(held, other, "a", "b", half=True).select((F.col("a_block") == F.col("b_block")).alias("same"), "a", "b")
 
     def each(a, b, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positive distances of the tile's pairs and how many pairs of rows are so far apart."""
@@ -312,6 +326,19 @@ def members(numbers: np.ndarray, sizes: np.ndarray, block: int, drawn: int, firs
     return one, two
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Whole numbers as planes of bits, the lowest first; mostly there is one. The first byte is the number of planes."""
+    whole = counts.astype(np.int64).ravel()
+    planes = max(1, int(whole.max(initial=0)).bit_length())
+    return bytes([planes]) + b"".join(np.packbits(whole >> p & 1 == 1).tobytes() for p in range(planes))
+
+
+def unpack_counts(raw: bytes, repeats: int, width: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    bits = np.unpackbits(planes, axis=1, count=repeats * width)
+    return sum(row.astype(float) * float(1 << p) for p, row in enumerate(bits)).reshape(repeats, width)
+
+
 #: What the draws are for, as part of their seeds: halves of the real set, real rows and generated rows of a comparison.
 HALVES, REAL, MADE = 0, 1, 2
 
@@ -321,67 +348,82 @@ def mmd_bootstrap(rows: DataFrame, group: str, vector: str, real, bandwidth: flo
     and 0.95 quantile of halves of the real group against each other, and the share of the first above the last.
 
     Each repeat draws without replacement and to the row as many of either side as the lesser of the group and half the real one, and
-    for the baseline two disjoint halves of the real group. Blocks know their part of each draw by themselves (``split_sizes``). A tile's kernel is
-    computed once for all repeats and groups; only its sums leave the task. Groups are the few sets that are compared, each of under 10**9
+    for the baseline two disjoint halves of the real group. Blocks know their part of each draw by themselves (``split_sizes``); it is drawn once
+    and stored with the block. A tile's kernel is computed once for all repeats and groups, and of two blocks of one group in one order only;
+    a task's sums leave it. Groups are the few sets that are compared, each of under 10**9
     rows; null groups and vectors are none. Fewer than two real rows, or none at all, give no row.
     """
     rows = rows.where(F.col(group).isNotNull() & F.col(vector).isNotNull())
     names = sorted(r[0] for r in rows.groupBy(group).count().collect())
     held = {}
-    for i, name in enumerate(names):
+    for name in names:
         dealt = stored(blocks(rows.where(F.col(group) == F.lit(name)), vector, "a"), "blocks")
         counted = {r["a_block"]: r["n"] for r in dealt.select("a_block", F.aggregate("a.n", F.lit(0).cast("long"), lambda t, n: t + n).alias("n")).collect()}
-        sizes = np.array([counted.get(b, 0) for b in range(max(counted, default=-1) + 1)], np.int64)
-        held[name] = (i, dealt, sizes)
+        held[name] = (dealt, np.array([counted.get(b, 0) for b in range(max(counted, default=-1) + 1)], np.int64))
     schema = f"`{group}` {rows.schema[group].dataType.simpleString()}, n long, size long, median double, q025 double, q975 double, real_median double, real_q95 double, exceeds double"
-    n_real = int(held[real][2].sum()) if real in held else 0
+    n_real = int(held[real][1].sum()) if real in held else 0
     half = n_real // 2
+    order = {g: i for i, g in enumerate(names)}
     made = [g for g in names if g != real]
     if not half or not made:
         return rows.sparkSession.createDataFrame([], schema)
-    drawn = {g: min(int(held[g][2].sum()), half) for g in made}
+    drawn = {g: min(int(held[g][1].sum()), half) for g in made}
 
-    def real_weights(entries, block: int, g) -> np.ndarray:
-        return members(_numbers(entries), held_sizes[real], block, drawn[g], drawn[g], repeats, [seed, REAL, order[g]])[0]
+    def with_draws(name, draws: list[tuple[int, int, list[int]]]) -> DataFrame:
+        """A group's blocks with ``w``: of each draw (rows drawn, first ones, seed) the packed members among the first ones, and the others."""
+        dealt, sizes = held[name]
 
-    def own_weights(entries, block: int, g) -> np.ndarray:
-        return members(_numbers(entries), held_sizes[g], block, drawn[g], drawn[g], repeats, [seed, MADE, order[g]])[0]
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for block, numbers in zip(batch["a_block"], batch["n"], strict=True):
+                    found = [members(np.array(numbers, np.int64), sizes, int(block), n, first, repeats, seeds) for n, first, seeds in draws]
+                    yield pd.DataFrame({"of": [block], "w": [[pack_counts(x) for both in found for x in both]]})
+
+        numbers = dealt.select("a_block", F.col("a.n").alias("n")).repartition(min(len(sizes), max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(len(sizes) / 16))), "a_block")
+        weights = numbers.mapInPandas(run, "of long, w array<binary>")
+        return stored(dealt.join(weights, F.col("a_block") == F.col("of")).drop("of"), "draws")
 
-    held_sizes, order = {g: h[2] for g, h in held.items()}, {g: h[0] for g, h in held.items()}
+    with_weights = {g: with_draws(g, [(drawn[g], drawn[g], [seed, MADE, order[g]])]) for g in made}
+    # Of the real group the first two are halves; draw i then is at 2 * i.
+    with_weights[real] = with_draws(real, [(2 * half, half, [seed, HALVES]), *((drawn[g], drawn[g], [seed, REAL, order[g]]) for g in made)])
 
-    def summed(left, right, sides) -> DataFrame:
-        """Sums of kernels over tiles of two groups: ``sides`` gives, of a tile, what is summed as name, left and right weights."""
+    def summed(left, right, u: list[int], w: list[int], sides, whats: list[str]) -> DataFrame:
+        """Sums of kernels over tiles of two groups for each of ``whats``: ``sides`` makes its weights from the numbers ``u`` and ``w`` of the draws."""
+        alike = left == right
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((len(whats), repeats))
             for batch in batches:
-                for x, y, a, b in zip(batch["a_block"], batch["b_block"], batch["a"], batch["b"], strict=True):
+                for x, y, a, b, of_a, of_b in zip(batch["a_block"], batch["b_block"], batch["a"], batch["b"], batch["u"], batch["w"], strict=True):
                     kernel = np.exp(-_squares(_stack(a), _stack(b)) / (2 * bandwidth))
-                    for what, u, w in sides(a, int(x), b, int(y)):
-                        yield pd.DataFrame({"what": what, "run": np.arange(repeats), "sum": ((u @ kernel) * w).sum(1)})
-
-        other = held[right][1].select(F.col("a_block").alias("b_block"), F.col("a").alias("b"))
-        return tiles(held[left][1], other, "a", "b").mapInPandas(run, "what string, run long, sum double")
-
-    def within_real(a, x: int, b, y: int):
-        u, v = (members(_numbers(e), held_sizes[real], at, 2 * half, half, repeats, [seed, HALVES]) for e, at in ((a, x), (b, y)))
-        yield from (("xx", u[0], v[0]), ("zz", u[1], v[1]), ("xz", u[0], v[1]))
-        for g in made:
-            yield f"r{order[g]}", real_weights(a, x, g), real_weights(b, y, g)
-
-    every = summed(real, real, within_real)
+                    these, those = (np.stack(sides([unpack_counts(r, repeats, len(e)) for r in raw])) for raw, e in ((of_a, a), (of_b, b)))
+                    met = (these.reshape(-1, len(a)) @ kernel).reshape(these.shape[:2] + (len(b),))
+                    total += np.einsum("kij,kij->ki", met, those) * (2 if alike and x != y else 1)
+            yield pd.DataFrame({"what": np.repeat(whats, repeats), "run": np.tile(np.arange(repeats), len(whats)), "sum": total.ravel()})
+
+        picked = lambda at: F.array(*[F.col("w")[i] for i in at])
+        one = with_weights[left].select("a_block", "a", picked(u).alias("u"))
+        other = with_weights[right].select(F.col("a_block").alias("b_block"), F.col("a").alias("b"), picked(w).alias("w"))
+        return tiles(one, other, "a", "b", half=alike).select("a_block", "b_block", "a", "b", "u", "w").mapInPandas(run, "what string, run long, sum double")
+
+    as_drawn = lambda x: x
+    draws = {g: 2 * (i + 1) for i, g in enumerate(made)}
+    # Halves x and z are as far apart as (x - z) K (x - z).
+    real_draws = [0, 1, *draws.values()]
+    every = summed(real, real, real_draws, real_draws, lambda x: [x[0] - x[1], *x[2:]], ["h", *(f"r{order[g]}" for g in made)])
     for g in made:
-        every = every.unionByName(summed(g, g, lambda a, x, b, y, g=g: [(f"m{order[g]}", own_weights(a, x, g), own_weights(b, y, g))]))
-        every = every.unionByName(summed(real, g, lambda a, x, b, y, g=g: [(f"c{order[g]}", real_weights(a, x, g), own_weights(b, y, g))]))
+        every = every.unionByName(summed(g, g, [0], [0], as_drawn, [f"m{order[g]}"]))
+        every = every.unionByName(summed(real, g, [draws[g]], [0], as_drawn, [f"c{order[g]}"]))
     # A few sums for each repeat: what is left fits the driver by its numbers of groups and repeats alone.
     sums: dict[str, np.ndarray] = {}
     for r in every.groupBy("what", "run").agg(F.sum("sum").alias("sum")).collect():
         sums.setdefault(r["what"], np.zeros(repeats))[r["run"]] = r["sum"]
-    baseline = (sums["xx"] + sums["zz"] - 2 * sums["xz"]) / half**2
+    baseline = sums["h"] / half**2
     limit, out = float(np.quantile(baseline, 0.95)), []
     for g in made:
         values = (sums[f"r{order[g]}"] + sums[f"m{order[g]}"] - 2 * sums[f"c{order[g]}"]) / drawn[g] ** 2
         figures = [float(np.quantile(values, q)) for q in (0.5, 0.025, 0.975)]
-        out.append((g, int(held_sizes[g].sum()), drawn[g], *figures, float(np.median(baseline)), limit, float((values > limit).mean())))
+        out.append((g, int(held[g][1].sum()), drawn[g], *figures, float(np.median(baseline)), limit, float((values > limit).mean())))
     return rows.sparkSession.createDataFrame(out, schema)
 
 

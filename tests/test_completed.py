@@ -166,6 +166,37 @@ def test_bootstrap_is_that_of_plain_subsamples(spark, monkeypatch):
     assert embed.mmd_bootstrap(df.where("g != 0"), "g", "v", 0, 1.5).collect() == []
 
 
+def test_bootstrap_draws_once_a_block_and_deals_its_tiles(spark, monkeypatch):
+    """Draws for each tile, and tiles in as few tasks as the blocks have files, took most of the time."""
+    monkeypatch.setattr(embed, "BLOCK", 5)
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(g, [float(x) for x in rng.normal(g, 1, 3)]) for g in (0, 1) for _ in range(60)], "g int, v array<double>")
+    calls, members = spark.sparkContext.accumulator(0), embed.members
+
+    def counted(*given):
+        calls.add(1)
+        return members(*given)
+
+    monkeypatch.setattr(embed, "members", counted)
+    assert len(embed.mmd_bootstrap(df, "g", "v", 0, 1.5, 4).collect()) == 1
+    n = [embed.blocks(df.where(f"g = {g}"), "v", "a").count() for g in (0, 1)]
+    assert calls.value == 2 * n[0] + n[1]
+    held = embed.stored(embed.blocks(df.where("g = 0"), "v", "a"))
+    other = held.select(F.col("a_block").alias("b_block"), F.col("a").alias("b"))
+    for half in (False, True):
+        met = embed.tiles(held, other, "a", "b", half)
+        numbers = sorted(r["a_block"] for r in held.collect())
+        assert sorted(tuple(r) for r in met.select("a_block", "b_block").collect()) == [(x, y) for x in numbers for y in numbers if not half or x <= y]
+        assert met.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_packed_counts():
+    rng = np.random.default_rng(9)
+    for most in (1, 2, 300, 10**9):
+        counts = rng.integers(0, most + 1, (7, 13))
+        assert (embed.unpack_counts(embed.pack_counts(counts.astype(float)), 7, 13) == counts).all()
+
+
 def test_assessments(spark):
     rows = spark.createDataFrame([(0.1, 0.2, 0.05), (0.1, 0.2, 0.1), (0.1, 0.2, 0.3), (0.3, 0.2, 0.0)], "m double, q double, r double")
     assert [r[0] for r in rows.select(embed.assess(F.col("m"), F.col("q"), F.col("r"))).collect()] == ["compatible", "partial", "outliers", "partial"]
